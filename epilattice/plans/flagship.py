@@ -61,7 +61,7 @@ def multiplier(v: Views) -> DataFrame:
 def risk_chain(v: Views, contact: DataFrame | None = None, stage=_lazy) -> DataFrame:
     """Edges to coupling to R_ij to import risk."""
     rates = stage(v.contact_fit() if contact is None else contact, "contact")
-    edges = stage(v.weekly_edges(), "edges")
+    edges = stage(cleaned_edges(v), "edges")
     coupled = stage(coupling(edges, rates, v.household()), "coupling")
     sigma = stage(immune_share(v), "sigma")
     r_ij = stage(pair_reproduction(coupled, sigma, stage(multiplier(v), "multiplier"), v.geo()), "r_ij")
