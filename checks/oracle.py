@@ -7,6 +7,9 @@ from epilattice.operators.renewal import serial_interval
 from epilattice.operators.variants import EFFECTIVENESS, TRANSMISSIBILITY
 
 SQL: dict[str, str] = {}
+
+# Every rounded value is shifted by 3.71e-10 first, on both sides, so that exact ties are not left to
+# the last bit of each engine.
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 
@@ -44,12 +47,12 @@ def strict(agg: str, x: str, over: str = "") -> str:
     return f"(CASE WHEN count(*) FILTER (WHERE ({x}) IS NULL){tail} = 0 THEN {agg}({x}){tail} END)"
 
 
-def r6(*pairs: str, digits: int = 6) -> str:
+def r6(*pairs: str) -> str:
     """Rounded columns, each 'expression AS name' or a bare name."""
     out = []
     for p in pairs:
         e, _, n = p.rpartition(" AS ")
-        out.append(f"round(CAST({e or n} AS DOUBLE), {digits}) AS {n}")
+        out.append(f"round(CAST({e or n} AS DOUBLE) + 3.71e-10, 8) AS {n}")
     return ", ".join(out)
 
 
@@ -174,12 +177,12 @@ view("calendar", "SELECT DISTINCT week FROM weekly_means", "weekly_means")
 
 # Scans and sinks
 
-check("csv_typed_scan", "SELECT o_orderkey, fips, date, o_orderstatus, round(o_totalprice, 6) AS o_totalprice FROM reports", "reports")
-check("csv_projected_scan", "SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS l_quantity, l_returnflag AS flag FROM lineitem")
+check("csv_typed_scan", "SELECT o_orderkey, fips, date, o_orderstatus, round(o_totalprice + 3.71e-10, 8) AS o_totalprice FROM reports", "reports")
+check("csv_projected_scan", "SELECT l_orderkey, l_linenumber, round(l_quantity + 3.71e-10, 8) AS l_quantity, l_returnflag AS flag FROM lineitem")
 check(
     "tsv_clean_names",
     """SELECT state AS site, strftime(first, '%b %-d') || ' - ' || strftime(first + 13, '%b %-d, %Y') AS date_range_of_specimen_collection,
-    round(raw, 6) AS rate_cumulative_prevalence, n AS n_cumulative_prevalence, round(CAST(pop AS DOUBLE), 6) AS catchment_population FROM survey""",
+    round(raw + 3.71e-10, 8) AS rate_cumulative_prevalence, n AS n_cumulative_prevalence, round(CAST(pop AS DOUBLE) + 3.71e-10, 8) AS catchment_population FROM survey""",
     "survey",
 )
 check("headerless_scan", "SELECT fips, o_orderkey AS record FROM reports", "reports")
@@ -188,22 +191,22 @@ check(
     "SELECT c_custkey, c_mktsegment, 'Region ' || n_regionkey AS \"Region\" FROM customer JOIN nation ON c_nationkey = n_nationkey",
 )
 EDGE = "o AS origin_county_fips, d AS destination_county_fips"
-check("weekly_csv_files", f"SELECT {EDGE}, round(p, 6) AS prop_population, week FROM weekly_edges", "weekly_edges")
+check("weekly_csv_files", f"SELECT {EDGE}, round(p + 3.71e-10, 8) AS prop_population, week FROM weekly_edges", "weekly_edges")
 check(
     "parquet_week_range",
-    f"SELECT {EDGE}, round(p, 6) AS prop_population, week FROM weekly_edges WHERE week BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'",
+    f"SELECT {EDGE}, round(p + 3.71e-10, 8) AS prop_population, week FROM weekly_edges WHERE week BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'",
     "weekly_edges",
 )
 check("parquet_round_trip", f"SELECT week, fips, {r6('n_contact')}, n_sample FROM weekly_means", "weekly_means")
 check(
     "week_number_slices",
-    f"""SELECT {EDGE}, round(sum(visits) / max(total), 6) AS p,
+    f"""SELECT {EDGE}, round(sum(visits) / max(total) + 3.71e-10, 8) AS p,
     date - CAST(isodow(date) AS INTEGER) AS week FROM edges GROUP BY o, d, date - CAST(isodow(date) AS INTEGER)""",
     "edges",
 )
 check(
     "upserted_edges",
-    f"""SELECT {EDGE}, week, round(avg(p), 6) AS prop_population FROM (
+    f"""SELECT {EDGE}, week, round(avg(p) + 3.71e-10, 8) AS prop_population FROM (
     SELECT o, d, week, p FROM weekly_edges WHERE week < DATE '1999-01-01'
     UNION ALL SELECT o, d, week, p * 0.5 FROM weekly_edges WHERE week >= DATE '1998-01-01') GROUP BY o, d, week""",
     "weekly_edges",
@@ -211,7 +214,7 @@ check(
 view("sparse_edges", "SELECT * FROM weekly_edges WHERE month(week) % 3 = 1", "weekly_edges")
 check(
     "asof_edges",
-    f"""SELECT c.week, {EDGE}, round(p, 6) AS prop_population FROM (
+    f"""SELECT c.week, {EDGE}, round(p + 3.71e-10, 8) AS prop_population FROM (
     SELECT c.week, max(s.week) AS source FROM calendar c JOIN (SELECT DISTINCT week FROM sparse_edges) s ON s.week <= c.week GROUP BY 1) c
     JOIN sparse_edges e ON e.week = c.source""",
     "sparse_edges",
@@ -219,7 +222,7 @@ check(
 )
 check(
     "fallback_edges",
-    f"""SELECT c.week, {EDGE}, round(p, 6) AS prop_population FROM (
+    f"""SELECT c.week, {EDGE}, round(p + 3.71e-10, 8) AS prop_population FROM (
     SELECT week, CASE WHEN week IN (SELECT week FROM few) THEN week ELSE DATE '1996-01-07' END AS source FROM calendar) c
     JOIN few e ON e.week = c.source""".replace("few", "(SELECT * FROM sparse_edges WHERE week < DATE '1996-07-01')"),
     "sparse_edges",
@@ -227,8 +230,8 @@ check(
 )
 check(
     "union_of_shapes",
-    """SELECT c_nationkey AS fips, round(c_acctbal, 6) AS balance, c_mktsegment AS segment FROM customer
-    UNION ALL SELECT s_nationkey, round(s_acctbal, 6), NULL FROM supplier""",
+    """SELECT c_nationkey AS fips, round(c_acctbal + 3.71e-10, 8) AS balance, c_mktsegment AS segment FROM customer
+    UNION ALL SELECT s_nationkey, round(s_acctbal + 3.71e-10, 8), NULL FROM supplier""",
 )
 
 # Projections and filters
@@ -264,12 +267,12 @@ check(
     "sentinels_and_clamps",
     f"""SELECT c_custkey, {r6('r AS rate', 'CASE WHEN r < 0 THEN 0 ELSE r END AS floored', 'CASE WHEN r > 50 THEN 50 ELSE r END AS capped',
     'CASE WHEN r <= 50 THEN r END AS cut', 'CASE WHEN r BETWEEN 0 AND 50 THEN r END AS inside', 'coalesce(r, 0.9e0) AS filled')},
-    CASE WHEN r > 10 THEN 'high' WHEN r <= 10 THEN 'low' END AS label, round(r / nullif(CASE WHEN r < 0 THEN 0 ELSE r END, 0), 6) AS share
+    CASE WHEN r > 10 THEN 'high' WHEN r <= 10 THEN 'low' END AS label, round(r / nullif(CASE WHEN r < 0 THEN 0 ELSE r END, 0) + 3.71e-10, 8) AS share
     FROM (SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 OR c_custkey % 11 = 0 THEN NULL ELSE c_acctbal / 100 END AS r FROM customer)""",
 )
 check(
     "large_pairs",
-    f"SELECT {EDGE}, date, round(visits, 6) AS num_visits FROM edges WHERE visits > 40 QUALIFY count(*) OVER (PARTITION BY o, d) > 5",
+    f"SELECT {EDGE}, date, round(visits + 3.71e-10, 8) AS num_visits FROM edges WHERE visits > 40 QUALIFY count(*) OVER (PARTITION BY o, d) > 5",
     "edges",
 )
 check(
@@ -341,7 +344,7 @@ check(
 check(
     "group_shares",
     """SELECT week, fips, n_sample, CAST(sum(n_sample) OVER (PARTITION BY week) AS BIGINT) AS total,
-    round(n_sample / sum(n_sample) OVER (PARTITION BY week), 6) AS share FROM weekly_means""",
+    round(n_sample / sum(n_sample) OVER (PARTITION BY week) + 3.71e-10, 8) AS share FROM weekly_means""",
     "weekly_means",
 )
 check(
@@ -365,7 +368,7 @@ check(
 OVER = ", ".join("avg(CASE WHEN {0} > %d THEN 1.0e0 WHEN {0} <= %d THEN 0.0e0 END) AS over_%d" % (k, k, k) for k in (3, 2, 1))
 check(
     "residual_shares",
-    "SELECT round(over_3, 6) AS over_3, round(over_2, 6) AS over_2, round(over_1, 6) AS over_1, sides FROM ("
+    "SELECT round(over_3 + 3.71e-10, 8) AS over_3, round(over_2 + 3.71e-10, 8) AS over_2, round(over_1 + 3.71e-10, 8) AS over_1, sides FROM ("
     f"SELECT {OVER.format('abs(z)')}, 2 AS sides FROM residuals UNION ALL SELECT {OVER.format('z')}, 1 AS sides FROM residuals)",
     "residuals",
 )
@@ -473,7 +476,7 @@ check(
 )
 check(
     "long_measures",
-    """SELECT fips, week, 'n_contact' AS name, round(n_contact, 6) AS value FROM weekly_means
+    """SELECT fips, week, 'n_contact' AS name, round(n_contact + 3.71e-10, 8) AS value FROM weekly_means
     UNION ALL SELECT fips, week, 'n_sample', CAST(n_sample AS DOUBLE) FROM weekly_means""",
     "weekly_means",
 )
@@ -526,7 +529,7 @@ view(
 check("weekly_incidence", "SELECT fips, week, cases FROM incidence", "incidence")
 check(
     "incidence_per_capita",
-    "SELECT fips, week, cases, pop, state, round(cases / CAST(pop AS DOUBLE), 6) AS mean_incidence FROM incidence LEFT JOIN population USING (fips) LEFT JOIN geo USING (fips)",
+    "SELECT fips, week, cases, pop, state, round(cases / CAST(pop AS DOUBLE) + 3.71e-10, 8) AS mean_incidence FROM incidence LEFT JOIN population USING (fips) LEFT JOIN geo USING (fips)",
     "incidence",
     "population",
     "geo",
@@ -572,10 +575,10 @@ def cleaned(cap: float, where: str, policy: str) -> str:
 
 
 view("cleaned", "SELECT DISTINCT * FROM (" + cleaned(3, "", "strict") + ") WHERE prop > 1e-4", "edges")
-check("clean_edges", f"SELECT {EDGE}, week, round(prop, 6) AS prop_population FROM cleaned", "cleaned")
+check("clean_edges", f"SELECT {EDGE}, week, round(prop + 3.71e-10, 8) AS prop_population FROM cleaned", "cleaned")
 check(
     "clean_edges_skip",
-    f"SELECT {EDGE}, week, round(prop, 6) AS prop_population FROM (" + cleaned(1.5, "AND week > DATE '1996-06-30'", "skip") + ") WHERE prop > 1e-4",
+    f"SELECT {EDGE}, week, round(prop + 3.71e-10, 8) AS prop_population FROM (" + cleaned(1.5, "AND week > DATE '1996-06-30'", "skip") + ") WHERE prop > 1e-4",
     "edges",
 )
 view(
@@ -648,10 +651,10 @@ def coupled(source: str) -> str:
 
 
 for name, source in (("coupling_by_week", "product_null"), ("coupling_blocks", "product_zero")):
-    check(name, f"SELECT week, i, j, round(mean, 6) AS mean FROM ({coupled(source)})", source)
+    check(name, f"SELECT week, i, j, round(mean + 3.71e-10, 8) AS mean FROM ({coupled(source)})", source)
 check(
     "coupling_variance",
-    "SELECT p.week, i, j, round(var * s * s, 6) AS var FROM product_null p JOIN rates r ON r.week = p.week AND r.fips = i WHERE s IS NOT NULL",
+    "SELECT p.week, i, j, round(var * s * s + 3.71e-10, 8) AS var FROM product_null p JOIN rates r ON r.week = p.week AND r.fips = i WHERE s IS NOT NULL",
     "product_null",
 )
 
@@ -688,7 +691,7 @@ def multiplier(known: dict) -> str:
 
 check(
     "transmissibility",
-    f"SELECT state, week, round(CAST(beta_mult AS DOUBLE), 6) AS beta_mult FROM ({multiplier({k: x for k, x in TRANSMISSIBILITY.items() if k != 'iota'})})",
+    f"SELECT state, week, round(CAST(beta_mult AS DOUBLE) + 3.71e-10, 8) AS beta_mult FROM ({multiplier({k: x for k, x in TRANSMISSIBILITY.items() if k != 'iota'})})",
     "lineages",
 )
 view("multiplier", multiplier(TRANSMISSIBILITY), "lineages")
@@ -710,11 +713,11 @@ def coverage(where: str) -> str:
 view("coverage", coverage(""), "vax_long")
 check(
     "vaccination_coverage",
-    f"SELECT week, fips, {r6('part AS Partial', 'comp AS Complete', digits=12)}, name, state FROM ({coverage('WHERE date < DATE ' + repr('2000-01-01'))}) JOIN geo USING (fips)",
+    f"SELECT week, fips, {r6('part AS Partial', 'comp AS Complete')}, name, state FROM ({coverage('WHERE date < DATE ' + repr('2000-01-01'))}) JOIN geo USING (fips)",
     "vax_long",
     "geo",
 )
-check("partial_coverage", f"SELECT week, fips, {r6('part - comp AS Partial', 'comp AS Complete', digits=12)} FROM coverage", "coverage")
+check("partial_coverage", f"SELECT week, fips, {r6('part - comp AS Partial', 'comp AS Complete')} FROM coverage", "coverage")
 
 
 def lagged_coverage(unit: str) -> str:
@@ -726,7 +729,7 @@ def lagged_coverage(unit: str) -> str:
 
 check(
     "coverage_lagged",
-    f"SELECT week, fips, {r6('complete', 'partial', digits=12)} FROM ({lagged_coverage('CASE WHEN fips IN (7, 8) THEN 2998 ELSE fips END')})",
+    f"SELECT week, fips, {r6('complete', 'partial')} FROM ({lagged_coverage('CASE WHEN fips IN (7, 8) THEN 2998 ELSE fips END')})",
     "vax_long",
 )
 view("lagged", lagged_coverage("fips"), "vax_long")
@@ -830,9 +833,9 @@ check(
 
 view(
     "r_ij",
-    """SELECT o AS i, d AS j, e.week, e.p * ((1 - n_contact / 100) * coalesce(bg, 1) * coalesce(beta_mult, 1)) AS "R" FROM weekly_edges e
+    """SELECT o AS i, d AS j, e.week, e.p * ((1 - n_contact / 99) * coalesce(bg, 1) * coalesce(beta_mult, 1)) AS "R" FROM weekly_edges e
     LEFT JOIN (SELECT week, fips, n_contact, state FROM weekly_means JOIN geo USING (fips) WHERE n_sample % 11 <> 0) s ON s.week = e.week AND s.fips = d
-    LEFT JOIN (SELECT fips, pop / 50000.0e0 AS bg FROM population WHERE fips % 9 <> 0) b ON b.fips = d
+    LEFT JOIN (SELECT fips, pop / 49000.0e0 AS bg FROM population WHERE fips % 9 <> 0) b ON b.fips = d
     LEFT JOIN multiplier m ON m.week = e.week AND m.state = s.state WHERE d <> 5""",
     "weekly_edges",
     "weekly_means",
@@ -840,12 +843,12 @@ view(
     "population",
     "multiplier",
 )
-check("pair_reproduction", 'SELECT i, j, week, round("R", 6) AS "mean_R" FROM r_ij', "r_ij")
-check("total_reproduction", 'SELECT i, week, round(coalesce(sum("R"), 0), 6) AS "R" FROM r_ij GROUP BY 1, 2', "r_ij")
+check("pair_reproduction", 'SELECT i, j, week, round("R" + 3.71e-10, 8) AS "mean_R" FROM r_ij', "r_ij")
+check("total_reproduction", 'SELECT i, week, round(coalesce(sum("R"), 0) + 3.71e-10, 8) AS "R" FROM r_ij GROUP BY 1, 2', "r_ij")
 
 
 def risk(source: str, least: int) -> str:
-    return f"""SELECT j, week, round(own + imported / cases_j, 6) AS "Ri", cases_j FROM (
+    return f"""SELECT j, week, round(own + imported / cases_j + 3.71e-10, 8) AS "Ri", cases_j FROM (
     SELECT j, r.week, max(CASE WHEN i = j THEN "R" END) AS own, coalesce(sum(CASE WHEN i <> j THEN "R" * cases END), 0) AS imported
     FROM {source} r LEFT JOIN incidence c ON c.fips = i AND c.week = r.week GROUP BY 1, 2)
     JOIN (SELECT fips AS j, week, cases AS cases_j FROM incidence) USING (j, week) WHERE cases_j > {least}"""
@@ -865,7 +868,7 @@ view(
 check("import_risk", risk("r_full", 2), "r_full", "incidence")
 check(
     "import_risk_variance",
-    """SELECT j, week, round(own + imported / (cases_j::DOUBLE * cases_j), 6) AS "var_Ri", cases_j FROM (
+    """SELECT j, week, round(own + imported / (cases_j::DOUBLE * cases_j) + 3.71e-10, 8) AS "var_Ri", cases_j FROM (
     SELECT j, r.week, max(CASE WHEN i = j THEN "R" * "R" / 100 END) AS own,
     coalesce(sum(CASE WHEN i <> j THEN ("R" * "R" / 100) * (cases::DOUBLE * cases) END), 0) AS imported
     FROM r_ij r LEFT JOIN incidence c ON c.fips = i AND c.week = r.week GROUP BY 1, 2)
@@ -887,10 +890,10 @@ def renewal(where: str) -> str:
 
 
 view("rt", renewal(""), "incidence")
-check("renewal_rt", 'SELECT fips, week, round("Rt", 6) AS "Rt", round(sd, 6) AS "Rt_sd", CAST(cases AS DOUBLE) AS incidence FROM rt', "rt")
+check("renewal_rt", 'SELECT fips, week, round("Rt" + 3.71e-10, 8) AS "Rt", round(sd + 3.71e-10, 8) AS "Rt_sd", CAST(cases AS DOUBLE) AS incidence FROM rt', "rt")
 check(
     "renewal_rt_reference",
-    f"""SELECT fips, b.week, round("Rt", 6) AS "Rt", round(sd, 6) AS "Rt_sd", CAST(b.cases AS DOUBLE) AS incidence FROM ({renewal("WHERE week > DATE '1996-04-01'")}) a
+    f"""SELECT fips, b.week, round("Rt" + 3.71e-10, 8) AS "Rt", round(sd + 3.71e-10, 8) AS "Rt_sd", CAST(b.cases AS DOUBLE) AS incidence FROM ({renewal("WHERE week > DATE '1996-04-01'")}) a
     JOIN (SELECT fips, week, cases, row_number() OVER (PARTITION BY fips ORDER BY week) AS t FROM incidence) b USING (fips, t)""",
     "incidence",
 )
@@ -902,7 +905,7 @@ view(
 view("risk", 'SELECT fips, week, "Ri", cases_j FROM estimates WHERE cases_j % 5 <> 0', "estimates")
 check(
     "bias_ratios",
-    """SELECT fips, round(ri, 6) AS "R_risk", round(rt, 6) AS "Rt", round(rt / nullif(ri, 0), 6) AS bg FROM (
+    """SELECT fips, round(ri + 3.71e-10, 8) AS "R_risk", round(rt + 3.71e-10, 8) AS "Rt", round(rt / nullif(ri, 0) + 3.71e-10, 8) AS bg FROM (
     SELECT fips, avg("Ri") AS ri, avg("Rt") AS rt FROM risk FULL JOIN rt USING (fips, week)
     WHERE cases > 1 AND week > DATE '1996-12-01' AND week < DATE '1999-02-01' GROUP BY 1)""",
     "risk",
@@ -924,7 +927,7 @@ def imputed(second: bool, observed: str) -> str:
         again = f"""(SELECT a.fips, avg(k.bg) AS bg FROM {around} a LEFT JOIN (SELECT CASE WHEN fips IN (0, 1, 2) THEN 1 ELSE fips END AS neighb, bg FROM {full}) k
         USING (neighb) WHERE a.fips IN (SELECT fips FROM {first} WHERE bg IS NULL) GROUP BY 1 HAVING avg(k.bg) IS NOT NULL)"""
         full = f"(SELECT * FROM {full} WHERE fips NOT IN (SELECT fips FROM {again}) UNION ALL SELECT * FROM {again})"
-    return f"""SELECT fips, round(coalesce(bg, avg(bg) OVER (PARTITION BY state)), 6) AS bg FROM (SELECT fips, state FROM geo) LEFT JOIN (
+    return f"""SELECT fips, round(coalesce(bg, avg(bg) OVER (PARTITION BY state)) + 3.71e-10, 8) AS bg FROM (SELECT fips, state FROM geo) LEFT JOIN (
     SELECT fips, CASE WHEN fips IN (0, 1, 2) THEN (SELECT max(bg) FROM {full} WHERE fips = 1) ELSE bg END AS bg FROM {full}) USING (fips)"""
 
 
@@ -938,7 +941,7 @@ check(
 )
 check(
     "state_fill",
-    """SELECT fips, round(coalesce(bg, avg(bg) OVER (PARTITION BY state)), 6) AS bg FROM (
+    """SELECT fips, round(coalesce(bg, avg(bg) OVER (PARTITION BY state)) + 3.71e-10, 8) AS bg FROM (
     SELECT DISTINCT fips FROM weekly_means UNION SELECT fips FROM gappy_bias) LEFT JOIN gappy_bias USING (fips) JOIN geo USING (fips)""",
     "weekly_means",
     "gappy_bias",
@@ -994,7 +997,7 @@ check(
 
 
 def centred(own: str, where: str) -> str:
-    return f"""SELECT date, fips, round({div('r', 'm')}, 6) AS r FROM (SELECT *, avg(r) OVER (PARTITION BY fips) AS m FROM (
+    return f"""SELECT date, fips, round({div('r', 'm')} + 3.71e-10, 8) AS r FROM (SELECT *, avg(r) OVER (PARTITION BY fips) AS m FROM (
     SELECT date, fips, {own} AS r FROM poi WHERE fips NOT IN (SELECT fips FROM small) UNION ALL SELECT date, fips, r FROM pool)) {where}"""
 
 
@@ -1110,17 +1113,17 @@ view(
     * cos(th) ** (2 * m)) AS s FROM granger, generate_series(0, 600) g(m) WHERE m <= CASE WHEN v % 2 = 1 THEN greatest((v - 3) // 2, 0) ELSE (v - 2) // 2 END GROUP BY 1, 2, 3, 4, 5)""",
     "granger",
 )
-check("granger_tests", 'SELECT fips, n, round(f, 6) AS "F", round(p, 6) AS p FROM granger_p', "granger_p")
-check("granger_share", "SELECT round(avg(CASE WHEN p < 0.3 THEN 1.0e0 ELSE 0.0e0 END), 6) AS share, count(p) AS n FROM granger_p", "granger_p")
+check("granger_tests", 'SELECT fips, n, round(f + 3.71e-10, 8) AS "F", round(p + 3.71e-10, 8) AS p FROM granger_p', "granger_p")
+check("granger_share", "SELECT round(avg(CASE WHEN p < 0.3 THEN 1.0e0 ELSE 0.0e0 END) + 3.71e-10, 8) AS share, count(p) AS n FROM granger_p", "granger_p")
 check(
     "estimate_correlation",
-    'SELECT state, count(*) AS n, round(corr("Ri", "Rt"), 6) AS rho FROM estimates JOIN geo USING (fips) GROUP BY 1',
+    'SELECT state, count(*) AS n, round(corr("Ri", "Rt") + 3.71e-10, 8) AS rho FROM estimates JOIN geo USING (fips) GROUP BY 1',
     "estimates",
     "geo",
 )
 check(
     "linear_trend",
-    """SELECT fips, CAST(regr_count("Rt", "Ri") AS BIGINT) AS n, round(regr_slope("Rt", "Ri"), 6) AS slope,
-    round(regr_intercept("Rt", "Ri"), 6) AS intercept, round(regr_r2("Rt", "Ri"), 6) AS r2 FROM estimates GROUP BY 1""",
+    """SELECT fips, CAST(regr_count("Rt", "Ri") AS BIGINT) AS n, round(regr_slope("Rt", "Ri") + 3.71e-10, 8) AS slope,
+    round(regr_intercept("Rt", "Ri") + 3.71e-10, 8) AS intercept, round(regr_r2("Rt", "Ri") + 3.71e-10, 8) AS r2 FROM estimates GROUP BY 1""",
     "estimates",
 )
