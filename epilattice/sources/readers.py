@@ -52,7 +52,7 @@ def read_csv(
     for column, name, letter in zip(raw.columns, found, letters, strict=True):
         if letter == "-":
             continue
-        value = F.rtrim(F.col(f"`{column}`")) if encoding else F.col(f"`{column}`")
+        value = F.regexp_replace(F.col(f"`{column}`"), "\r$", "") if encoding else F.col(f"`{column}`")
         value = F.when(value != "", value)
         out.append(value.try_cast(LETTERS[letter]).alias(snake_case(name) if clean_names else name))
     return raw.select(*out)
