@@ -21,7 +21,7 @@ from .panel import distinct_values, fill_down
 
 # Places per row block and destinations per column block. A task holds at most two row blocks by
 # one column block of the matrix, as the entries are unique after the sum per (week, i, k).
-ROWS_PER_BLOCK = 256
+ROWS_PER_BLOCK = 512
 COLUMNS_PER_BLOCK = 4096
 
 BLOCK_SCHEMA = "week date, i int, j int, part double, self double, unknown boolean"
@@ -123,7 +123,8 @@ def _block_product(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         names, row = np.unique(pdf["i"].to_numpy()[chosen], return_inverse=True)
         col, v = column[chosen], pdf["v"].to_numpy(dtype="float64")[chosen]
         lost = np.isnan(v)
-        value, stored, unknown = (np.zeros((len(names), width)) for _ in range(3))
+        value = np.zeros((len(names), width))
+        stored, unknown = (np.zeros((len(names), width), dtype="float32") for _ in range(2))
         value[row, col] = np.where(lost, 0.0, v)
         stored[row, col] = 1.0
         unknown[row, col] = lost

@@ -116,7 +116,7 @@ def weekly_csv_files(v: Views):
 @query
 def parquet_week_range(v: Views):
     path = scratch_path(v.spark, "weeks")
-    sinks.write_by_week(v.weekly_edges(), path, files_per_week=2)
+    sinks.write_by_week(v.weekly_edges(), path)
     return readers.read_partitions(v.spark, path, "1996-01-01", "1997-06-30")
 
 

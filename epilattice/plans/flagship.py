@@ -33,8 +33,9 @@ def _lazy(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
-def cleaned_edges(v: Views) -> DataFrame:
-    return clean_edges(v.mobility_edges(), allow_list(v.mobility_edges(), v.geo()))
+def cleaned_edges(v: Views, stage=_lazy) -> DataFrame:
+    edges = stage(v.mobility_edges(), "visits")
+    return clean_edges(edges, allow_list(edges, v.geo()))
 
 
 def contacts(v: Views) -> DataFrame:
@@ -45,12 +46,13 @@ def contacts(v: Views) -> DataFrame:
     return contact_rate(ratio.select(F.col("date").alias("week"), "fips", "r"), v.contact_fit())
 
 
-def immune_share(v: Views) -> DataFrame:
-    incidence = weekly_incidence(v.cases_daily(), population=v.population(), geo=v.geo(), per_capita=True, dense=False)
+def immune_share(v: Views, stage=_lazy) -> DataFrame:
+    cases = stage(v.cases_daily(), "cases")
+    incidence = weekly_incidence(cases, population=v.population(), geo=v.geo(), per_capita=True, dense=False)
     coverage = partial_only(vaccination_coverage(v.vax_long())).select(
         "week", "fips", F.col("Complete").alias("complete"), F.col("Partial").alias("partial")
     )
-    sero = poststratify(v.cases_daily(), v.geo(), v.sero_fit(), v.population())
+    sero = poststratify(cases, v.geo(), v.sero_fit(), v.population())
     return immunity(incidence, coverage, sero.select("week", "fips", "p_immune"))
 
 
@@ -61,9 +63,9 @@ def multiplier(v: Views) -> DataFrame:
 def risk_chain(v: Views, contact: DataFrame | None = None, stage=_lazy) -> DataFrame:
     """Edges to coupling to R_ij to import risk."""
     rates = stage(v.contact_fit() if contact is None else contact, "contact")
-    edges = stage(cleaned_edges(v), "edges")
+    edges = stage(cleaned_edges(v, stage), "edges")
     coupled = stage(coupling(edges, rates, v.household()), "coupling")
-    sigma = stage(immune_share(v), "sigma")
+    sigma = stage(immune_share(v, stage), "sigma")
     r_ij = stage(pair_reproduction(coupled, sigma, stage(multiplier(v), "multiplier"), v.geo()), "r_ij")
     incidence = stage(weekly_incidence(v.cases_daily()), "incidence")
     return import_risk(r_ij, incidence, SAMPLE_MIN_CASES, distinct_rows=False)

@@ -6,12 +6,40 @@ customer's place to the supplier's place, and so on. The check SQL uses the same
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import week_of
 from ..functions.nulls import ratio
 
+# Stated, so that no job has to look into the files first.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+}
+
+
+def once(view):
+    """Build a view's plan on first use and hand out the same lazy table afterwards."""
+
+    @wraps(view)
+    def get(self, *args):
+        key = (view.__name__, *args)
+        if key not in self.built:
+            self.built[key] = view(self, *args)
+        return self.built[key]
+
+    return get
+
 
 class Views:
     """Lazy views over one folder of Parquet tables."""
@@ -19,12 +47,18 @@ class Views:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.built: dict[tuple, DataFrame] = {}
 
+    @once
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        reader = self.spark.read
+        if name in SCHEMAS:
+            reader = reader.schema(SCHEMAS[name])
+        return reader.parquet(f"{self.folder}/{name}.parquet")
 
     # Dimensions
 
+    @once
     def geo(self) -> DataFrame:
         nation = self.table("nation")
         region = self.table("region")
@@ -32,6 +66,7 @@ class Views:
             F.col("n_nationkey").alias("fips"), F.col("n_name").alias("name"), F.col("r_name").alias("state")
         )
 
+    @once
     def geo_neighbors(self) -> DataFrame:
         """A ring of 25 places, both directions; every eighth place has no list of its own."""
         return (
@@ -41,6 +76,7 @@ class Views:
             .select("fips", F.explode(F.array((F.col("fips") + 1) % 25, (F.col("fips") + 24) % 25)).alias("neighb"))
         )
 
+    @once
     def population(self) -> DataFrame:
         return (
             self.table("customer")
@@ -48,6 +84,7 @@ class Views:
             .agg((F.count(F.lit(1)) * 1000).alias("pop"))
         )
 
+    @once
     def household(self) -> DataFrame:
         return (
             self.table("customer")
@@ -57,6 +94,7 @@ class Views:
 
     # Facts
 
+    @once
     def reports(self, *columns: str) -> DataFrame:
         """Orders with the place of their customer."""
         customer = self.table("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("fips"))
@@ -72,6 +110,7 @@ class Views:
         lines = self.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), *line_columns)
         return lines.join(self.reports(*order_columns), "o_orderkey")
 
+    @once
     def cases_daily(self) -> DataFrame:
         """Cumulative reports per place and day, with a downward correction on each 17th."""
         days = self.reports().groupBy("fips", "date").agg(F.count(F.lit(1)).alias("n"))
@@ -79,9 +118,11 @@ class Views:
         correction = F.when(F.dayofmonth("date") == 17, 3).otherwise(0)
         return days.select("date", "fips", (running - correction).alias("cases"))
 
+    @once
     def daily_new(self) -> DataFrame:
         return self.reports().groupBy("fips", "date").agg(F.count(F.lit(1)).alias("cases"))
 
+    @once
     def mobility_edges(self) -> DataFrame:
         supplier = self.table("supplier").select(
             F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("destination_county_fips")
@@ -96,6 +137,7 @@ class Views:
         week = Window.partitionBy("origin_county_fips", week_of(F.col("date")))
         return daily.withColumn("origin_total_num_visits", F.sum("num_visits").over(week))
 
+    @once
     def weekly_edges(self) -> DataFrame:
         """Share of an origin's visits of a week that go to each destination."""
         edges = self.mobility_edges().withColumn("week", week_of(F.col("date")))
@@ -108,6 +150,7 @@ class Views:
             )
         )
 
+    @once
     def genomes(self) -> DataFrame:
         places = self.geo().select("fips", "state")
         names = _by_priority("Alpha", "Delta", "Iota", "undefined", "Other")
@@ -123,6 +166,7 @@ class Views:
             )
         )
 
+    @once
     def vax_long(self) -> DataFrame:
         kinds = _by_priority("Partial", "Complete", "Booster", "Partial Coverage", "Complete Coverage")
         return self.reports("o_orderpriority", "o_totalprice").select(
@@ -133,6 +177,7 @@ class Views:
             F.lit(100.0).alias("POPN"),
         )
 
+    @once
     def poi_visits(self) -> DataFrame:
         """Indoor and outdoor visits per place and week, with the maxima of the place."""
         lines = self.visits(line_columns=("l_shipdate", "l_quantity", "l_returnflag", "l_linenumber"))
@@ -157,6 +202,7 @@ class Views:
             "median_dwell_Outdoor",
         )
 
+    @once
     def weekly_means(self) -> DataFrame:
         return (
             self.visits(line_columns=("l_quantity",))
@@ -164,12 +210,14 @@ class Views:
             .agg(F.avg("l_quantity").alias("n_contact"), F.count(F.lit(1)).alias("n_sample"))
         )
 
+    @once
     def contact_fit(self) -> DataFrame:
         """Weekly contacts per place, scaled to a daily mean, in the shape of a smoothed fit."""
         return self.weekly_means().select(
             "week", "fips", (F.col("n_contact") / 7).alias("fit"), (1 / F.sqrt("n_sample")).alias("se_fit")
         )
 
+    @once
     def serosurvey(self) -> DataFrame:
         """Monthly rounds per state; every thirteenth sample size stands for a suppressed rate."""
         first = F.trunc("date", "MM")
@@ -193,6 +241,7 @@ class Views:
             F.when(F.month("first") == 6, F.col("n") * 1000).alias("Catchment population"),
         )
 
+    @once
     def sero_fit(self) -> DataFrame:
         """State share of closed reports per week, standing in for a fitted seroprevalence."""
         return (
@@ -202,6 +251,7 @@ class Views:
             .agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("mean_pred"))
         )
 
+    @once
     def draws(self) -> DataFrame:
         """Model draws: ten indexed variables with one value per vector."""
         k = F.col("pos")

@@ -76,6 +76,6 @@ def settle(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     path = scratch_path(spark, name)
     writer = df.write
     if partition_by:
-        writer = df.repartition(partition_by).write.partitionBy(partition_by)
+        writer = df.hint("rebalance", partition_by).write.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.mobility import upsert_edges
 from .readers import dated_by_week_number
@@ -20,27 +19,21 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
-def write_by_week(df: DataFrame, path: str, files_per_week: int = 1, fmt: str = "parquet") -> None:
+def write_by_week(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Rows re-sliced by week, in one pass over all entities.
 
-    ``files_per_week`` spreads the rows of a week over several writers, for weeks that are too large
-    for one task.
+    The rebalance hint lets AQE cut a week that is too large for one task and put small weeks
+    together, by their measured sizes.
     """
-    if files_per_week > 1:
-        rest = [c for c in df.columns if c != "week"][:3]
-        piece = F.pmod(F.xxhash64(*rest), F.lit(files_per_week))
-        placed = df.repartition("week", piece)
-    else:
-        placed = df.repartition("week")
-    writer = placed.write.partitionBy("week").format(fmt)
+    writer = df.hint("rebalance", "week").write.partitionBy("week").format(fmt)
     (writer.option("header", "true") if fmt == "csv" else writer).save(path)
 
 
-def write_week_number_slices(edges: DataFrame, path: str, **options) -> None:
+def write_week_number_slices(edges: DataFrame, path: str) -> None:
     """Edges by year and week number, written by the date of the week."""
-    write_by_week(dated_by_week_number(edges), path, **options)
+    write_by_week(dated_by_week_number(edges), path)
 
 
-def write_upserted(current: DataFrame, new: DataFrame, path: str, **options) -> None:
+def write_upserted(current: DataFrame, new: DataFrame, path: str) -> None:
     """Old and new rows of the edge table, averaged per pair and week, as a new version."""
-    write_by_week(upsert_edges(current, new), path, **options)
+    write_by_week(upsert_edges(current, new), path)
