@@ -258,6 +258,16 @@ check(
 check("allowed_origins", "SELECT DISTINCT o AS fips FROM edges JOIN geo ON fips = o WHERE o NOT IN (5, 6)", "edges", "geo")
 check(
     "city_override",
+    f"""SELECT week, fips, n_covid, city, CASE WHEN city = 1 THEN 8419000 ELSE pop END AS pop FROM (
+    SELECT {week('date')} AS week, CASE WHEN name = 'NATION_3' THEN 36061 ELSE fips END AS fips,
+    CAST(trunc(avg(cases)) AS BIGINT) AS n_covid, max(CASE WHEN name = 'NATION_3' THEN 1 ELSE 0 END) AS city
+    FROM cases_daily JOIN geo USING (fips) GROUP BY 1, 2) LEFT JOIN population USING (fips)""",
+    "cases_daily",
+    "geo",
+    "population",
+)
+check(
+    "city_cumulative",
     f"""SELECT {week('date')} AS week, CASE WHEN name = 'NATION_3' THEN 36061 ELSE fips END AS fips,
     CAST(trunc(avg(cases)) AS BIGINT) AS n_covid FROM cases_daily JOIN geo USING (fips) GROUP BY 1, 2""",
     "cases_daily",
@@ -695,6 +705,11 @@ check(
     "lineages",
 )
 view("multiplier", multiplier(TRANSMISSIBILITY), "lineages")
+check(
+    "multiplier_by_state_code",
+    "SELECT CASE WHEN state = 'ASIA' THEN state ELSE left(state, 2) END AS state, week, round(CAST(beta_mult AS DOUBLE) + 3.71e-10, 8) AS beta_mult FROM multiplier",
+    "multiplier",
+)
 EFFECT = values([(k, EFFECTIVENESS["partial"][k], EFFECTIVENESS["complete"][k]) for k in EFFECTIVENESS["partial"]], "lineage, ep, ec")
 view(
     "effect",

@@ -99,3 +99,23 @@ def mean_cumulative(cases_daily: DataFrame, city: bool = True) -> DataFrame:
     return cases_daily.groupBy(week_of(F.col("date")).alias("week"), code.alias("fips")).agg(
         F.avg("cases").cast("long").alias("n_covid")
     )
+
+
+def city_panel(
+    cases_daily: DataFrame,
+    population: DataFrame,
+    city: str = places.CITY_REPORT_NAME,
+    city_code: int = places.CITY_REPORT_CODE,
+    city_population: int = places.CITY_REPORT_POPULATION,
+) -> DataFrame:
+    """Weekly mean counts with the city-wide report marked and given its own population.
+
+    -> week, fips, n_covid, city (1 for the city's report), pop.
+    """
+    is_city = F.coalesce(F.col("county") == city, F.lit(False)).cast("int")
+    code = places.city_report_code(F.col("county"), F.col("fips"), city, city_code)
+    weekly = cases_daily.groupBy(week_of(F.col("date")).alias("week"), code.alias("fips")).agg(
+        F.avg("cases").cast("long").alias("n_covid"), F.max(is_city).alias("city")
+    )
+    sized = natural_join(weekly, population.select("fips", F.col("pop").cast("long").alias("pop")), ["fips"])
+    return sized.withColumn("pop", F.when(F.col("city") == 1, F.lit(city_population).cast("long")).otherwise(F.col("pop")))

@@ -217,12 +217,20 @@ def allowed_origins(v: Views):
 
 @query
 def city_override(v: Views):
-    """Reports under the name of a city take its code; the rest keep theirs."""
+    """Reports under the name of a city take its code, its population and a mark; the rest keep theirs."""
+    return incidence.city_panel(_city_reports(v), v.population())
+
+
+@query
+def city_cumulative(v: Views):
+    return incidence.mean_cumulative(_city_reports(v))
+
+
+def _city_reports(v: Views) -> DataFrame:
     named = joins.natural_join(v.cases_daily(), v.geo().select("fips", F.col("name").alias("county")), ["fips"])
-    coded = named.withColumn("fips", F.when(F.col("county") != "NATION_3", F.col("fips"))).withColumn(
+    return named.withColumn("fips", F.when(F.col("county") != "NATION_3", F.col("fips"))).withColumn(
         "county", F.when(F.col("county") == "NATION_3", places.CITY_REPORT_NAME).otherwise(F.col("county"))
     )
-    return incidence.mean_cumulative(coded)
 
 
 @query
@@ -630,6 +638,13 @@ def transmissibility(v: Views):
     )
 
 
+@query
+def multiplier_by_state_code(v: Views):
+    """Full state names swapped for codes; a state without a code keeps its name."""
+    names = v.geo().filter(F.col("state") != "ASIA").select(F.col("state").alias("state_name"), F.substring("state", 1, 2).alias("state"))
+    return variants.with_state_names(flagship.multiplier(v), names.distinct())
+
+
 @query
 def vaccine_effectiveness(v: Views):
     return variants.vaccine_effectiveness(variants.collapse_lineages(variants.lineage_shares(v.genomes())))
