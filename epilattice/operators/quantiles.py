@@ -10,15 +10,15 @@ from .reshape import stack
 
 # Groups up to this size go to the built-in exact percentile; its buffer is then bounded.
 SMALL_GROUP = 100_000
-# The sketch is accurate to 1/ACCURACY of the rank; a bracket ten times as wide must hold the
-# wanted order statistics.
-ACCURACY = 10_000
-MARGIN = 10 / ACCURACY
+# The sketch of a larger group is accurate to 1 / ACCURACY of the ranks. A bracket reaches ten ranks
+# and ten times that error to both sides, so it holds the wanted order statistics.
+ACCURACY = 100_000
 
 
-def _bracketed(rows: DataFrame, keys: list[str], value: str, p: float, name: str) -> DataFrame:
+def _bracketed(rows: DataFrame, keys: list[str], value: str, p: float, name: str, at_least: int) -> DataFrame:
     """Quantile of large groups: a sketch brackets it, only the rows inside are ranked."""
-    ends = [max(0.0, p - MARGIN), min(1.0, p + MARGIN)]
+    margin = 10 / ACCURACY + 10 / at_least
+    ends = [max(0.0, p - margin), min(1.0, p + margin)]
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx(value, ends, ACCURACY).alias("__ends"), F.count(value).alias("__n")
     )
@@ -59,7 +59,7 @@ def group_quantiles(
     direct = small.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in probs.items()])
     wide = None
     for name, p in probs.items():
-        one = _bracketed(large, keys, value, p, name)
+        one = _bracketed(large, keys, value, p, name, small_group)
         wide = one if wide is None else natural_join(wide, one, keys, "full")
     return stack(direct, wide)
 
