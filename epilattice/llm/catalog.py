@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilattice.llm import chat, huffman, line_windows, packing
-from epilattice.llm.tokens import word_tokenizer_path
+from epilattice.llm.tokens import id_kind, ids_crc32, word_tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,7 +20,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as read back from Huffman files of their ids, with the end id 2."""
     back = huffman.huffman_round_trip(table(spark, folder, "documents"), word_tokenizer_path(), end_id=2)
-    return back.select("doc_id", "start", "n_tokens", huffman.ids_crc32("ids").alias("ids_crc32"))
+    return back.select("doc_id", "start", "n_tokens", ids_crc32(F.col("ids"), "<u4").alias("ids_crc32"))
 
 
 def op3_line_windows(spark: SparkSession, folder: str) -> DataFrame:
@@ -32,8 +32,9 @@ def op3_line_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 2048 ids, one row per piece."""
-    packed = packing.best_fit(table(spark, folder, "documents"), word_tokenizer_path(), end_id=0, capacity=2048)
-    return packed.select("doc_id", "piece", "start", "length", huffman.ids_crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+    path = word_tokenizer_path()
+    packed = packing.best_fit(table(spark, folder, "documents"), path, end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", ids_crc32(F.col("ids"), id_kind(path, 0)).alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:

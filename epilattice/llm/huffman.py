@@ -15,15 +15,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from epilattice.llm.files import FILE_BYTES, Files, read_files
 from epilattice.llm.rows import chunks
-from epilattice.llm.tokens import token_ids
+from epilattice.llm.tokens import id_kind, token_ids
 from epilattice.session import scratch_path, settle
 
 MAGIC = b"EPHUF1\0\0"
@@ -161,13 +159,13 @@ def unpack_file(content: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
             yield (int(doc_id) if ok else None), ids[a:b]
 
 
-def count_ids(tokens: DataFrame) -> np.ndarray:
+def count_ids(tokens: DataFrame, kind: str) -> np.ndarray:
     """How often each id occurs: counted per task first, so at most a vocabulary of rows leaves a task."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for part in chunks(batches):
-            ids = np.frombuffer(b"".join(part.column(0).to_pylist()), dtype="<u4")
+            ids = np.frombuffer(b"".join(part.column(0).to_pylist()), dtype=kind)
             if len(ids) and int(ids.max()) >= MAX_VOCABULARY:
                 raise ValueError(f"an id is beyond {MAX_VOCABULARY}")
             counts = np.bincount(ids, minlength=len(total))
@@ -182,14 +180,14 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
-def write_huffman(tokens: DataFrame, folder: str, longest: int = MAX_LENGTH, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write ``tokens`` (doc_id, ids) below ``folder`` in ascending order of doc_id.
+def write_huffman(tokens: DataFrame, kind: str, folder: str, longest: int = MAX_LENGTH, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Write ``tokens`` (doc_id, ids as bytes of ``kind``) below ``folder`` in ascending order of doc_id.
 
     Returns the committed files: ``part`` and ``place`` (their order), ``file``, ``n_docs``, ``n_tokens``. ``tokens`` is
     read three times (counts, range bounds, writing) and should be a stored table.
     """
     spark = tokens.sparkSession
-    lengths = code_lengths(count_ids(tokens), longest)
+    lengths = code_lengths(count_ids(tokens, kind), longest)
     codes = canonical(lengths)
     code = spark.sparkContext.broadcast((codes, lengths))  # at most MAX_VOCABULARY entries
 
@@ -197,7 +195,7 @@ def write_huffman(tokens: DataFrame, folder: str, longest: int = MAX_LENGTH, fil
         from pyspark import TaskContext
 
         codes, lengths = code.value
-        out, done = Files(folder, ".ephuf"), []
+        out, done, width = Files(folder, ".ephuf"), [], int(kind[2])
         blocks: list[bytes] = []
         held, docs, sizes, n = [], [], [], 0
         file_docs = file_ids = 0
@@ -205,7 +203,7 @@ def write_huffman(tokens: DataFrame, folder: str, longest: int = MAX_LENGTH, fil
         def close_block() -> None:
             nonlocal held, docs, sizes, n, file_docs, file_ids
             if docs:
-                blocks.append(pack_block(docs, sizes, np.frombuffer(b"".join(held), dtype="<u4"), codes, lengths))
+                blocks.append(pack_block(docs, sizes, np.frombuffer(b"".join(held), dtype=kind), codes, lengths))
                 file_docs, file_ids = file_docs + len(docs), file_ids + n
             held, docs, sizes, n = [], [], [], 0
 
@@ -220,8 +218,8 @@ def write_huffman(tokens: DataFrame, folder: str, longest: int = MAX_LENGTH, fil
             for doc_id, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 held.append(ids)
                 docs.append(doc_id)
-                sizes.append(len(ids) // 4)
-                n += len(ids) // 4
+                sizes.append(len(ids) // width)
+                n += sizes[-1]
                 if n >= BLOCK_IDS:
                     close_block()
                     if sum(map(len, blocks)) >= file_bytes:
@@ -266,17 +264,11 @@ def read_huffman(spark: SparkSession, folder: str, listed: DataFrame) -> DataFra
     return read_files(spark, folder, starts).select("start", "content").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
 
 
-@F.pandas_udf(T.LongType())
-def ids_crc32(ids: pd.Series) -> pd.Series:
-    """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    return ids.map(zlib.crc32).astype("int64")
-
-
 def huffman_round_trip(docs: DataFrame, tokenizer: str, end_id: int, longest: int = MAX_LENGTH) -> DataFrame:
-    """Encode documents, write the files, read them back: ``doc_id, start, n_tokens, ids``."""
-    spark = docs.sparkSession
-    tokens = settle(token_ids(docs, tokenizer, end_id), "token-ids")
-    if not spark.read.schema(tokens.schema).parquet(*tokens.inputFiles()).take(1):
+    """Encode documents, write the files, read them back: ``doc_id, start, n_tokens, ids`` (``<u4``)."""
+    spark, kind = docs.sparkSession, id_kind(tokenizer, end_id)
+    tokens = settle(token_ids(docs, tokenizer, end_id, kind), "token-ids")
+    if not tokens.take(1):
         return tokens.selectExpr("doc_id", "0L AS start", "n_tokens", "ids").limit(0)
     folder = scratch_path(spark, "huffman")
-    return read_huffman(spark, folder, write_huffman(tokens, folder, longest))
+    return read_huffman(spark, folder, write_huffman(tokens, kind, folder, longest))

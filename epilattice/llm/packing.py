@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epilattice.llm.rows import chunks, hashed
-from epilattice.llm.tokens import token_ids
+from epilattice.llm.tokens import id_kind, token_ids
 from epilattice.session import settle
 
 #: Pieces that meet in one partition: the first partitioning aims at this many, later ones too.
@@ -71,14 +71,15 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, i
     return bins, n
 
 
-def cut(tokens: DataFrame, capacity: int) -> DataFrame:
+def cut(tokens: DataFrame, kind: str, capacity: int) -> DataFrame:
     """``doc_id, copy, piece, start, length, ids``: only documents over the capacity are cut."""
-    width = 4 * capacity
+    size = int(kind[2])
+    width = size * capacity
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             rows = [
-                (doc_id, copy, at // width, at // 4, len(ids[at : at + width]) // 4, ids[at : at + width])
+                (doc_id, copy, at // width, at // size, len(ids[at : at + width]) // size, ids[at : at + width])
                 for doc_id, copy, ids in zip(*(c.to_pylist() for c in part.columns), strict=True)
                 for at in range(0, len(ids), width)
             ]
@@ -153,10 +154,11 @@ def offsets(placed: DataFrame) -> DataFrame:
 def best_fit(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, per_part: int = PIECES_PER_PART) -> DataFrame:
     """Pack all documents: ``doc_id, copy, piece, start, length, ids, sequence_id, offset``, one row per piece.
 
-    ``ids`` are little-endian unsigned 32-bit integers. Pieces are stored once; the packing itself moves lengths only.
+    ``ids`` are bytes of the tokenizer's ``id_kind``. Pieces are stored once; the packing itself moves lengths only.
     """
+    kind = id_kind(tokenizer, end_id)
     # A row number per task tells repeated doc_ids apart. It is stored before anything is shuffled by it.
-    tokens = token_ids(docs, tokenizer, end_id).withColumn("copy", F.monotonically_increasing_id())
-    pieces = settle(cut(tokens, capacity), "pieces")
+    tokens = token_ids(docs, tokenizer, end_id, kind).withColumn("copy", F.monotonically_increasing_id())
+    pieces = settle(cut(tokens, kind, capacity), "pieces")
     placed = assign(pieces.select("doc_id", "copy", "piece", "length"), capacity, per_part)
     return pieces.join(placed.drop("doc_id"), ["copy", "piece"]).select("doc_id", "copy", "piece", "start", "length", "ids", "sequence_id", "offset")

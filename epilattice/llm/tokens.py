@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from epilattice.llm.rows import as_texts, chunks, pick
 
@@ -28,15 +31,24 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def packed(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    if sys.byteorder == "little" and array("I").itemsize == 4:
-        return array("I", ids).tobytes()
-    return np.array(ids, dtype="<u4").tobytes()
+def packed(ids: list[int], kind: str) -> bytes:
+    """Ids as little-endian unsigned integers of numpy's ``kind``, ``<u2`` or ``<u4``."""
+    code = {"<u2": "H", "<u4": "I"}[kind]
+    if sys.byteorder == "little" and array(code).itemsize == int(kind[2]):
+        return array(code, ids).tobytes()
+    return np.array(ids, dtype=kind).tobytes()
+
+
+def id_kind(path: str, *more: int) -> str:
+    """The narrowest kind for all ids of a tokenizer and some more ids: ids are stored and shuffled in it."""
+    from tokenizers import Tokenizer
+
+    most = max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+    return "<u2" if max(most, *more) < 1 << 16 else "<u4"
 
 
 class WordIds(dict):
-    """Little-endian unsigned 32-bit ids by lower-cased word.
+    """Little-endian unsigned ids of a ``kind`` by lower-cased word.
 
     The tokenizer cuts texts at white space, runs of letters, single digits and runs of other signs, and looks at no
     piece beside another one, so the ids of a text are those of its words in order. Words of letters only go straight
@@ -44,20 +56,20 @@ class WordIds(dict):
     tokenizer.
     """
 
-    def __init__(self, path: str, kept: int = WORDS_KEPT):
+    def __init__(self, path: str, kind: str, kept: int = WORDS_KEPT):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.kept = self.tokenizer.model, kept
+        self.model, self.kind, self.kept = self.tokenizer.model, kind, kept
 
     def direct(self, text: str) -> bytes:
-        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def __missing__(self, word: str) -> bytes:
         if word.isalpha():
             letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = packed([piece.id for piece in self.model.tokenize(letters)])
+            ids = packed([piece.id for piece in self.model.tokenize(letters)], self.kind)
         elif word[-1] in ".," and word[:-1].isalpha():
             ids = self[word[:-1]] + self[word[-1]]
         else:
@@ -75,31 +87,40 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
-_KEPT: dict[str, WordIds] = {}
+_KEPT: dict[tuple[str, str], WordIds] = {}
 
 
-def coder(path: str) -> WordIds:
+def coder(path: str, kind: str) -> WordIds:
     """One per worker process; it outlives a task."""
-    if path not in _KEPT:
-        _KEPT[path] = WordIds(path)
-    return _KEPT[path]
+    if (path, kind) not in _KEPT:
+        _KEPT[path, kind] = WordIds(path, kind)
+    return _KEPT[path, kind]
 
 
-def token_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids, n_tokens``: ids of each whole text (null: empty) and then ``end_id``, as bytes of ``<u4``.
+def token_ids(docs: DataFrame, tokenizer: str, end_id: int, kind: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, ids, n_tokens``: ids of each whole text (null: empty) and then ``end_id``, as bytes of ``kind``.
 
     One row per input row; a null doc_id stays null. Nothing is shuffled.
     """
-    end = packed([end_id])
+    end, width = packed([end_id], kind), int(kind[2])
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = coder(tokenizer)
+        words = coder(tokenizer, kind)
         for part in chunks(batches):
             ids = [words.of(text) + end for text in as_texts(part.column(1))]
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())],
+                [part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64())],
                 names=["doc_id", "ids", "n_tokens"],
             )
 
     return rows.mapInArrow(encode, "doc_id long, ids binary, n_tokens long")
+
+
+def ids_crc32(ids: Column, kind: str) -> Column:
+    """Unsigned CRC-32 of ids of a ``kind``, taken as little-endian unsigned 32-bit integers."""
+
+    def crc(ids: pd.Series) -> pd.Series:
+        return ids.map(lambda x: zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes())).astype("int64")
+
+    return F.pandas_udf(crc, T.LongType())(ids)
