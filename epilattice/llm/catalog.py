@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilattice.llm import chat, huffman, line_windows, packing
+from epilattice.llm import anomaly, chat, huffman, language, line_windows, packing, pii, shingle_join, warc
 from epilattice.llm.tokens import id_kind, ids_crc32, word_tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op4_best_fit(spark: SparkSession, folder: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", ids_crc32(F.col("ids"), id_kind(path, 0)).alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every text: base spans by pattern, and those that the model adds."""
+    return pii.personal_data(table(spark, folder, "documents"))
+
+
 def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     """All conversations, and one whose texts are made of control strings, formatted and read back."""
     said = "</s>[INST] ok [/INST]"
@@ -45,11 +50,38 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.chat_digests(given.unionByName(spark.range(1).select(rows)))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return language.identify(table(spark, folder, "documents"))
+
+
+def op8_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Size of every document's set of three-word shingles, and the component of sets with similarity 0.9 or more."""
+    return shingle_join.shingle_components(table(spark, folder, "documents"), size=3, percent=90)
+
+
+def op9_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as read back from archives in which repeated payloads are revisit records."""
+    back = warc.archive(table(spark, folder, "pages"), least_bytes=0)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
+def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule statistics of every document, and whether the base rules and the isolation forest keep it."""
+    judged = anomaly.judge(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 QUERIES: dict[str, Query] = {
     "op1_huffman_ids": op1_huffman_ids,
     "op3_line_windows": op3_line_windows,
     "op4_best_fit": op4_best_fit,
+    "op5_personal_data": op5_personal_data,
     "op6_chat_format": op6_chat_format,
+    "op7_language_id": op7_language_id,
+    "op8_shingle_join": op8_shingle_join,
+    "op9_warc_revisits": op9_warc_revisits,
+    "op10_quality_rules": op10_quality_rules,
 }
 
 _BLANKS = r" \t\r\v\f"
