@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilattice.llm import anomaly, chat, huffman, language, line_windows, packing, pii, shingle_join, warc
+from epilattice.llm import anomaly, chat, decontaminate, huffman, language, line_windows, packing, pii, shingle_join, warc
 from epilattice.llm.tokens import id_kind, ids_crc32, word_tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op1_huffman_ids(spark: SparkSession, folder: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", ids_crc32(F.col("ids"), "<u4").alias("ids_crc32"))
 
 
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that leaked into it."""
+    return decontaminate.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op3_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the lines of three-line windows that occur earlier."""
     docs = table(spark, folder, "documents")
@@ -74,6 +79,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_huffman_ids": op1_huffman_ids,
+    "op2_decontaminate": op2_decontaminate,
     "op3_line_windows": op3_line_windows,
     "op4_best_fit": op4_best_fit,
     "op5_personal_data": op5_personal_data,
