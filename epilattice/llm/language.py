@@ -146,14 +146,15 @@ def held_out() -> Column:
 def learning_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """``lang, text``: at most so many labelled rows of each language, those whose ids have the smallest hashes.
 
-    The choice looks at ids and labels only, and each task passes on no more rows than are wanted.
+    The choice looks at ids and labels only, and each task passes on no more rows than are wanted. The chosen ids, so many
+    for each language at most, go to the texts, which are not shuffled.
     """
     rows = pick(docs, doc_id="doc_id", lang="lang", text="text")
     open_rows = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = rows.filter(open_rows).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(order))
     chosen = ids.filter(F.col("k") <= rows_per_language).select("doc_id", "lang").distinct()
-    return rows.filter("text IS NOT NULL").join(chosen, ["doc_id", "lang"]).select("lang", "text")
+    return rows.filter("text IS NOT NULL").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
 
 
 def fit_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bits: int = BITS) -> LanguageModel:

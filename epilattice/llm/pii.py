@@ -29,7 +29,7 @@ TRIGGER = re.compile(r"[0-9@]|[(\[][Aa][Tt][)\]]")
 #: Signs of a window, the step between windows, and the context on either side of a stretch.
 WIDTH, STEP, CONTEXT = 96, 48, 24
 #: Windows the model is trained on (those with the smallest hashes), and made-up variants of each.
-TRAIN_WINDOWS, VARIANTS = 320, 2
+TRAIN_WINDOWS, VARIANTS = 320, 4
 
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -175,8 +175,8 @@ def parse_span(text: str) -> tuple[str, int, int]:
     return kind, int(a), int(b)
 
 
-def variants(text: str, spans: list[tuple[str, int, int]], rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
-    """The same stretch with its spans written in other ways, and other numbers strewn in."""
+def variants(text: str, spans: list[tuple[str, int, int]], pool: list[tuple[str, str]], rng: np.random.Generator) -> tuple[str, list[tuple[str, int, int]]]:
+    """The same stretch with its spans written in other ways, spans from other stretches beside them, and other numbers."""
     out, made, at = "", [], 0
     for kind, a, b in sorted(spans, key=lambda s: s[1]):
         out += text[at:a]
@@ -193,6 +193,10 @@ def variants(text: str, spans: list[tuple[str, int, int]], rng: np.random.Genera
             said = said.replace(".", str(rng.choice([".", ":", " . "])))
         made.append((kind, len(out), len(out) + len(said)))
         out, at = out + said, b
+        while rng.random() < 0.4:
+            kind, said = pool[rng.integers(len(pool))]
+            made.append((kind, len(out) + 1, len(out) + 1 + len(said)))
+            out += " " + said
     out += text[at:]
     strewn = str(rng.choice([str(rng.integers(1, 10**6)), "12:30", "2024-05-17", "3.14", "v1.2.3", "$1,250.00", f"{rng.integers(10**9, 10**12)}", "user@", "@name"]))
     return out + " " + strewn + " ", made
@@ -203,12 +207,14 @@ def training_rows(found: DataFrame, windows: int = TRAIN_WINDOWS) -> tuple[np.nd
     part = F.explode(F.arrays_zip("starts", "parts"))
     rows = found.filter("size(base) > 0").select("base", part.alias("p")).select("base", "p.starts", "p.parts", F.length("p.parts").alias("n"))
     rows = rows.filter(F.col("n") <= 4 * WIDTH).withColumn("h", F.xxhash64("parts")).orderBy("h", "parts", "starts").limit(windows)
-    rng, signs, tags = np.random.default_rng(11), [], []
+    rng, signs, tags, drawn = np.random.default_rng(11), [], [], []
     for row in rows.collect():
         a, text = row["starts"], row["parts"]
         own = [(k, x - a, y - a) for k, x, y in map(parse_span, row["base"]) if a <= x and y <= a + len(text)]
-        own = [s for s in own if not any(t is not s and t[1] <= s[1] < t[2] and t != s for t in own)]
-        for version in [(text, own)] + [variants(text, own, rng) for _ in range(VARIANTS)]:
+        drawn.append((text, [s for s in own if not any(t != s and t[1] <= s[1] < t[2] for t in own)]))
+    pool = [(kind, text[x:y]) for text, own in drawn for kind, x, y in own]
+    for text, own in drawn:
+        for version in [(text, own)] + [variants(text, own, pool, rng) for _ in range(VARIANTS)]:
             ids, marks = sign_ids(version[0]), span_tags(len(version[0]), version[1])
             for start in window_starts(len(ids)):
                 signs.append(ids[start : start + WIDTH])

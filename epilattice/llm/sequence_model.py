@@ -115,10 +115,10 @@ class Tagger:
         np.add.at(g["vectors"], signs, dx + dr[:, ::-1])
         return float((total - gold).mean()), {name: (value / n).astype(np.float32) for name, value in g.items()}
 
-    def fit(self, signs: np.ndarray, tags: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 5) -> list[float]:
-        """Adam over shuffled batches; returns the mean loss of each epoch."""
+    def fit(self, signs: np.ndarray, tags: np.ndarray, steps: int = 480, batch: int = 32, rate: float = 0.02, seed: int = 5) -> list[float]:
+        """About so many Adam steps over shuffled batches, whatever the sample's size; the mean loss of each round."""
         rng, first, second, step, losses = np.random.default_rng(seed), {}, {}, 0, []
-        for epoch in range(epochs):
+        while step < steps:
             order, lost = rng.permutation(len(signs)), []
             for start in range(0, len(order), batch):
                 at = order[start : start + batch]
@@ -131,7 +131,7 @@ class Tagger:
                     first[name] = 0.9 * first.get(name, 0) + 0.1 * value
                     second[name] = 0.999 * second.get(name, 0) + 0.001 * value * value
                     update = first[name] / (1 - 0.9**step) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-                    self.weights[name] = (self.weights[name] - rate / (1 + epoch) * update).astype(np.float32)
+                    self.weights[name] = (self.weights[name] - rate / (1 + 8 * step / steps) * update).astype(np.float32)
             losses.append(float(np.mean(lost)))
         return losses
 
