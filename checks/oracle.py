@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from epilattice.functions.places import TERRITORIES
 from epilattice.operators.renewal import serial_interval
 from epilattice.operators.variants import EFFECTIVENESS, TRANSMISSIBILITY
@@ -12,6 +14,8 @@ SQL: dict[str, str] = {}
 # the last bit of each engine.
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
+ALL_WEEKS = [datetime.date(1995, 1, 1) + datetime.timedelta(days=7 * k) for k in range(345)]
+
 
 def view(name: str, body: str, *needs: str) -> None:
     VIEWS[name] = (body, needs)
@@ -171,7 +175,7 @@ view(
     "draws",
     """SELECT 'mult[' || CAST((k - 1) % 5 + 1 AS VARCHAR) || ',' || CAST((k - 1) // 5 + 1 AS VARCHAR) || ']' AS variable,
     (k - 1) % 5 + 1 AS i1, (k - 1) // 5 + 1 AS i2, CAST(embedding[k] AS DOUBLE) AS value
-    FROM embeddings, generate_series(1, 10) g(k)""",
+    FROM embeddings, generate_series(1, 64) g(k) WHERE k <= len(embedding)""",
 )
 view("calendar", "SELECT DISTINCT week FROM weekly_means", "weekly_means")
 
@@ -211,7 +215,7 @@ check(
     UNION ALL SELECT o, d, week, p * 0.5 FROM weekly_edges WHERE week >= DATE '1998-01-01') GROUP BY o, d, week""",
     "weekly_edges",
 )
-view("sparse_edges", "SELECT * FROM weekly_edges WHERE month(week) % 3 = 1", "weekly_edges")
+view("sparse_edges", "SELECT * FROM weekly_edges WHERE weekofyear(week) % 9 <> 4", "weekly_edges")
 check(
     "asof_edges",
     f"""SELECT c.week, {EDGE}, round(p + 3.71e-10, 8) AS prop_population FROM (
@@ -224,7 +228,7 @@ check(
     "fallback_edges",
     f"""SELECT c.week, {EDGE}, round(p + 3.71e-10, 8) AS prop_population FROM (
     SELECT week, CASE WHEN week IN (SELECT week FROM few) THEN week ELSE DATE '1996-01-07' END AS source FROM calendar) c
-    JOIN few e ON e.week = c.source""".replace("few", "(SELECT * FROM sparse_edges WHERE week < DATE '1996-07-01')"),
+    JOIN few e ON e.week = c.source""".replace("few", "sparse_edges"),
     "sparse_edges",
     "calendar",
 )
@@ -461,7 +465,7 @@ check(
 )
 view(
     "state_weeks",
-    "SELECT state, fips, week, n_sample FROM weekly_means JOIN geo USING (fips) WHERE month(week) = fips % 12 + 1",
+    "SELECT state, fips, week, n_sample FROM weekly_means JOIN geo USING (fips) WHERE month(week) <> fips % 12 + 1",
     "weekly_means",
     "geo",
 )
@@ -480,7 +484,7 @@ check(
 check(
     "week_columns",
     "SELECT fips, " + ", ".join(
-        f"max(CASE WHEN week = DATE '1996-01-{d}' THEN n_sample END) AS w1996_01_{d}" for d in ("07", "14", "21", "28")
+        f"max(CASE WHEN week = DATE '{d}' THEN n_sample END) AS w{str(d).replace('-', '_')}" for d in ALL_WEEKS
     ) + " FROM weekly_means GROUP BY 1",
     "weekly_means",
 )
@@ -713,7 +717,7 @@ check(
 EFFECT = values([(k, EFFECTIVENESS["partial"][k], EFFECTIVENESS["complete"][k]) for k in EFFECTIVENESS["partial"]], "lineage, ep, ec")
 view(
     "effect",
-    f"SELECT week, state, sum(p * CAST(ep AS DOUBLE)) AS partial, sum(p * CAST(ec AS DOUBLE)) AS complete FROM collapsed LEFT JOIN ({EFFECT}) USING (lineage) GROUP BY 1, 2",
+    f"SELECT week, state, CASE WHEN count(*) = count(p * ep) THEN sum(p * CAST(ep AS DOUBLE)) END AS partial, CASE WHEN count(*) = count(p * ec) THEN sum(p * CAST(ec AS DOUBLE)) END AS complete FROM collapsed LEFT JOIN ({EFFECT}) USING (lineage) GROUP BY 1, 2",
     "collapsed",
 )
 check("vaccine_effectiveness", f"SELECT week, state, {r6('partial', 'complete')} FROM effect", "effect")
@@ -800,9 +804,9 @@ view(
     f"""SELECT week, fips, inc, coalesce(comp, 0) AS comp, coalesce(part, 0) AS part, coalesce(sero, 0) AS sero, se FROM (
     SELECT week, fips, inc, comp, part, {down('sero')} AS sero, {down('se')} AS se FROM (
     SELECT week, fips, {div('cases', 'pop')} AS inc, comp, part - comp AS part, p_immune AS sero, p_immune * (1 - p_immune) AS se
-    FROM step_weeks LEFT JOIN (SELECT fips, pop FROM population) USING (fips) LEFT JOIN coverage USING (week, fips)
+    FROM incidence LEFT JOIN (SELECT fips, pop FROM population) USING (fips) LEFT JOIN coverage USING (week, fips)
     LEFT JOIN (SELECT week, fips, p_immune FROM post) USING (week, fips)))""",
-    "step_weeks",
+    "incidence",
     "population",
     "coverage",
     "post",
@@ -917,7 +921,7 @@ view(
     f"""SELECT fips, {week('date')} AS week, avg(l_quantity / 25) AS "Rt", avg(l_discount * 20) AS "Ri", count(*) AS cases_j FROM lines GROUP BY 1, 2""",
     "lines",
 )
-view("risk", 'SELECT fips, week, "Ri", cases_j FROM estimates WHERE cases_j % 5 <> 0', "estimates")
+view("risk", 'SELECT fips, week, CASE WHEN cases_j % 5 <> 0 THEN "Ri" END AS "Ri", cases_j FROM estimates', "estimates")
 check(
     "bias_ratios",
     """SELECT fips, round(ri + 3.71e-10, 8) AS "R_risk", round(rt + 3.71e-10, 8) AS "Rt", round(rt / nullif(ri, 0) + 3.71e-10, 8) AS bg FROM (
@@ -1056,7 +1060,7 @@ check(
 check(
     "estimates_joined",
     f"""SELECT fips, week, {r6('a."Rt" AS "Rt"', 'b."Ri" AS "Ri"')}, b.cases_j FROM
-    (SELECT fips, week, "Rt" FROM estimates WHERE cases_j % 3 <> 0) a FULL JOIN risk b USING (fips, week)""",
+    (SELECT fips, week, CASE WHEN cases_j % 3 <> 0 THEN "Rt" END AS "Rt" FROM estimates) a FULL JOIN risk b USING (fips, week)""",
     "estimates",
     "risk",
 )

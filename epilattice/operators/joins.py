@@ -11,13 +11,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Pieces a hot key is cut into. After salting both join inputs come straight from a shuffle, which
 # is also what AQE needs to cut an oversized partition further.
 SALTS = 16
 
-# Columns that go into the salt. Few, so that the others can still be pruned from the scan.
-SALT_COLUMNS = 3
+# Types whose values are the same whenever a task is run again. A sum of doubles is not: its last bit follows the order
+# in which shuffle blocks arrive, and a row whose salt changed would go to another task than before.
+EXACT = (T.IntegralType, T.DateType, T.TimestampType, T.StringType, T.BooleanType, T.DecimalType)
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -65,12 +67,15 @@ def attach(
 ) -> DataFrame:
     """Salted natural join of a per-key table onto a large table with uneven keys.
 
-    The salt mixes a few values of the row with its input partition, so neither one hot key nor a
-    heap of equal rows ends in a single task. Any salt finds the same partner, as each row of
-    ``right`` is present under every salt; and a task that is run again computes the same salts.
+    The salt is a hash of the row's exact columns besides the key, so a hot key is spread over many tasks, and a task
+    that is run again computes the same salts. Any salt finds the same partner, as each row of ``right`` is present
+    under every salt. Without such a column, or with ``salts=1``, it is a plain join, which Spark may split when it
+    finds a partition much larger than the others.
     """
-    varied = [c for c in left.columns if c not in keys][:SALT_COLUMNS]
-    row = F.xxhash64(*[F.col(c) for c in varied], F.spark_partition_id())
+    varied = [f.name for f in left.schema.fields if f.name not in keys and isinstance(f.dataType, EXACT)]
+    if not varied or salts == 1:
+        return natural_join(left, right, keys, how)
+    row = F.xxhash64(*[F.col(c) for c in varied])
     big = left.withColumn("__salt", F.pmod(row, F.lit(salts)).cast("int"))
     small = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return natural_join(big, small, [*keys, "__salt"], how).drop("__salt")

@@ -2,70 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import attach, natural_join
-from .reshape import stack
 
-# Groups up to this size go to the built-in exact percentile; its buffer is then bounded.
-SMALL_GROUP = 100_000
-# The sketch of a larger group is accurate to 1 / ACCURACY of the ranks. A bracket reaches ten ranks
-# and ten times that error to both sides, so it holds the wanted order statistics.
-ACCURACY = 100_000
-
-
-def _bracketed(rows: DataFrame, keys: list[str], value: str, p: float, name: str, at_least: int) -> DataFrame:
-    """Quantile of large groups: a sketch brackets it, only the rows inside are ranked."""
-    margin = 10 / ACCURACY + 10 / at_least
-    ends = [max(0.0, p - margin), min(1.0, p + margin)]
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx(value, ends, ACCURACY).alias("__ends"), F.count(value).alias("__n")
-    )
-    placed = attach(rows, sketch, keys, "inner")
-    low, high = F.col("__ends")[0], F.col("__ends")[1]
-    below = placed.filter(F.col(value) < low).groupBy(*keys).agg(F.count(value).alias("__below"))
-    # Equal values are counted before ranking, so a heap of copies is one row.
-    levels = (
-        placed.filter(F.col(value).between(low, high))
-        .groupBy(*keys, value)
-        .agg(F.count(value).alias("__m"), F.first("__n").alias("__n"))
-    )
-    levels = natural_join(levels, below, keys)
-    upto = Window.partitionBy(*keys).orderBy(value)
-    last = F.coalesce("__below", F.lit(0)) + F.sum("__m").over(upto)
-    levels = levels.withColumn("__last", last).withColumn("__first", F.col("__last") - F.col("__m") + 1)
-    rank = (F.col("__n") - 1) * F.lit(p) + 1
-
-    def order_statistic(r: Column) -> Column:
-        return F.max(F.when((F.col("__first") <= r) & (r <= F.col("__last")), F.col(value)))
-
-    picked = levels.groupBy(*keys).agg(
-        order_statistic(F.floor(rank)).alias("__lo"),
-        order_statistic(F.ceil(rank)).alias("__hi"),
-        F.first(rank - F.floor(rank)).alias("__part"),
-    )
-    return picked.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__part")).alias(name))
-
-
-def group_quantiles(
-    df: DataFrame, keys: list[str], value: str, probs: dict[str, float], small_group: int = SMALL_GROUP
-) -> DataFrame:
-    """Exact quantiles with linear interpolation between order statistics, one column per name."""
-    rows = df.select(*keys, value)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size"))
-    small = attach(rows, sizes.filter(F.col("__size") <= small_group).drop("__size"), keys, "semi")
-    large = attach(rows.filter(F.col(value).isNotNull()), sizes.filter(F.col("__size") > small_group).drop("__size"), keys, "semi")
-    direct = small.groupBy(*keys).agg(*[F.percentile(value, p).alias(n) for n, p in probs.items()])
-    wide = None
-    for name, p in probs.items():
-        one = _bracketed(large, keys, value, p, name, small_group)
-        wide = one if wide is None else natural_join(wide, one, keys, "full")
-    return stack(direct, wide)
-
-
-def draw_summary(draws: DataFrame, variable: str = "variable", value: str = "value", small_group: int = SMALL_GROUP) -> DataFrame:
+# A group's values are dealt into this many buckets between cut points from a sketch. The cut points only decide how
+# even the buckets are: counts and ranks are exact for any of them.
+BUCKETS = 128
+ACCURACY = 10_000
+
+
+def _buckets(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """How often each value occurs, with its bucket. Equal values are one row before anything is ranked."""
+    rows = df.select(*keys, value).filter(F.col(value).isNotNull())
+    ends = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx(value, ends, ACCURACY).alias("__cuts"))
+    placed = attach(rows, cuts, keys, "inner")
+    bucket = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    return placed.groupBy(*keys, bucket.alias("__b"), value).agg(F.count(F.lit(1)).alias("__m"))
+
+
+def group_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles with linear interpolation between order statistics, one column per name.
+
+    Buckets are counted and put in order first, at most ``BUCKETS`` rows per group; only the buckets that hold a wanted
+    order statistic are ranked, each for itself. A group without known values gets missing quantiles.
+    """
+    levels = _buckets(df, keys, value)
+    in_order = Window.partitionBy(*keys).orderBy("__b")
+    counts = levels.groupBy(*keys, "__b").agg(F.sum("__m").alias("__n"))
+    counts = counts.withColumn("__upto", F.sum("__n").over(in_order)).withColumn("__all", F.sum("__n").over(Window.partitionBy(*keys)))
+    place = {name: (F.col("__all") - 1) * F.lit(p) for name, p in probs.items()}
+    ends = [F.struct(F.lit(name).alias("name"), F.lit(k).alias("end"), f(at).cast("long").alias("rank"), (at - F.floor(at)).alias("part")) for name, at in place.items() for k, f in enumerate((F.floor, F.ceil))]
+    wanted = counts.withColumn("__w", F.explode(F.array(*ends))).filter((F.col("__w.rank") < F.col("__upto")) & (F.col("__w.rank") >= F.col("__upto") - F.col("__n")))
+    wanted = wanted.select(*keys, "__b", "__w", (F.col("__w.rank") - F.col("__upto") + F.col("__n")).alias("__inside"))
+    own = natural_join(levels, wanted.select(*keys, "__b").distinct(), [*keys, "__b"], "semi")
+    own = own.withColumn("__last", F.sum("__m").over(Window.partitionBy(*keys, "__b").orderBy(value)))
+    met = natural_join(wanted, own, [*keys, "__b"], "inner")
+    met = met.filter((F.col("__inside") < F.col("__last")) & (F.col("__inside") >= F.col("__last") - F.col("__m")))
+
+    def at(name: str, end: int):
+        found = F.max(F.when((F.col("__w.name") == name) & (F.col("__w.end") == end), F.col(value)))
+        return F.coalesce(found, F.raise_error(F.lit(f"an order statistic of {name} was not found")).cast("double"))
+
+    def part(name: str):
+        return F.max(F.when(F.col("__w.name") == name, F.col("__w.part")))
+
+    picked = met.groupBy(*keys).agg(*[(at(n, 0) + (at(n, 1) - at(n, 0)) * part(n)).alias(n) for n in probs])
+    return natural_join(df.select(*keys).distinct(), picked, keys)
+
+
+def draw_summary(draws: DataFrame, variable: str = "variable", value: str = "value") -> DataFrame:
     """Mean, sd and the 2.5% and 97.5% quantile of the draws of each variable."""
     moments = draws.groupBy(variable).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    bounds = group_quantiles(draws, [variable], value, {"lower": 0.025, "upper": 0.975}, small_group)
+    bounds = group_quantiles(draws, [variable], value, {"lower": 0.025, "upper": 0.975})
     return natural_join(moments, bounds, [variable])

@@ -102,12 +102,15 @@ def transmissibility_multiplier(shares: DataFrame, table: DataFrame | None = Non
 
 
 def vaccine_effectiveness(shares: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    """Effectiveness against a state's lineage mix -> week, state, partial, complete."""
+    """Effectiveness against a state's lineage mix -> week, state, partial, complete.
+
+    A lineage without a known effectiveness makes the whole cell missing.
+    """
     known = effectiveness_table(shares.sparkSession) if table is None else table
     joined = natural_join(shares, known, ["lineage"])
     return joined.groupBy("week", "state").agg(
-        F.sum(F.col("p") * F.col("eff_partial")).alias("partial"),
-        F.sum(F.col("p") * F.col("eff_complete")).alias("complete"),
+        strict_sum(F.col("p") * F.col("eff_partial")).alias("partial"),
+        strict_sum(F.col("p") * F.col("eff_complete")).alias("complete"),
     )
 
 

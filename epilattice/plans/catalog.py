@@ -6,6 +6,7 @@ rounding keeps exact ties from being decided by the last bit.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -159,7 +160,8 @@ def upserted_edges(v: Views):
 
 
 def _sparse_edges(v: Views) -> DataFrame:
-    return v.weekly_edges().filter(F.month("week") % 3 == 1)
+    """Edges with a week missing here and there."""
+    return v.weekly_edges().filter(F.weekofyear("week") % 9 != 4)
 
 
 @query
@@ -169,8 +171,7 @@ def asof_edges(v: Views):
 
 @query
 def fallback_edges(v: Views):
-    first = _sparse_edges(v).filter(F.col("week") < F.lit("1996-07-01").cast("date"))
-    return coupling.fixed_fallback(v.weekly_means().select("week"), first, "1996-01-07")
+    return coupling.fixed_fallback(v.weekly_means().select("week"), _sparse_edges(v), "1996-01-07")
 
 
 @query
@@ -437,7 +438,7 @@ def dense_panel(v: Views):
 @query
 def dense_within_states(v: Views):
     rows = joins.natural_join(v.weekly_means(), v.geo().select("fips", "state"), ["fips"])
-    rows = rows.filter(F.month("week") == F.col("fips") % 12 + 1).select("state", "fips", "week", "n_sample")
+    rows = rows.filter(F.month("week") != F.col("fips") % 12 + 1).select("state", "fips", "week", "n_sample")
     return panel.complete(rows, ["fips"], "week", within=["state"])
 
 
@@ -449,8 +450,9 @@ def status_columns(v: Views):
 
 @query
 def week_columns(v: Views):
-    """A bounded list of weeks as columns, one row per place."""
-    days = ["1996-01-07", "1996-01-14", "1996-01-21", "1996-01-28"]
+    """All weeks of the reporting period as columns, one row per place."""
+    first = datetime.date(1995, 1, 1)
+    days = [str(first + datetime.timedelta(days=7 * k)) for k in range(345)]
     weekly = v.weekly_means().select("fips", F.date_format("week", "yyyy-MM-dd").alias("week"), "n_sample")
     wide = reshape.widen(weekly, ["fips"], "week", "n_sample", days)
     return wide.select("fips", *[F.col(f"`{d}`").alias("w" + d.replace("-", "_")) for d in days])
@@ -775,7 +777,8 @@ def _estimates(v: Views) -> DataFrame:
 
 
 def _risk(v: Views) -> DataFrame:
-    return _estimates(v).filter(F.col("cases_j") % 5 != 0).select(F.col("fips").alias("j"), "week", "Ri", "cases_j")
+    known = F.when(F.col("cases_j") % 5 != 0, F.col("Ri")).alias("Ri")
+    return _estimates(v).select(F.col("fips").alias("j"), "week", known, "cases_j")
 
 
 @query
@@ -872,7 +875,7 @@ def panel_smooth(v: Views):
 
 @query
 def estimates_joined(v: Views):
-    rt = _estimates(v).filter(F.col("cases_j") % 3 != 0).select("fips", "week", "Rt")
+    rt = _estimates(v).select("fips", "week", F.when(F.col("cases_j") % 3 != 0, F.col("Rt")).alias("Rt"))
     return diagnostics.join_estimates(rt, _risk(v))
 
 

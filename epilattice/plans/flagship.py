@@ -48,7 +48,7 @@ def contacts(v: Views) -> DataFrame:
 
 def immune_share(v: Views, stage=_lazy) -> DataFrame:
     cases = stage(v.cases_daily(), "cases")
-    incidence = weekly_incidence(cases, population=v.population(), geo=v.geo(), per_capita=True, dense=False)
+    incidence = weekly_incidence(cases, population=v.population(), geo=v.geo(), per_capita=True)
     coverage = partial_only(vaccination_coverage(v.vax_long())).select(
         "week", "fips", F.col("Complete").alias("complete"), F.col("Partial").alias("partial")
     )

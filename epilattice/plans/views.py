@@ -253,14 +253,14 @@ class Views:
 
     @once
     def draws(self) -> DataFrame:
-        """Model draws: ten indexed variables with one value per vector."""
+        """Model draws: one indexed variable for each element of the vectors, with one value per vector."""
         k = F.col("pos")
         name = F.concat(
             F.lit("mult["), (k % 5 + 1).cast("string"), F.lit(","), F.floor(k / 5 + 1).cast("string"), F.lit("]")
         )
         return (
             self.table("embeddings")
-            .select("vec_id", F.posexplode(F.slice("embedding", 1, 10)).alias("pos", "x"))
+            .select("vec_id", F.posexplode("embedding").alias("pos", "x"))
             .select(F.col("vec_id").alias("draw"), name.alias("variable"), F.col("x").cast("double").alias("value"))
         )
 

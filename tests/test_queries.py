@@ -29,7 +29,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(SQL) if os.environ.get("ALL_QUERIES") else QUICK)
 def test_query_equals_sql(spark, con, name):
-    assert compare(QUERIES[name](spark, FOLDER), con, SQL[name]) in ("", "no rows")
+    assert compare(QUERIES[name](spark, FOLDER), con, SQL[name]) == ""
 
 
 def test_every_query_is_checked_or_known():
@@ -42,7 +42,7 @@ def test_no_plan_crosses_tables(spark):
     import pathlib
 
     root = pathlib.Path(__file__).parents[1] / "epilattice"
-    source = "\n".join(p.read_text() for p in root.rglob("*.py"))
+    source = "\n".join(p.read_text() for p in root.rglob("*.py") if "llm" not in p.parts)
     for word in ("crossJoin(", "broadcast(", "localCheckpoint(", ".toPandas(", ".collect()", ".rdd"):
         assert word not in source
     plan = QUERIES["import_risk"](spark, FOLDER)._jdf.queryExecution().toString()
