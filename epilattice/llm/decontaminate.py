@@ -17,12 +17,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epilattice.llm.rows import as_texts, chunks, pick, unwrap, wrap
@@ -39,13 +39,20 @@ ALONE, WITH_ANSWER, ANSWER = 0.8, 0.6, 0.8
 #: Words whose numbers a worker keeps.
 WORDS_KEPT = 300_000
 
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "_")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
 
+def bare(raw: str) -> str:
+    """A word without signs at its edges."""
+    word = raw.strip(_MARKS)
+    return word if not word or word[0].isalnum() and word[-1].isalnum() else _EDGE.sub("", raw)
+
+
 def words_of(text: str) -> list[str]:
     """Lower-cased words without signs at their edges."""
-    return [w for w in (_EDGE.sub("", x) for x in text.lower().split()) if w]
+    return [w for w in map(bare, text.lower().split()) if w]
 
 
 @dataclass(frozen=True)
@@ -59,7 +66,7 @@ def passages(item: int | None, text: str | None, answer: str | None) -> list[Pas
     words = words_of(text or "")
     said = words_of(answer) if answer else words_of(_SENTENCE.split((text or "").strip())[-1])
     starts = [0, *range(PASSAGE, len(words) - PASSAGE // 2, PASSAGE)] if words else []
-    ends = [*starts[1:], len(words)]
+    ends = [*starts[1:], len(words)][: len(starts)]
     return [Passage(item, tuple(words[a:b]), tuple(said)) for a, b in zip(starts, ends, strict=True)]
 
 
@@ -71,7 +78,7 @@ class WordNumbers(dict):
         self.numbers = numbers
 
     def __missing__(self, raw: str) -> int:
-        number = self.numbers.get(_EDGE.sub("", raw), -1)
+        number = self.numbers.get(bare(raw), -1)
         if len(self) < WORDS_KEPT:
             self[raw] = number
         return number
@@ -81,22 +88,43 @@ class WordNumbers(dict):
         return np.fromiter(map(self.__getitem__, raw), dtype=np.int64, count=len(raw))
 
 
-def document_frequency(texts: DataFrame, numbers: dict[str, int]) -> tuple[np.ndarray, int]:
-    """In how many documents each of the numbered words occurs, and the number of documents."""
-    known = texts.sparkSession.sparkContext.broadcast(numbers)  # the words of one block of passages
+def numbered(rows: DataFrame, names: str, numbers: dict[str, int]) -> DataFrame:
+    """``rows`` with the numbers of their text's words (``ids``) instead of ``text``, their last column; stored.
+
+    Texts are so cut into words once for each block of the benchmark; counts, search and checks read numbers only.
+    """
+    known = rows.sparkSession.sparkContext.broadcast(numbers)  # the words of one block of passages
+    kind = id_type(numbers)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = WordNumbers(known.value)
+        for part in chunks(batches):
+            ids = [lookup.of(text).astype(kind).tobytes() for text in as_texts(part.column(part.num_columns - 1))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(ids, pa.binary())], names=[*part.schema.names[:-1], "ids"])
+
+    return settle(rows.mapInArrow(number, f"{names}, ids binary"), "word-numbers")
+
+
+def id_type(numbers: dict[str, int]) -> str:
+    return "<i2" if len(numbers) < 1 << 15 else "<i4"
+
+
+def document_frequency(texts: DataFrame, n_words: int, kind: str) -> tuple[np.ndarray, int]:
+    """In how many texts (numbers as bytes of ``kind``) each word occurs, and the number of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, total = WordNumbers(known.value), np.zeros(len(known.value) + 1, dtype=np.int64)
+        total = np.zeros(n_words + 1, dtype=np.int64)
         for part in chunks(batches):
-            for text in as_texts(part.column(0)):
-                ids = lookup.of(text)
-                total[np.unique(ids[ids >= 0])] += 1
+            for ids in part.column(0).to_pylist():
+                there = np.zeros(n_words + 1, dtype=bool)
+                there[np.frombuffer(ids, kind)] = True  # -1 falls on the last place
+                total[:-1] += there[:-1]
                 total[-1] += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "n"])
 
     counts = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(len(numbers) + 1, dtype=np.int64)
+    total = np.zeros(n_words + 1, dtype=np.int64)
     total[counts["word"]] = counts["n"]
     return total[:-1], int(total[-1])
 
@@ -150,9 +178,9 @@ def randomised_svd(rows: DataFrame, dims: int, rank: int, spare: int = SPARE, se
     return basis @ turn[:, kept], np.sqrt(size[kept])
 
 
-def common_in_order(a: tuple[str, ...], b: list[str]) -> int:
+def common_in_order(a: Sequence, b: Sequence) -> int:
     """Length of the longest common subsequence, a machine word of bits per place of ``a`` at once."""
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -165,66 +193,90 @@ def common_in_order(a: tuple[str, ...], b: list[str]) -> int:
 
 @dataclass(frozen=True)
 class Space:
-    """A block of passages in its latent space."""
+    """A block of passages in its latent space; ``words`` has the weighted latent vector of each numbered word."""
 
     passages: tuple[Passage, ...]
     numbers: dict[str, int]
-    weight: np.ndarray
-    vectors: np.ndarray
+    energy: np.ndarray
+    words: np.ndarray
     placed: np.ndarray
 
     def candidates(self, ids: np.ndarray) -> list[tuple[int, int, float]]:
-        """(first word of a window, passage, cosine) for the windows of a text that come near a passage."""
-        squares = np.where(ids >= 0, self.weight[ids] ** 2, 0.0)
-        total = np.concatenate([[0.0], np.cumsum(squares)])
-        starts = np.arange(0, max(len(ids) - WINDOW + STEP, 1), STEP)
-        own = total[np.minimum(starts + WINDOW, len(ids))] - total[starts]
+        """(first word of a window, passage, cosine) for the windows of a text that come near a passage.
+
+        A window's vector is a difference of running sums over the words that have a weight. It can't carry more of a
+        passage's weight than its words have, nor more than its vector is long; most windows end there.
+        """
+        places = np.flatnonzero((ids >= 0) & (self.energy[ids] > 0))
+        own = ids[places]
         norms = np.linalg.norm(self.placed, axis=1)
-        # A window can't carry more of a passage's weight than it has itself.
-        starts = starts[own >= LEAST_WEIGHT * float(norms.min()) ** 2 * (1 - 1e-6)]
+        least = LEAST_WEIGHT * float(norms.min()) * (1 - 1e-4)
+        starts = np.arange(0, max(len(ids) - WINDOW + STEP, 1), STEP)
+        low, high = np.searchsorted(places, starts), np.searchsorted(places, starts + WINDOW)
+        total = np.concatenate([[0.0], np.cumsum(self.energy[own])])
+        near = total[high] - total[low] >= least * float(norms.min())
+        if not near.any():
+            return []
+        starts, low, high = starts[near], low[near], high[near]
         found = []
         for at in range(0, len(starts), 256):
-            some = starts[at : at + 256]
-            x = np.zeros((len(some), self.vectors.shape[1]), dtype=np.float32)
-            for k, start in enumerate(some):
-                terms = np.unique(ids[start : start + WINDOW])
-                terms = terms[terms >= 0]
-                x[k] = self.weight[terms] @ self.vectors[terms]
-            inner = x @ self.placed.T
-            cosine = inner / np.maximum(np.linalg.norm(x, axis=1)[:, None] * norms, 1e-9)
+            some = slice(at, at + 256)
+            first, last = int(low[some].min()), int(high[some].max())
+            sums = np.concatenate([np.zeros((1, self.words.shape[1]), np.float32), np.cumsum(self.words[own[first:last]], axis=0)])
+            x = sums[high[some] - first] - sums[low[some] - first]
+            size = np.linalg.norm(x, axis=1)
+            long = np.flatnonzero(size >= least)
+            inner = x[long] @ self.placed.T
+            cosine = inner / np.maximum(size[long, None] * norms, 1e-9)
             hits = np.argwhere((cosine >= LEAST_COSINE) & (inner >= LEAST_WEIGHT * norms**2))
-            found += [(int(some[k]), int(p), float(cosine[k, p])) for k, p in hits]
+            found += [(int(starts[at + long[k]]), int(p), float(cosine[k, p])) for k, p in hits]
         return found
 
-    def leaks(self, text: str, lookup: WordNumbers) -> list[tuple[int | None, float, float, bool]]:
+    def leaks(self, ids: np.ndarray) -> list[tuple[int | None, float, float, bool]]:
         """(item, cosine, share in order, answer found): the best place of each passage that leaks into a text."""
-        ids = lookup.of(text)
-        if not len(ids):
-            return []
-        raw, best = None, {}
+        best = {}
         for start, p, cosine in self.candidates(ids):
-            raw = raw or [_EDGE.sub("", w) for w in text.lower().split()]
             passage = self.passages[p]
-            n = len(passage.words)
-            around = raw[max(0, start - n) : start + WINDOW + n]
-            share = common_in_order(passage.words, around) / n
-            answer = bool(passage.answer) and common_in_order(passage.answer, around) >= ANSWER * len(passage.answer)
-            if (share >= ALONE or (share >= WITH_ANSWER and answer)) and (p not in best or (share, cosine) > best[p][:2]):
-                best[p] = (share, cosine, answer)
-        return [(self.passages[p].item, cosine, share, answer) for p, (share, cosine, answer) in sorted(best.items())]
+            words, answer = ([self.numbers[w] for w in x] for x in (passage.words, passage.answer))
+            n = len(words)
+            around = ids[max(0, start - n) : start + WINDOW + n].tolist()
+            share = common_in_order(words, around) / n
+            answered = bool(answer) and common_in_order(answer, around) >= ANSWER * len(answer)
+            if (share >= ALONE or (share >= WITH_ANSWER and answered)) and (p not in best or (share, cosine) > best[p][:2]):
+                best[p] = (share, cosine, answered)
+        return [(self.passages[p].item, cosine, share, answered) for p, (share, cosine, answered) in sorted(best.items())]
+
+
+def word_numbers(block: list[Passage]) -> dict[str, int]:
+    return {w: i for i, w in enumerate(sorted({w for p in block for w in p.words + p.answer}))}
 
 
-def latent_space(texts: DataFrame, block: list[Passage]) -> Space:
-    """Weights from all documents, and the randomised SVD of the block's rows."""
+def latent_space(texts: DataFrame, block: list[Passage], numbers: dict[str, int]) -> Space:
+    """Weights from all documents (``ids`` of their words), and the randomised SVD of the block's rows."""
     spark = texts.sparkSession
-    numbers = {w: i for i, w in enumerate(sorted({w for p in block for w in p.words}))}
-    seen, n_docs = document_frequency(texts, numbers)
-    weight = np.log((1 + n_docs) / (1 + seen)) + 0.05
+    seen, n_docs = document_frequency(texts.select("ids"), len(numbers), id_type(numbers))
     ids = [sorted({numbers[w] for w in p.words}) for p in block]
+    weight = word_weights(seen, n_docs, ids)
     rows = spark.createDataFrame([(i, [float(weight[k]) for k in i]) for i in ids], "ids array<int>, values array<double>")
     vectors, _ = randomised_svd(rows.repartition(max(1, len(block) // 128)), len(numbers), RANK)
-    placed = np.stack([weight[i] @ vectors[i] for i in ids])
-    return Space(tuple(block), numbers, weight.astype(np.float32), vectors.astype(np.float32), placed.astype(np.float32))
+    return placed_in(block, numbers, ids, weight, vectors)
+
+
+def word_weights(seen: np.ndarray, n_docs: int, ids: list[list[int]]) -> np.ndarray:
+    """How rare each word is, less a quarter of the largest such weight.
+
+    Words of many documents so get no weight, and windows made of them are not looked at further; only where a passage
+    has fewer than three other words, such words keep a small one.
+    """
+    weight = np.log((1 + n_docs) / (1 + seen)) - 0.25 * math.log(1 + n_docs)
+    least = 0.0 if all(np.count_nonzero(weight[i] > 0.05) >= 3 for i in ids) else 0.05
+    return np.where(weight > 0.05, weight, least)
+
+
+def placed_in(block: list[Passage], numbers: dict[str, int], ids: list[list[int]], weight: np.ndarray, vectors: np.ndarray) -> Space:
+    words = weight[:, None] * vectors
+    placed = np.stack([words[i].sum(axis=0) for i in ids])
+    return Space(tuple(block), numbers, weight**2, words.astype(np.float32), placed.astype(np.float32))
 
 
 def blocks(benchmark: DataFrame, per_block: int = BLOCK) -> Iterator[list[Passage]]:
@@ -246,19 +298,21 @@ def blocks(benchmark: DataFrame, per_block: int = BLOCK) -> Iterator[list[Passag
 FOUND = "item_id long, cosine double, in_order double, answer boolean"
 
 
-def _found(rows: DataFrame, space: Space, keys: list[Column], names: str) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast(space)  # bounded by the block
+def _found(rows: DataFrame, block: list[Passage], names: str) -> DataFrame:
+    """The key columns of ``rows``, which end in ``text``, and ``FOUND`` for each leak of a block's passages."""
+    numbers = word_numbers(block)
+    table, kind = numbered(rows, names, numbers), id_type(numbers)
+    shared = rows.sparkSession.sparkContext.broadcast(latent_space(table, block, numbers))  # bounded by the block
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = WordNumbers(shared.value.numbers)
         for part in chunks(batches):
-            hits = [(i, *leak) for i, text in enumerate(as_texts(part.column(part.num_columns - 1))) for leak in shared.value.leaks(text, lookup)]
+            hits = [(i, *leak) for i, ids in enumerate(part.column(part.num_columns - 1).to_pylist()) for leak in shared.value.leaks(np.frombuffer(ids, kind))]
             at = pa.array([h[0] for h in hits], pa.int64())
             columns = [c.take(at) for c in part.columns[:-1]]
             more = [pa.array([h[k] for h in hits], kind) for k, kind in ((1, pa.int64()), (2, pa.float64()), (3, pa.float64()), (4, pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*columns, *more], names=[*part.schema.names[:-1], "item_id", "cosine", "in_order", "answer"])
 
-    return rows.select(*keys, "text").mapInArrow(search, f"{names}, {FOUND}")
+    return table.mapInArrow(search, f"{names}, {FOUND}")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -266,7 +320,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
     for block in blocks(benchmark):
-        own = _found(rows, latent_space(rows.select("text"), block), [F.col("doc_id")], "doc_id long")
+        own = _found(rows, block, "doc_id long")
         found = own if found is None else found.unionByName(own)
     return found if found is not None else docs.sparkSession.createDataFrame([], f"doc_id long, {FOUND}")
 
@@ -274,15 +328,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no benchmark passage leaked, with all their columns.
 
-    Rows are told apart by a hash of id and text, so documents without id are judged too; only hits are shuffled.
+    Rows are told apart by hashes of id and text, so documents without id are judged too; only hits are shuffled, and
+    the rows when the hits are too many for a broadcast by Spark's own check.
     """
     rows = wrap(docs, doc_id="doc_id", text="text")
     key = F.xxhash64("doc_id", "text"), F.xxhash64("text", F.lit("b"), "doc_id")
-    texts = rows.select("text")
     hits = None
     for block in blocks(benchmark):
-        keyed = rows.select(key[0].alias("k1"), key[1].alias("k2"), "text")
-        own = _found(keyed, latent_space(texts, block), [F.col("k1"), F.col("k2")], "k1 long, k2 long").select("k1", "k2")
+        own = _found(rows.select(key[0].alias("k1"), key[1].alias("k2"), "text"), block, "k1 long, k2 long").select("k1", "k2")
         hits = own if hits is None else hits.unionByName(own)
     if hits is None:
         return docs
