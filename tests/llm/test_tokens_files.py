@@ -168,7 +168,9 @@ def test_packing_of_awkward_rows(awkward, plain):
 def test_query_op4_is_close_to_its_bound(spark, small, documents, plain):
     want = expected_ids([(r.doc_id, r.text) for r in documents.collect()], plain, 0)
     n = check_packing(op4_best_fit(spark, small).collect(), want)
-    assert n == packing.lower_bound(np.array([len(ids[k : k + 2048]) for _, ids in want for k in range(0, len(ids), 2048)]), 2048)
+    # No packing is below the bound; best-fit decreasing on so few pieces may miss it by one sequence.
+    least = packing.lower_bound(np.array([len(ids[k : k + 2048]) for _, ids in want for k in range(0, len(ids), 2048)]), 2048)
+    assert least <= n <= least + 1
 
 
 def test_exchange_between_partitions_saves_sequences(spark):
