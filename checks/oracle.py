@@ -656,12 +656,11 @@ view(
 WEEKLY = "SELECT week, o, d, p AS v FROM weekly_edges"
 view("product_null", product(WEEKLY, "SELECT week, fips FROM rates", True), "weekly_edges", "rates")
 view("product_zero", product(WEEKLY, "SELECT week, fips FROM rates", False), "weekly_edges", "rates")
-view("product_clean", product("SELECT week, o, d, prop AS v FROM cleaned", "SELECT week, fips FROM rates", True), "cleaned", "rates")
 
 
-def coupled(source: str) -> str:
+def coupled(source: str, rates: str = "rates") -> str:
     return f"""SELECT week, i, j, mean FROM (SELECT p.week, i, j, fit * s + CASE WHEN i = j THEN hh_size * coalesce(own, 0) * coalesce(own, 0) ELSE 0 END AS mean
-    FROM {source} p JOIN rates r ON r.week = p.week AND r.fips = i) WHERE mean > 1e-4"""
+    FROM {source} p JOIN {rates} r ON r.week = p.week AND r.fips = i) WHERE mean > 1e-4"""
 
 
 for name, source in (("coupling_by_week", "product_null"), ("coupling_blocks", "product_zero")):
@@ -874,17 +873,6 @@ def risk(source: str, least: int) -> str:
 
 
 check("import_risk_of_shares", risk("r_ij", 0), "r_ij", "incidence")
-view(
-    "r_full",
-    f"""SELECT i, j, c.week, mean * ((1 - mean_sigma) * coalesce(beta_mult, 1)) AS "R" FROM ({coupled('product_clean')}) c
-    LEFT JOIN (SELECT week, fips, mean_sigma, state FROM sigma JOIN geo USING (fips)) s ON s.week = c.week AND s.fips = j
-    LEFT JOIN multiplier m ON m.week = c.week AND m.state = s.state WHERE j <> 36005""",
-    "product_clean",
-    "sigma",
-    "geo",
-    "multiplier",
-)
-check("import_risk", risk("r_full", 2), "r_full", "incidence")
 check(
     "import_risk_variance",
     """SELECT j, week, round(own + imported / (cases_j::DOUBLE * cases_j) + 3.71e-10, 8) AS "var_Ri", cases_j FROM (
@@ -1042,9 +1030,9 @@ view(
     "geo",
     "contact_small",
 )
-check(
-    "contact_rates",
-    f"""SELECT week, fips, {r6('r * fit AS fit', 'se AS se_fit')} FROM (
+view(
+    "contacts_scaled",
+    f"""SELECT week, fips, r * fit AS fit, se AS se_fit FROM (
     SELECT week, fips, r, {down('fit')} AS fit, {down('se_fit')} AS se FROM (
     SELECT date AS week, fips, {div('r', 'm')} AS r FROM (SELECT *, avg(r) OVER (PARTITION BY fips) AS m FROM (
     SELECT date, fips, {div(div('i', 'im'), div('o', 'om'))} AS r FROM poi_visits WHERE fips NOT IN (SELECT fips FROM contact_small)
@@ -1054,6 +1042,32 @@ check(
     "contact_pool",
     "contact_fit",
 )
+check("contact_rates", f"SELECT week, fips, {r6('fit', 'se_fit')} FROM contacts_scaled", "contacts_scaled")
+
+# The whole chain: scaled contacts, edges of the last known week, sigma on the dense incidence
+
+view("rates_scaled", "SELECT week, fips, fit, hh_size FROM contacts_scaled JOIN household USING (fips)", "contacts_scaled", "household")
+view(
+    "edges_asof",
+    """SELECT c.week, o, d, prop FROM (
+    SELECT c.week, max(s.week) AS source FROM (SELECT DISTINCT week FROM incidence) c JOIN (SELECT DISTINCT week FROM cleaned) s ON s.week <= c.week GROUP BY 1) c
+    JOIN cleaned e ON e.week = c.source""",
+    "incidence",
+    "cleaned",
+)
+view("product_asof", product("SELECT week, o, d, prop AS v FROM edges_asof", "SELECT week, fips FROM rates_scaled", True), "edges_asof", "rates_scaled")
+view(
+    "r_full",
+    f"""SELECT i, j, c.week, mean * ((1 - mean_sigma) * coalesce(beta_mult, 1)) AS "R" FROM ({coupled('product_asof', 'rates_scaled')}) c
+    LEFT JOIN (SELECT week, fips, mean_sigma, state FROM sigma JOIN geo USING (fips)) s ON s.week = c.week AND s.fips = j
+    LEFT JOIN multiplier m ON m.week = c.week AND m.state = s.state WHERE j <> 36005""",
+    "product_asof",
+    "rates_scaled",
+    "sigma",
+    "geo",
+    "multiplier",
+)
+check("import_risk", risk("r_full", 2), "r_full", "incidence")
 
 # Diagnostics
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.bias import bias_ratio
-from ..operators.coupling import contact_rate, coupling
+from ..operators.coupling import asof_partition, contact_rate, coupling
 from ..operators.diagnostics import join_estimates
 from ..operators.immunity import immunity
 from ..operators.incidence import weekly_incidence
@@ -61,13 +61,17 @@ def multiplier(v: Views) -> DataFrame:
 
 
 def risk_chain(v: Views, contact: DataFrame | None = None, stage=_lazy) -> DataFrame:
-    """Edges to coupling to R_ij to import risk."""
-    rates = stage(v.contact_fit() if contact is None else contact, "contact")
-    edges = stage(cleaned_edges(v, stage), "edges")
+    """Edges to coupling to R_ij to import risk.
+
+    Contact rates are scaled by the indoor ratio unless they are given; each week takes the edges of the last week that
+    has some.
+    """
+    rates = stage(contacts(v) if contact is None else contact, "contact")
+    incidence = stage(weekly_incidence(v.cases_daily()), "incidence")
+    edges = stage(asof_partition(incidence.select("week"), stage(cleaned_edges(v, stage), "edges")), "edges-by-week")
     coupled = stage(coupling(edges, rates, v.household()), "coupling")
     sigma = stage(immune_share(v, stage), "sigma")
     r_ij = stage(pair_reproduction(coupled, sigma, stage(multiplier(v), "multiplier"), v.geo()), "r_ij")
-    incidence = stage(weekly_incidence(v.cases_daily()), "incidence")
     return import_risk(r_ij, incidence, SAMPLE_MIN_CASES, distinct_rows=False)
 
 
