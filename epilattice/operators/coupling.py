@@ -193,10 +193,13 @@ def overlap(
 
 
 def _endpoint_rates(contact: DataFrame, household: DataFrame) -> DataFrame:
-    """Contact rate and household size of every place and week that takes part."""
+    """Contact rate and household size of every place and week that takes part.
+
+    A place that is listed under its old and its new code counts once, with the larger size.
+    """
     keys = ["fips", "week"] if "week" in household.columns else ["fips"]
-    sizes = household.withColumn("fips", places.renamed(F.col("fips")))
-    rates = natural_join(contact.select("week", "fips", "fit"), sizes.select(*keys, "hh_size"), keys, "inner")
+    sizes = household.withColumn("fips", places.renamed(F.col("fips"))).groupBy(*keys).agg(F.max("hh_size").alias("hh_size"))
+    rates = natural_join(contact.select("week", "fips", "fit"), sizes, keys, "inner")
     return rates.filter((F.col("fips") < places.FIRST_TERRITORY) & ~in_set(F.col("fips"), places.UNCOUPLED))
 
 
@@ -230,10 +233,12 @@ def coupling_variance(
 ) -> DataFrame:
     """Variance of the coupling when contacts are independent -> week, i, j, var.
 
-    ``contact_var`` is (week, fips, var): the squared standard error of the contact rate.
+    ``contact_var`` is (week, fips, var): the squared standard error of the contact rate. Blocks are laid for its places
+    and those of ``place_list``, so they stay bounded when the list misses some.
     """
     edges = _coupled_edges(edges_week, contact_var, missing_self)
-    product = overlap(edges, place_list, rows_per_block, columns_per_block)
+    known = place_list.select("fips").union(contact_var.select("fips")).distinct()
+    product = overlap(edges, known, rows_per_block, columns_per_block)
     named = contact_var.select("week", F.col("fips").alias("i"), "var")
     scaled = natural_join(product, named, ["week", "i"], "inner", null_safe=False)
     return scaled.select("week", "i", "j", (F.col("var") * F.col("s") * F.col("s")).alias("var")).filter(

@@ -51,18 +51,24 @@ def local_session(cores: int | str = 8, memory: str = "8g") -> SparkSession:
     return configure(spark)
 
 
+# Scratch folders of local sessions that name no shared folder, by application. They go when the process ends.
+_LOCAL_FOLDERS: dict[str, tempfile.TemporaryDirectory] = {}
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a folder of its own: on a cluster the executors would
-    not see it.
+    not see it. The session's settings stay as they are.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.split("[")[0] == "local":
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="epilattice-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        own = spark.sparkContext.applicationId
+        if own not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[own] = tempfile.TemporaryDirectory(prefix="epilattice-", ignore_cleanup_errors=True)
+        root = _LOCAL_FOLDERS[own].name
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
