@@ -35,9 +35,9 @@ def _gamma_cdf(x: float, shape: float, scale: float) -> float:
         d = 1 / (a * d + b or tiny)
         c = b + a / c or tiny
         h *= d * c
-        if abs(d * c - 1) < 1e-16:
-            break
-    return 1 - lead * h
+        if abs(d * c - 1) < 4e-16:
+            return 1 - lead * h
+    raise ArithmeticError(f"the continued fraction for shape {shape} at {y} did not settle")
 
 
 def serial_interval(mean_si: float = 5.5, sd_si: float = 4.2, length: int | None = None) -> list[float]:

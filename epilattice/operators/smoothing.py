@@ -18,7 +18,8 @@ from .joins import attach, natural_join
 from .panel import distinct_values
 
 PENALTIES = tuple(10.0**k for k in range(-3, 7))
-IRLS_STEPS = 25
+# Reweighting ends when no fitted logit moves by more than this; that many steps without it are an error.
+IRLS_MOVE, IRLS_STEPS = 1e-8, 2000
 
 
 def cubic_basis(x: np.ndarray, low: float, high: float, size: int) -> np.ndarray:
@@ -65,7 +66,7 @@ def gaussian_fit(basis, w, wy, wyy, n, penalties, ridge):
 
 
 def binomial_fit(basis, success, n, penalties):
-    """Coefficients on the logit scale by iterated weighted least squares."""
+    """Coefficients on the logit scale by weighted least squares, repeated until the fit stands still."""
     rough = roughness(basis.shape[1])
     best = None
     for value in penalties:
@@ -77,7 +78,11 @@ def binomial_fit(basis, success, n, penalties):
             target = eta + (success / n - mu) / (mu * (1 - mu))
             gram = basis.T @ (weight[:, None] * basis)
             beta, inverse = _solve(gram, basis.T @ (weight * target), value * rough)
-            eta = np.clip(basis @ beta, -30, 30)
+            before, eta = eta, np.clip(basis @ beta, -30, 30)
+            if np.abs(eta - before).max() < IRLS_MOVE:
+                break
+        else:
+            raise RuntimeError(f"the binomial smooth did not settle in {IRLS_STEPS} steps")
         mu = np.clip(1 / (1 + np.exp(-eta)), 1e-12, 1 - 1e-12)
         share = success / n
         with np.errstate(divide="ignore", invalid="ignore"):
