@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,12 +30,12 @@ from epilattice.llm.rows import as_bytes, chunks, pick
 from epilattice.session import settle
 
 #: Cells of the sketch of shingle counts that orders the shingles (any order is right, a good one is fast), and bits of
-#: the filter that tells which documents' sets are needed for comparisons. Both go to every task: 4 MB and 1 MB.
-SKETCH_CELLS, FILTER_BITS, SLICE = 1 << 20, 1 << 23, 1 << 14
+#: the filter that tells which documents' sets are needed for comparisons. Both go to every task: 8 MB and 1 MB.
+SKETCH_CELLS, FILTER_BITS, SLICE = 1 << 22, 1 << 23, 1 << 14
 #: Words whose hashes a worker keeps.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 #: Pivots in a list grow by this factor from round to round.
-MORE_PIVOTS = 4
+MORE_PIVOTS = 64
 
 
 class WordHashes(dict):
@@ -77,6 +78,27 @@ def signature(tokens: np.ndarray) -> bytes | None:
     return hashlib.md5(tokens.tobytes()).digest() if len(tokens) else None
 
 
+def bit_map(tokens: np.ndarray) -> bytes:
+    """Four to eight bits for each shingle, set by the low bits of its hash: a sixteenth of the set's own size or less.
+
+    A bit that is set for one set and not for another stands for a shingle that the other does not have.
+    """
+    bits = 64
+    while bits < 4 * len(tokens):
+        bits *= 2
+    filled = np.zeros(bits, dtype=bool)
+    filled[(tokens & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(filled, bitorder="little").tobytes()
+
+
+def most_common(x: bytes, n_x: int, y: bytes, n_y: int) -> int:
+    """A bound on the shingles that two sets share, from their bit maps; the longer map is folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_or.reduce(v.reshape(-1, size), axis=0) for v in (a, b))
+    return min(n_x - int(np.bitwise_count(a & ~b).sum()), n_y - int(np.bitwise_count(b & ~a).sum()))
+
+
 def prefix_length(n: int, percent: int) -> int:
     """How many of the first shingles in any common order have to be indexed."""
     return n - -(-percent * n // 100) + 1
@@ -90,8 +112,8 @@ def _bit(doc_id: int) -> int:
     return ((doc_id * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF) >> 41
 
 
-def set_table(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, np.ndarray]:
-    """``doc_id, n, sig`` of every document, stored, and the sketch of how often indexed shingles occur.
+def set_table(rows: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+    """``doc_id, n, sig, map`` of every document, stored, and the sketch of how often shingles occur.
 
     Each task counts into cells and adds its cells to its output, slice by slice; slices are summed by number.
     """
@@ -101,40 +123,41 @@ def set_table(rows: DataFrame, size: int, percent: int) -> tuple[DataFrame, np.n
         for part in chunks(batches):
             sets = [shingles(text, size) for text in as_bytes(part.column(1))]
             for s in sets:
-                np.add.at(cells, _cells(s[: 2 * prefix_length(len(s), percent)]), np.uint32(1))
-            yield batch(part.column(0), [len(s) for s in sets], [signature(s) for s in sets])
+                np.add.at(cells, _cells(s), np.uint32(1))
+            yield batch(part.column(0), [len(s) for s in sets], [signature(s) for s in sets], [bit_map(s) for s in sets])
         for k in range(0, SKETCH_CELLS, SLICE):
             if cells[k : k + SLICE].any():
-                yield batch([None], [-1 - k // SLICE], [cells[k : k + SLICE].tobytes()])
+                yield batch(pa.array([None], pa.int64()), [-1 - k // SLICE], [None], [zlib.compress(cells[k : k + SLICE].tobytes(), 1)])
 
-    def batch(doc_ids, ns, sigs) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([doc_ids if isinstance(doc_ids, pa.Array) else pa.array(doc_ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "sig"])
+    def batch(doc_ids: pa.Array, ns: list, sigs: list, maps: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(ns, pa.int64()), pa.array(sigs, pa.binary()), pa.array(maps, pa.binary())], names=["doc_id", "n", "sig", "map"])
 
-    stored = settle(rows.mapInArrow(measure, "doc_id long, n long, sig binary"), "shingle-sets")
+    stored = settle(rows.mapInArrow(measure, "doc_id long, n long, sig binary, map binary"), "shingle-sets")
 
     def add(key, table):
         total = np.zeros(SLICE, dtype=np.int64)
-        for cells in table.column("sig"):
-            total += np.frombuffer(cells.as_py(), "<u4")
-        return pa.table({"n": [key[0].as_py()], "cells": [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]})
+        for cells in table.column("map"):
+            total += np.frombuffer(zlib.decompress(cells.as_py()), "<u4")
+        return pa.table({"n": [key[0].as_py()], "cells": [np.minimum(total, 2**16 - 1).astype("<u2").tobytes()]})
 
     slices = stored.filter("n < 0").groupBy("n").applyInArrow(add, "n long, cells binary").toPandas()
-    sketch = np.zeros(SKETCH_CELLS, dtype="<u4")
+    sketch = np.zeros(SKETCH_CELLS, dtype="<u2")  # counts beyond its range are all as common as can be
     for n, cells in zip(slices["n"], slices["cells"], strict=True):
         at = (-1 - n) * SLICE
-        sketch[at : at + SLICE] = np.frombuffer(cells, "<u4")
+        sketch[at : at + SLICE] = np.frombuffer(cells, "<u2")
     return stored.filter("n >= 0"), sketch
 
 
 def index_lists(rows: DataFrame, sketch: np.ndarray, size: int, percent: int) -> DataFrame:
-    """``token, block, sig, n, pos``: the index lists that hold at least two different sets, stored.
+    """``token, block, sig, n, pos``: the index lists in which at least two different sets may be similar, stored.
 
     A set is listed under its first shingles in the order of (sketched count, hash); ``block`` is its class of sizes:
     similar sets lie in the same block or in neighbouring ones. Shingles of one set only leave after an aggregate with
-    map-side combine.
+    map-side combine. Whole blocks are skipped next: neighbours share one of two ways to pair blocks up, so a block
+    without another set in either of its pairs has nothing to find.
     """
     order = rows.sparkSession.sparkContext.broadcast(sketch)
-    step = -math.log(percent / 100)
+    step = -math.log(percent / 100) * (1 + 1e-9)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
@@ -157,16 +180,18 @@ def index_lists(rows: DataFrame, sketch: np.ndarray, size: int, percent: int) ->
     shared = found.groupBy("token").agg(F.min(h).alias("low"), F.max(h).alias("high")).filter("low <> high").select("token")
     block = F.floor(F.log(F.col("n")) / F.lit(step)).cast("int").alias("block")
     kept = found.join(shared, "token").dropDuplicates(["token", "sig"]).select("token", block, "sig", "n", "pos")
-    return settle(kept, "shingle-lists")
+    pairs = F.array(F.floor(F.col("block") / 2) * 2, F.floor((F.col("block") + 1) / 2) * 2 + 1)
+    filled = kept.select("token", "sig", F.explode(pairs).alias("pair")).groupBy("token", "pair").agg(F.min(h).alias("low"), F.max(h).alias("high"))
+    useful = filled.filter("low <> high").groupBy("token").agg(F.collect_set("pair").alias("useful"))
+    return settle(kept.join(useful, "token").filter(F.arrays_overlap("useful", pairs)).drop("useful"), "shingle-lists")
 
 
-def needed_sets(rows: DataFrame, nodes: DataFrame, lists: DataFrame, size: int) -> DataFrame:
-    """``sig, tokens``: the sets that stand in a list, each once, stored.
+def needed_sets(rows: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``sig, tokens``: the sets of the nodes ``wanted`` (``sig, rep``), each once, stored.
 
-    Sets are made again from the texts of one document for each node; a filter of fixed size over the ids of these
+    Sets are made again from the text of one document for each node; a filter of fixed size over the ids of these
     documents spares most others, and the join by signature then is exact.
     """
-    wanted = settle(nodes.join(lists.select("sig").distinct(), "sig").select("sig", "rep"), "shingle-nodes")
     bits = wanted.select("rep").mapInArrow(_bits_of, "word int, bits binary").groupBy("word").applyInArrow(_join_bits, "word int, bits binary").toPandas()
     filled = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     for word, value in zip(bits["word"], bits["bits"], strict=True):
@@ -201,99 +226,129 @@ def _join_bits(key, table):
 
 
 def candidates(lists: DataFrame, pivots_per_list: int, rounds: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of sets to compare in this round (``a < b``), and the lists' pivots (``token, block, sig``).
+    """Pairs of sets to compare in this round (``a < b``, labels ``la, lb``), and the lists' pivots (``token, block, sig``).
 
     A list's pivots are its smallest sets, one for each share by hash, which is an aggregate with map-side combine. A
     pivot meets the blocks beside its own; size, position, equal labels and distances to a common pivot skip the rest.
     """
     share = F.pmod(F.xxhash64("sig", F.lit(rounds)), F.lit(pivots_per_list))
-    least = F.min(F.struct("n", "sig", "pos", "label", "ref", "far")).alias("p")
-    pivots = lists.groupBy("token", "block", share.alias("share")).agg(least)
+    first_round = "label" not in lists.columns
+    carried = ["n", "sig", "pos"] if first_round else ["n", "sig", "pos", "label", "ref", "far"]
+    pivots = lists.groupBy("token", "block", share.alias("share")).agg(F.min(F.struct(*carried)).alias("p"))
     near = pivots.select("token", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), "p")
     p = lambda name: F.col(f"p.{name}")
     sizes = p("n") + F.col("n")
-    most = F.least(p("pos"), "pos") + 1 + F.least(p("n") - p("pos"), F.col("n") - F.col("pos")) - 1
-    skip_far = F.coalesce((p("ref") == F.col("ref")) & (F.abs(p("far") - F.col("far")) > F.lit(1 - percent / 100 + 1e-9)), F.lit(False))
+    # Two similar sets meet in the list of their first common shingle, where nothing before it is common.
+    most = F.least(p("n") - p("pos"), F.col("n") - F.col("pos"))
+    mine, other = (p("sig"), F.col("sig")) if first_round else (p("label"), F.col("label"))
+    too_far = F.lit(False) if first_round else F.coalesce((p("ref") == F.col("ref")) & (F.abs(p("far") - F.col("far")) > F.lit(1 - percent / 100 + 1e-9)), F.lit(False))
     can = (
-        (p("label") != F.col("label"))
+        (mine != other)
         & (F.lit(100) * F.least(p("n"), "n") >= F.lit(percent) * F.greatest(p("n"), "n"))
         & (F.lit(100 + percent) * most >= F.lit(percent) * sizes)
-        & ~skip_far
+        & ~too_far
     )
     pairs = near.join(lists, ["token", "block"]).filter(can)
-    return pairs.select(F.least(p("sig"), "sig").alias("a"), F.greatest(p("sig"), "sig").alias("b")).distinct(), pivots.select("token", "block", "p.sig")
+    first = p("sig") < F.col("sig")
+    ends = [F.when(first, x).otherwise(y).alias(name) for name, x, y in (("a", p("sig"), F.col("sig")), ("b", F.col("sig"), p("sig")), ("la", mine, other), ("lb", other, mine))]
+    return pairs.select(*ends).distinct(), pivots.select("token", "block", "p.sig")
+
+
+def possible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """``a, b, la, lb, open`` for each pair, stored: whether the bit maps leave it possible that the sets are similar."""
+    side = lambda x: nodes.select(F.col("sig").alias(x), F.col("map").alias(f"m{x}"), F.col("n").alias(f"n{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "la", "lb", "ma", "na", "mb", "nb")
+
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches):
+            rows = zip(*(c.to_pylist() for c in part.columns[4:]), strict=True)
+            can = [(100 + percent) * most_common(x, n, y, m) >= percent * (n + m) for x, n, y, m in rows]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(can, pa.bool_())], names=["a", "b", "la", "lb", "open"])
+
+    return settle(met.mapInArrow(bound, "a binary, b binary, la binary, lb binary, open boolean"), "shingle-pairs")
 
 
 def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, both, either``: sizes of intersection and union of each pair, stored."""
+    """``a, b, la, lb, both, either``: sizes of intersection and union of each pair, stored."""
     met = pairs.join(sets.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("tb")), "b")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
             both, either = [], []
-            for ta, tb in zip(part.column(2), part.column(3), strict=True):
+            for ta, tb in zip(part.column(4), part.column(5), strict=True):
                 x, y = np.frombuffer(ta.as_buffer(), np.uint64), np.frombuffer(tb.as_buffer(), np.uint64)
                 at = np.searchsorted(x, y)
                 n = int((x[np.minimum(at, len(x) - 1)] == y).sum())
                 both.append(n)
                 either.append(len(x) + len(y) - n)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "both", "either"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(both, pa.int64()), pa.array(either, pa.int64())], names=["a", "b", "la", "lb", "both", "either"])
+
+    names = "a binary, b binary, la binary, lb binary, both long, either long"
+    return settle(met.select("a", "b", "la", "lb", "ta", "tb").mapInArrow(count, names), "shingle-links")
 
-    return settle(met.select("a", "b", "ta", "tb").mapInArrow(count, "a binary, b binary, both long, either long"), "shingle-pairs")
 
+def relabelled(table: DataFrame, moved: DataFrame) -> DataFrame:
+    """``table`` with the labels of a round's components, ``moved`` (``label, to``), in the place of those before."""
+    return table.join(moved, "label", "left").withColumn("label", F.coalesce("to", "label")).select(*table.columns)
 
-def relabelled(lists: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Components of all links so far, and the lists with them as labels."""
-    labels = components(links)
-    new = F.coalesce("found", "sig").alias("label")
-    joined = lists.drop("label").join(labels.select(F.col("node").alias("sig"), F.col("label").alias("found")), "sig", "left")
-    return labels, joined.select("token", "block", "sig", "n", "pos", "ref", "far", new)
 
+def similar_sets(rows: DataFrame, lists: DataFrame, nodes: DataFrame, size: int, percent: int) -> list[DataFrame]:
+    """How labels move, ``label, to``, round by round; a set's first label is its own signature.
 
-def similar_sets(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``node, label`` of the sets that are linked with another one."""
-    lists = lists.withColumn("label", F.col("sig")).withColumn("ref", F.lit(None).cast("binary")).withColumn("far", F.lit(None).cast("double"))
-    links = compared = labels = None
-    rounds = 0
+    A round joins components by the links found between them, so a round without links moves nothing.
+    """
+    met, moves, rounds = None, [], 0
     while True:
         pairs, pivots = candidates(lists, MORE_PIVOTS**rounds, rounds, percent)
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+        if met is not None:
+            pairs = pairs.join(met, ["a", "b"], "left_anti")
         pivots = settle(pivots, "shingle-pivots")
-        found = compare(pairs, sets)
-        compared = found if compared is None else compared.unionByName(found)
-        own = found.filter(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
-        links = own if links is None else links.unionByName(own)
-        labels, lists = relabelled(lists, links)
-        if rounds == 0:
-            lists = with_distances(lists, pivots, compared)
+        seen = possible(pairs, nodes, percent)
+        met = seen.select("a", "b") if met is None else met.unionByName(seen.select("a", "b"))
+        near, found, moved = seen.filter("open").drop("open"), None, None
+        if near.take(1):
+            ends = near.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+            found = compare(near, needed_sets(rows, settle(nodes.select("sig", "rep").join(ends, "sig"), "shingle-nodes"), size))
+            links = found.filter(100 * F.col("both") >= percent * F.col("either")).select(F.col("la").alias("a"), F.col("lb").alias("b"))
+            if links.take(1):
+                moves.append(components(links).select(F.col("node").alias("label"), F.col("label").alias("to")))
+                moved = moves[-1]
         # A pivot has met all of its list; a list of one component has nothing left to find.
         left = lists.join(pivots, ["token", "block", "sig"], "left_anti")
+        if rounds == 0:
+            left = left.withColumn("label", F.col("sig"))
+        if moved is not None:
+            left = relabelled(left, moved)
         open_lists = left.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("token")
-        lists = settle(left.join(open_lists, "token").select(*lists.columns), "shingle-lists")
+        left = left.join(open_lists, "token").select(*left.columns)
+        lists = settle(with_distances(left, pivots, found) if rounds == 0 else left, "shingle-lists")
         if not lists.take(1):
-            return labels
+            return moves
         rounds += 1
 
 
-def with_distances(lists: DataFrame, pivots: DataFrame, compared: DataFrame) -> DataFrame:
+def with_distances(lists: DataFrame, pivots: DataFrame, compared: DataFrame | None) -> DataFrame:
     """Each listed set with its list's first pivot (``ref``) and the Jaccard distance to it (``far``), where known."""
+    if compared is None:
+        return lists.withColumn("ref", F.lit(None).cast("binary")).withColumn("far", F.lit(None).cast("double"))
     ref = pivots.select("token", "block", F.col("sig").alias("ref"))
     distance = compared.select("a", "b", (1 - F.col("both") / F.col("either")).alias("far"))
-    joined = lists.drop("ref", "far").join(ref, ["token", "block"]).withColumn("a", F.least("ref", "sig")).withColumn("b", F.greatest("ref", "sig"))
-    return joined.join(distance, ["a", "b"], "left").select(*lists.columns)
+    joined = lists.join(ref, ["token", "block"]).withColumn("a", F.least("ref", "sig")).withColumn("b", F.greatest("ref", "sig"))
+    return joined.join(distance, ["a", "b"], "left").select(*lists.columns, "ref", "far")
 
 
 def shingle_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id`` per document; ``percent`` is the least Jaccard similarity of a link."""
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table, sketch = set_table(rows, size, percent)
-    nodes = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL")
+    table, sketch = set_table(rows, size)
+    nodes = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"))
+    nodes = settle(nodes.filter("rep IS NOT NULL"), "shingle-nodes")
     # Rows without doc_id take part through the documents with an id whose set is the same.
     lists = index_lists(rows.filter("doc_id IS NOT NULL"), sketch, size, percent)
-    sets = needed_sets(rows, nodes, lists, size)
-    labels = similar_sets(lists, sets, percent)
-    classes = nodes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    moves = similar_sets(rows, lists, nodes, size, percent)
+    classes = nodes.select("sig", "rep", F.col("sig").alias("label"))
+    for moved in moves:
+        classes = relabelled(classes, moved)
     smallest = classes.groupBy("label").agg(F.min("rep").alias("component"))
     named = classes.join(smallest, "label").select("sig", "component")
     return table.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
