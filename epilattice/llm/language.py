@@ -70,15 +70,16 @@ def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 50.0, steps: int = 200) ->
 
     Accelerated gradient steps on the whole sample, with the step size from the largest curvature.
     """
-    z = np.column_stack([x, np.ones(len(x), dtype=x.dtype)]).astype(np.float64)
-    weight = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c
-    curvature = 1.0 + 2.0 * float(weight.sum()) * float((z * z).sum(axis=1).max())
-    w = v = np.zeros(z.shape[1])
+    z = np.column_stack([x, np.ones(len(x), dtype=np.float32)])  # single precision throughout: one copy on the driver
+    y = y.astype(np.float32)
+    weight = (np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c).astype(np.float32)
+    curvature = np.float32(1.0 + 2.0 * float(weight.sum()) * float(np.einsum("ij,ij->i", z, z).max()))
+    w = v = np.zeros(z.shape[1], dtype=np.float32)
     for k in range(steps):
-        slack = np.maximum(0.0, 1.0 - y * (z @ v))
-        gradient = v - 2.0 * z.T @ (weight * y * slack)
+        slack = np.maximum(np.float32(0), np.float32(1) - y * (z @ v))
+        gradient = v - np.float32(2) * ((weight * y * slack) @ z)
         after = v - gradient / curvature
-        w, v = after, after + k / (k + 3.0) * (after - w)
+        w, v = after, after + np.float32(k / (k + 3.0)) * (after - w)
     return w[:-1].astype(np.float32), float(w[-1])
 
 
