@@ -6,7 +6,7 @@ in it, windows with a high cosine to a passage are candidates, and a candidate i
 the same order around the window: nearly all of them, or most of them and the words of its answer.
 
 The benchmark is the stated query set: it is taken in blocks of bounded size, and each block meets all documents once.
-Up to ``RANK`` passages in a block the latent space holds every one of them exactly.
+A block has at most as many passages as the latent space has dimensions, so the space holds every one of them exactly.
 
 Defined results: a null or empty text or item has no words and no leak; a null doc_id or item_id stays null; repeated
 rows are each reported; an empty table gives no rows; extra columns are not read. An item's answer is its column
@@ -30,8 +30,9 @@ from epilattice.session import settle
 
 #: Words of a document window and the step between windows; words of a benchmark passage.
 WINDOW, STEP, PASSAGE = 32, 16, 64
-#: Passages of the benchmark that meet the documents in one pass, dimensions of the latent space, and spare dimensions.
-BLOCK, RANK, SPARE = 512, 256, 16
+#: Dimensions of the latent space, and spare dimensions; passages of the benchmark that meet the documents in one pass.
+RANK, SPARE = 256, 16
+BLOCK = RANK  # with more, the passages outside the leading directions would not be found
 #: A candidate has this cosine in the latent space, and this share of a passage's weight.
 LEAST_COSINE, LEAST_WEIGHT = 0.35, 0.2
 #: Shares of a passage's words in order: enough alone, enough with the answer; and the share of the answer's words.
@@ -280,19 +281,25 @@ def placed_in(block: list[Passage], numbers: dict[str, int], ids: list[list[int]
 
 
 def blocks(benchmark: DataFrame, per_block: int = BLOCK) -> Iterator[list[Passage]]:
-    """The benchmark's passages, block by block; only one block is on the driver at a time."""
+    """The benchmark's passages in blocks of at most ``per_block``, all but the last one full.
+
+    Items are read part by part, so the driver holds a part and what is left of the one before.
+    """
     has_answer = any(c.lower() == "answer" for c in benchmark.columns)
     wanted = {"item": "item_id", "text": "text"} | ({"answer": "answer"} if has_answer else {})
     rows = pick(benchmark, **wanted)
     if not has_answer:
         rows = rows.withColumn("answer", F.lit(None).cast("string"))
     n = int(rows.agg(F.sum(F.ceil((F.size(F.split(F.trim("text"), r"\s+")) + 1) / F.lit(PASSAGE)))).first()[0] or 0)
-    parts = max(1, math.ceil(n / per_block))
+    parts, left = max(1, math.ceil(n / per_block)), []  # n is an estimate, so passages are counted when they are cut
     for k in range(parts):
         own = rows if parts == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        block = [p for r in own.orderBy("item", "text").collect() for p in passages(r["item"], r["text"], r["answer"])]
-        if block:
-            yield block
+        left += [p for r in own.orderBy("item", "text").collect() for p in passages(r["item"], r["text"], r["answer"])]
+        while len(left) >= per_block:
+            yield left[:per_block]
+            left = left[per_block:]
+    if left:
+        yield left
 
 
 FOUND = "item_id long, cosine double, in_order double, answer boolean"

@@ -159,6 +159,18 @@ def test_candidate_search_recall(spark):
     assert len(got - want) <= 0.05 * len(got)
 
 
+def test_no_passage_is_lost_beyond_the_rank(spark):
+    rng = np.random.default_rng(5)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(40 if i < 270 else 8))) for i in range(400)]
+    near = lambda: [f"i{rng.integers(270)}w{rng.integers(40)}" for _ in range(12)]
+    docs = [(i, " ".join([*near(), text, *near()])) for i, text in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes = [len(b) for b in decontaminate.blocks(bench)]
+    assert sum(sizes) == 400 and max(sizes) <= decontaminate.RANK and len(sizes) == 2
+    found = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    assert {(i, i) for i, _ in items} <= {(r.doc_id, r.item_id) for r in found.select("doc_id", "item_id").collect()}
+
+
 def test_common_subsequence_equals_the_table():
     rng = random.Random(3)
     for _ in range(200):
