@@ -61,7 +61,7 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Size of every document's set of three-word shingles, and the component of sets with similarity 0.9 or more."""
+    """Size of every document's set of three-word shingles, its component of sets with similarity 0.9 or more, and its links."""
     return shingle_join.shingle_components(table(spark, folder, "documents"), size=3, percent=90)
 
 

@@ -6,11 +6,16 @@ few sets, the pivots, are compared with the rest; what is computed for a pivot t
 (answer-level skipping): sets that are already connected need no comparison, and by the triangle inequality of the
 Jaccard distance two sets whose distances to the same pivot differ too much can't be similar. Further rounds take more
 pivots until no list has two sets left that are neither connected nor compared, so no link between components is lost,
-and a large group of near copies costs one comparison for each member instead of one for each pair.
+and finding a large group of near copies costs one comparison for each member instead of one for each pair.
 
-Defined results: a null or blank text has no shingles and is linked with nothing; rows that share a doc_id are each
+Then each set's answers, the similar sets, are computed within its component. A component has a pivot; each member is
+reduced to its difference from it, and what two members share follows from their answers for the pivot and what their
+differences share, without their sets meeting. The members of a large component are dealt into parts, and each two parts
+are one task of bounded size. Links are counted, not written, as a group of near copies has one for each pair.
+
+Defined results: a null or blank text has no shingles and is linked with nothing; rows of equal sets are linked; rows that share a doc_id are each
 compared by their own text; a row without doc_id belongs to the class of its set, and a class without any doc_id is
-not compared with other sets (its component is null); an empty table gives no rows; extra columns are not read.
+not compared with other sets (its component and its number of links are null); an empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -34,6 +39,9 @@ from epilattice.session import settle
 SKETCH_CELLS, FILTER_BITS, SLICE = 1 << 22, 1 << 23, 1 << 14
 #: Words whose hashes a worker keeps.
 WORDS_KEPT = 100_000
+#: Sets of a component that a task takes from each of two parts, and shingles that these differ by from the pivot; columns
+#: of the table of differences that are multiplied at once.
+PART_SETS, PART_SHINGLES, COLUMNS = 256, 1 << 21, 1 << 12
 #: Pivots in a list grow by this factor from round to round.
 MORE_PIVOTS = 64
 
@@ -337,18 +345,115 @@ def with_distances(lists: DataFrame, pivots: DataFrame, compared: DataFrame | No
     return joined.join(distance, ["a", "b"], "left").select(*lists.columns, "ref", "far")
 
 
-def shingle_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id`` per document; ``percent`` is the least Jaccard similarity of a link."""
+def differences(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``label, sig, copies, n, minus, n_pivot, other``: each set by its difference from its component's pivot, stored.
+
+    ``other`` has the shingles that only one of set and pivot has, ``minus`` counts those that only the pivot has. The
+    pivot is the set with the smallest signature; it is joined to the members, so no task holds a component.
+    """
+    pivots = classes.groupBy("label").agg(F.min("sig").alias("pivot"))
+    own = classes.join(pivots, "label").join(sets, "sig").withColumnRenamed("tokens", "own")
+    met = own.join(pivots.join(sets.withColumnRenamed("sig", "pivot"), "pivot").select("label", F.col("tokens").alias("theirs")), "label")
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, 32):
+            ns, minus, n_pivot, other = [], [], [], []
+            for own, theirs in zip(part.column(3), part.column(4), strict=True):
+                x, p = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(theirs.as_buffer(), np.uint64)
+                d = np.setxor1d(x, p, assume_unique=True)
+                ns.append(len(x))
+                n_pivot.append(len(p))
+                minus.append((len(d) - len(x) + len(p)) // 2)
+                other.append(d.tobytes())
+            more = [*(pa.array(c, pa.int64()) for c in (ns, minus, n_pivot)), pa.array(other, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *more], names=["label", "sig", "copies", "n", "minus", "n_pivot", "other"])
+
+    names = "label binary, sig binary, copies long, n long, minus long, n_pivot long, other binary"
+    return settle(met.select("label", "sig", "copies", "own", "theirs").mapInArrow(reduce, names), "shingle-differences")
+
+
+def shared_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many values each of ``xs`` shares with each of ``ys``, from products of 0/1 tables of bounded width."""
+    flat = np.concatenate([*xs, *ys])
+    at = np.unique(flat, return_inverse=True)[1]
+    rows = np.repeat(np.arange(len(xs) + len(ys)), [len(v) for v in (*xs, *ys)])
+    order = np.argsort(at, kind="stable")
+    at, rows = at[order], rows[order]
+    out = np.zeros((len(xs), len(ys)), dtype=np.int64)
+    width = int(at[-1]) + 1 if len(at) else 0
+    for low in range(0, width, COLUMNS):
+        a, b = np.searchsorted(at, [low, low + COLUMNS])
+        table = np.zeros((len(xs) + len(ys), min(COLUMNS, width - low)), dtype=np.float32)
+        table[rows[a:b], at[a:b] - low] = 1
+        out += np.rint(table[: len(xs)] @ table[len(xs) :].T).astype(np.int64)  # at most COLUMNS, exact in single precision
+    return out
+
+
+def link_counts(members: DataFrame, percent: int) -> DataFrame:
+    """``sig, others``: how many rows have another set that is similar, for each set of ``members`` (of ``differences``).
+
+    With x- what x lacks of the pivot p, |x & y| = |p| - |x-| - |y-| + |(x ^ p) & (y ^ p)|.
+    """
+    heavy = F.greatest(F.count("*") / F.lit(PART_SETS), F.sum(F.length("other") / 8) / F.lit(PART_SHINGLES))
+    parts = members.groupBy("label").agg(F.ceil(heavy).cast("int").alias("parts"))
+    dealt = members.join(parts, "label").withColumn("part", F.pmod(F.xxhash64("sig"), F.greatest("parts", F.lit(1))).cast("int"))
+    # Each part meets each: a member goes to the tasks (its part, k) for later k and (k, its part) for earlier ones.
+    task = F.transform(F.sequence(F.lit(0), F.greatest("parts", F.lit(1)) - 1), lambda k: F.struct(F.least("part", k).alias("i"), F.greatest("part", k).alias("j")))
+    tasks = dealt.select("sig", "copies", "n", "minus", "n_pivot", "other", "label", "part", F.inline(task))
+
+    def count(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        part = table.column("part").to_numpy()
+        sides = [np.flatnonzero(part == i), np.flatnonzero(part == j)]
+        n, minus, copies = (table.column(c).to_numpy() for c in ("n", "minus", "copies"))
+        other = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("other")]
+        x, y = sides
+        out = np.zeros(table.num_rows, dtype=np.int64)
+        if len(x) and len(y):
+            both = table.column("n_pivot")[0].as_py() - minus[x][:, None] - minus[y][None, :] + shared_counts([other[k] for k in x], [other[k] for k in y])
+            linked = 100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)
+            if i == j:
+                np.fill_diagonal(linked, False)
+            out[x] += linked @ copies[y]
+            if i != j:
+                out[y] += linked.T @ copies[x]
+        return pa.table({"sig": table.column("sig"), "others": pa.array(out, pa.int64())})
+
+    counted = tasks.groupBy("label", "i", "j").applyInArrow(count, "sig binary, others long")
+    return counted.groupBy("sig").agg(F.sum("others").alias("others"))
+
+
+def shingle_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", with_links: bool = True) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` per document; ``percent`` is the least Jaccard similarity of a link.
+
+    ``n_links`` is the number of other rows whose sets are similar; rows of one set count each. A caller that wants the
+    components only leaves the column out by ``with_links=False``.
+    """
     rows = pick(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table, sketch = set_table(rows, size)
-    nodes = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"))
+    nodes = table.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("map").alias("map"), F.count("*").alias("copies"))
     nodes = settle(nodes.filter("rep IS NOT NULL"), "shingle-nodes")
     # Rows without doc_id take part through the documents with an id whose set is the same.
     lists = index_lists(rows.filter("doc_id IS NOT NULL"), sketch, size, percent)
     moves = similar_sets(rows, lists, nodes, size, percent)
-    classes = nodes.select("sig", "rep", F.col("sig").alias("label"))
+    classes = nodes.select("sig", "rep", "copies", F.col("sig").alias("label"))
     for moved in moves:
         classes = relabelled(classes, moved)
-    smallest = classes.groupBy("label").agg(F.min("rep").alias("component"))
-    named = classes.join(smallest, "label").select("sig", "component")
-    return table.join(named, "sig", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    smallest = classes.groupBy("label").agg(F.min("rep").alias("component"), F.count("*").alias("sets"))
+    named = classes.join(smallest, "label").select("sig", "rep", "copies", "label", "component", "sets")
+    others = None
+    if moves and with_links:
+        named = settle(named, "shingle-classes")
+        several = named.filter("sets > 1")
+        sets = needed_sets(rows, settle(several.select("sig", "rep"), "shingle-nodes"), size)
+        others = link_counts(differences(several.select("label", "sig", "copies"), sets), percent)
+    named = named.join(others, "sig", "left") if others is not None else named.withColumn("others", F.lit(0))
+    links = F.col("copies") - 1 + F.coalesce("others", F.lit(0))
+    named = named.select("sig", "component", links.alias("links"))
+    out = table.join(named, "sig", "left").select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(F.col("n") > 0, F.col("links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
+    )
+    return out if with_links else out.drop("n_links")

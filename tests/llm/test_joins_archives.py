@@ -55,6 +55,23 @@ def test_chains_of_near_copies(spark, size, percent, seed):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, size, percent)
 
 
+@pytest.mark.parametrize("part_sets, percent", [(256, 60), (4, 60), (4, 80)])
+def test_links_equal_brute_force(spark, monkeypatch, part_sets, percent):
+    monkeypatch.setattr(shingle_join, "PART_SETS", part_sets)
+    rng, rows = random.Random(7), []
+    for family in range(3):
+        words = [f"f{family}w{k}" for k in range(40)]
+        for _ in range(12):
+            words = list(words)
+            words[rng.randrange(40)] = f"x{rng.randint(0, 10**6)}"
+            rows += [(len(rows) + k, " ".join(words)) for k in range(rng.choice([1, 1, 3]))]
+    rows += [(None, rows[0][1]), (900, None), (901, "of its own")]
+    sets = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} for w in ((t or "").split() for _, t in rows)]
+    want = [(r[0], sum(bool(x) and k != i and 100 * len(x & y) >= percent * len(x | y) for k, y in enumerate(sets))) for i, (r, x) in enumerate(zip(rows, sets, strict=True))]
+    got = shingle_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, percent)
+    assert sorted((str(r.doc_id), r.n_links) for r in got.collect()) == sorted((str(i), n) for i, n in want)
+
+
 def test_shingles_of_awkward_rows(awkward, nothing):
     got = defaultdict(set)
     for r in shingle_join.shingle_components(awkward).collect():
