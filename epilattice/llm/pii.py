@@ -1,8 +1,9 @@
 """Personal data: base spans by pattern, and more spans by a character-level BiLSTM-CRF trained on labelled spans.
 
 Any span of the four kinds holds a digit, an @ sign or an "at" in brackets, so the model reads the stretches around
-those in overlapping windows; each place takes its tag from the window in which it lies deepest, and spans are read from
-the joined tags, so a span may run through several windows.
+those, and around a "dot" in brackets, in overlapping windows; a stretch goes on while the signs of an address go on.
+Each place takes its tag from the window in which it lies deepest, and spans are read from the joined tags, so a span may
+run through several windows.
 
 Defined results: a null text is empty; texts of any length are scanned in time proportional to their length; a null
 doc_id stays null; repeated rows give equal results; without any span in the table there is no model and no added span;
@@ -25,7 +26,7 @@ from epilattice.llm.sequence_model import Tagger
 from epilattice.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
-TRIGGER = re.compile(r"[0-9@]|[(\[][Aa][Tt][)\]]")
+TRIGGER = re.compile(r"[0-9@]|[(\[](?:[Aa][Tt]|[Dd][Oo][Tt])[)\]]")
 #: Signs of a window, the step between windows, and the context on either side of a stretch.
 WIDTH, STEP, CONTEXT = 96, 48, 24
 #: Windows the model is trained on (those with the smallest hashes), and made-up variants of each.
@@ -34,6 +35,7 @@ TRAIN_WINDOWS, VARIANTS = 320, 4
 _LOCAL = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -86,12 +88,34 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _signs_only(text: str, a: int, b: int) -> bool:
+    return _RUN.match(text, a).end() >= b
+
+
+def _run_start(text: str, least: int, at: int) -> int:
+    """The first place of the run of address signs that ends at ``at``."""
+    return least + len(text[least:at].rstrip(_LOCAL))
+
+
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Where a span may lie: triggers with their context, merged."""
+    """Where a span may lie: triggers with their context, as far as the address signs at its edges go on, merged.
+
+    A run of address signs is looked at once for all triggers that reach it, so time stays proportional to the text.
+    """
     merged: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         a, b = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
-        if merged and a <= merged[-1][1]:
+        high = merged[-1][1] if merged else -1
+        if high >= b:
+            continue  # the stretch before reaches beyond this context
+        # Blanks beside the sign belong to an address, as in "name (at) mail".
+        edge = m.start() - (text[m.start() - 1 : m.start()] == " ")
+        if a > high and _signs_only(text, a, edge):
+            a = _run_start(text, max(high, 0), a)
+        end = m.end() + (text[m.end() : m.end() + 1] == " ")
+        if _signs_only(text, end, b):
+            b = _RUN.match(text, b).end()
+        if merged and a <= high:
             merged[-1][1] = b
         else:
             merged.append([a, b])

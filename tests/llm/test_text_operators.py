@@ -240,3 +240,11 @@ def test_spans_run_through_windows():
     marks[40] = 1
     assert pii.tag_spans(marks) == [("email", 40, 200)]
     assert pii.window_starts(96) == [0] and pii.window_starts(97) == [0, 48] and pii.window_starts(10) == [0]
+
+
+@pytest.mark.parametrize("said", ["name (at) mail (dot) example (dot) com", "x" * 40 + " (at) mail.org", "a [at] " + "d" * 60 + " [dot] " + "e" * 60 + "[DOT]com", "12" * 40 + "@" + "d" * 50 + ".org"])
+def test_stretches_hold_whole_addresses(said):
+    text = "some plain words before it, " * 3 + said + " and some plain words after it" * 3
+    at = text.index(said)
+    assert any(a <= at and at + len(said) <= b for a, b in pii.stretches(text))
+    assert all(b < c for (_, b), (c, _) in zip(pii.stretches(text * 3), pii.stretches(text * 3)[1:]))
