@@ -4,6 +4,8 @@ Windows of consecutive lines that are not blank are hashed; of equal windows any
 in the order of doc_id and place, are removed, and the places that removed windows cover are merged, so a longer passage
 goes as a whole. Blank lines between covered lines go with them. Built-in functions only.
 
+Passages that lie within one or two lines, or begin and end inside lines, are not found; the README has figures.
+
 Defined results: a null text stays null and has no lines; texts with fewer than three lines that are not blank stay as
 they are; a text whose lines all go becomes empty; a null doc_id sorts last; rows that share doc_id and text count as one
 document and get the same result; an empty table gives no rows; other columns stay, whatever their names.
