@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilattice.llm import anomaly, chat, decontaminate, huffman, language, line_windows, packing, pii, shingle_join, warc
+from epilattice.llm import anomaly, chat, decontaminate, huffman, language, line_windows, packing, periodic_runs, pii, shingle_join, warc
 from epilattice.llm.tokens import id_kind, ids_crc32, word_tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,29 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The periodic runs of every document, a tenth of them with a repeat planted by rule, and digests of what is left."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    words = docs.withColumn("h", F.crc32(F.col("doc_id").cast("string"))).withColumn("words", F.when(F.expr("h % 10 = 0"), F.regexp_extract_all("text", F.lit("[^ \\t-\\r]+"), F.lit(0))))
+    placed = words.withColumn("n", F.size("words")).withColumn("a", F.expr("IF(n > 0, CAST(h DIV 10 % n AS INT), 0)"))
+    period = placed.withColumn("p", F.expr("1 + CAST((n - a) DIV (3 + h DIV 10 % 8) AS INT)"))
+    planted = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), 1 + CAST((n - a) DIV p AS INT))), 1, n - a)), ' ')")
+    found = periodic_runs.periodic_runs(period.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text")))
+    # the greatest length / period, compared without division; ties by start, then period
+    best = F.expr("aggregate(slice(runs, 2, greatest(size(runs) - 1, 0)), get(runs, 0), (x, y) -> IF(y.length * x.period > x.length * y.period, y, x))")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", *[r[name].cast("string") for name in ("start", "length", "period")])), "\n")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{name}").alias(name) for name in ("start", "length", "period")],
+        F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("collapsed_sha256"),
+        "n_words",
+        "n_dropped",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_decontaminate": op2_decontaminate,
@@ -88,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_shingle_join": op8_shingle_join,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_quality_rules": op10_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _BLANKS = r" \t\r\v\f"
@@ -138,4 +162,48 @@ WITH rows_in AS (
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars,
        regexp_full_match(path, '>(system>)?(user>assistant>)+') AS valid
 FROM g""",
+    "op11_periodic_runs": r"""
+WITH digits AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS said,
+           list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+    FROM documents
+), hashed AS (
+    SELECT doc_id, said, len(said) AS n,
+           xor(4294967295, list_reduce(list_prepend(4294967295, bytes),
+               lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) AS h
+    FROM digits
+), planted AS (
+    SELECT doc_id, said, n, h % 10 = 0 AND n > 0 AS changed, CASE WHEN n > 0 THEN (h // 10) % n END AS a,
+           CASE WHEN n > 0 THEN 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) END AS p
+    FROM hashed
+), words AS (
+    SELECT doc_id, n, i, said[1 + CASE WHEN changed AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+    FROM planted, range(n) AS r(i)
+), checked AS (  -- a run of four periods d matches its lag at three multiples of d or more
+    SELECT x.doc_id, x.d
+    FROM (SELECT p.doc_id, l.d, m.k * l.d AS i FROM planted p, range(1, n // 4 + 1) AS l(d), range(1, n // l.d + 1) AS m(k) WHERE m.k * l.d < p.n) x
+    JOIN words u ON u.doc_id = x.doc_id AND u.i = x.i JOIN words v ON v.doc_id = x.doc_id AND v.i = x.i - x.d
+    WHERE u.word = v.word GROUP BY x.doc_id, x.d HAVING count(*) >= 3
+), matches AS (
+    SELECT c.doc_id, c.d, u.i, u.i - row_number() OVER (PARTITION BY c.doc_id, c.d ORDER BY u.i) AS island
+    FROM checked c JOIN words u ON u.doc_id = c.doc_id AND u.i >= c.d JOIN words v ON v.doc_id = c.doc_id AND v.i = u.i - c.d
+    WHERE u.word = v.word
+), stretches AS (
+    SELECT doc_id, d, min(i) - d AS start, count(*) + d AS length FROM matches GROUP BY doc_id, d, island
+), runs AS (
+    SELECT doc_id, start, length, min(d) AS period FROM stretches WHERE length >= greatest(6, 4 * d) GROUP BY doc_id, start, length
+), dropped AS (
+    SELECT DISTINCT w.doc_id, w.i FROM words w JOIN runs r ON w.doc_id = r.doc_id AND w.i >= r.start + r.period AND w.i < r.start + r.length
+), kept AS (
+    SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) FILTER (x.i IS NULL) AS text, count(x.i) AS n_dropped
+    FROM words w LEFT JOIN dropped x ON w.doc_id = x.doc_id AND w.i = x.i GROUP BY w.doc_id
+), listed AS (
+    SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+    FROM runs GROUP BY doc_id
+), best AS (
+    SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DECIMAL(38, 18)) / period DESC, start, period) = 1
+)
+SELECT p.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+       sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256, p.n AS n_words, coalesce(k.n_dropped, 0) AS n_dropped
+FROM planted p LEFT JOIN listed l ON p.doc_id = l.doc_id LEFT JOIN best b ON p.doc_id = b.doc_id LEFT JOIN kept k ON p.doc_id = k.doc_id""",
 }

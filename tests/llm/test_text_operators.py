@@ -226,7 +226,7 @@ def test_model_adds_what_the_patterns_miss(spark):
     got = pii.added_spans([], [0], [text], pii.tagged([text], tagger))
     assert {(k, text[a:b]) for k, a, b in got} == {("phone", "+1 (578) 555-6437"), ("card", "4918187128635271")}
     clean = ["on 2024-05-17 we paid 1250 at 12:30", "version 1.2.3 of it", "plain words only @ the end"]
-    assert [pii.added_spans([], [0], [t], tags) for t, tags in zip(clean, pii.tagged(clean, tagger), strict=True)] == [[], [], []]
+    assert [pii.added_spans([], [0], [t], [tags]) for t, tags in zip(clean, pii.tagged(clean, tagger), strict=True)] == [[], [], []]
 
 
 def test_personal_data_of_awkward_rows(awkward, nothing):
