@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilattice.llm import anomaly, chat, decontaminate, huffman, language, line_windows, packing, periodic_runs, pii, shingle_join, warc
+from epilattice.llm import anomaly, chat, decontaminate, huffman, language, length_packing, line_windows, packing, periodic_runs, pii, shingle_join, warc
+from epilattice.llm.byte_tokens import byte_tokenizer_path
 from epilattice.llm.tokens import id_kind, ids_crc32, word_tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +101,13 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_length_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 ids without padding, one row per piece."""
+    path = byte_tokenizer_path()
+    packed = length_packing.pack_lengths(table(spark, folder, "documents"), path, end_id=0, window=1024)
+    return packed.select("doc_id", "start", "length", ids_crc32(F.col("ids"), id_kind(path, 0)).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "copy")
+
+
 QUERIES: dict[str, Query] = {
     "op1_huffman_ids": op1_huffman_ids,
     "op2_decontaminate": op2_decontaminate,
@@ -112,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_length_packing": op13_length_packing,
 }
 
 _BLANKS = r" \t\r\v\f"
