@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epilattice.llm import anomaly, chat, decontaminate, huffman, language, length_packing, line_windows, packing, periodic_runs, pii, shingle_join, warc
+from epilattice.llm import anomaly, chat, decontaminate, huffman, language, length_packing, line_windows, packing, periodic_runs, pii, shingle_join, source_audit, warc
 from epilattice.llm.byte_tokens import byte_tokenizer_path
 from epilattice.llm.tokens import id_kind, ids_crc32, word_tokenizer_path
 
@@ -101,6 +101,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_source_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """How far the sources of a language differ: from each other, and in which terms from the language."""
+    return source_audit.source_divergence(table(spark, folder, "documents"), least_docs=3, top=200)
+
+
 def op13_length_packing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents packed into sequences of at most 1024 ids without padding, one row per piece."""
     path = byte_tokenizer_path()
@@ -120,6 +125,7 @@ QUERIES: dict[str, Query] = {
     "op9_warc_revisits": op9_warc_revisits,
     "op10_quality_rules": op10_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_source_audit": op12_source_audit,
     "op13_length_packing": op13_length_packing,
 }
 
@@ -215,4 +221,40 @@ WITH digits AS (
 SELECT p.doc_id, coalesce(l.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
        sha256(coalesce(l.lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256, p.n AS n_words, coalesce(k.n_dropped, 0) AS n_dropped
 FROM planted p LEFT JOIN listed l ON p.doc_id = l.doc_id LEFT JOIN best b ON p.doc_id = b.doc_id LEFT JOIN kept k ON p.doc_id = k.doc_id""",
+    "op12_source_audit": r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), said AS (
+    SELECT d, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS c FROM said GROUP BY lang, term HAVING count(DISTINCT d) >= 3
+), sizes AS (
+    SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang
+), pairs AS (
+    SELECT DISTINCT lang, source FROM docs
+), counts AS (
+    SELECT s.lang, s.source, s.term, count(*) AS n FROM said s JOIN kept k ON s.lang = k.lang AND s.term = k.term GROUP BY s.lang, s.source, s.term
+), totals AS (
+    SELECT lang, source, sum(n) AS n FROM counts GROUP BY lang, source
+), shares AS (  -- every group and every kept term of its language
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (coalesce(t.n, 0) + z.v) AS p,
+           1 + (1000000000::HUGEINT * (k.c + 1)) // (z.n + z.v) AS q
+    FROM pairs g JOIN kept k ON g.lang = k.lang JOIN sizes z ON g.lang = z.lang
+    LEFT JOIN totals t ON g.lang = t.lang AND g.source = t.source
+    LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term
+), sums AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+    FROM pairs a JOIN pairs b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200""",
 }
