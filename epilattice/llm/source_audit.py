@@ -1,9 +1,9 @@
 """How far the sources of a language differ in their terms, with strings left behind until the end.
 
-Tasks count terms for themselves; what is shuffled then is a 64-bit digest of the term and numbers. The least and the
-greatest string of each digest travel as two aggregates beside the document counts, one row per task: where they differ,
-the digest stands for several terms, and those rows are split by the term's number among them. Terms are joined back by
-digest only for the rows that are kept in the end.
+Tasks count terms for themselves. Counts by group travel as a 64-bit digest of the term and numbers. The least and the
+greatest string of each digest travel as two aggregates beside the document counts of a language, one row per task: where
+they differ, the digest stands for several terms, and its rows are counted again, split by the term's number among them.
+Terms are joined back by digest only for the rows that are kept in the end.
 
 For two sources of a language, terms that neither has all give the same summand, and terms that one of them has give a
 summand that depends on one count. So the sum over all kept terms is made of the number of terms, of each source's
@@ -32,53 +32,63 @@ from epilattice.session import settle
 #: Letters of ASCII and all bytes of other characters; UTF-8 has no ASCII byte inside a character.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 
-#: Distinct terms a task holds before it hands on its counts; terms that come again later make further rows.
-TERMS_HELD = 400_000
+#: Distinct terms of groups a task holds before it hands on its counts; terms that come again later make further rows.
+TERMS_HELD = 1_000_000
 
 #: Rows of counts in a block of terms.
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 1 << 16
 
 WIDE = "DECIMAL(38, 0)"
 
 
 def term_counts(docs: DataFrame, held: int = TERMS_HELD) -> DataFrame:
-    """``lang, source, term, n, docs`` from ``lang, source, text``: occurrences and documents, summed within tasks."""
+    """``l, g, term, n, docs`` from ``l, g, text``, summed within tasks: occurrences by group, and by language.
+
+    Rows by group have no ``docs``; rows by language have no ``g``, and count occurrences and documents.
+    """
+
+    def rows(l: int, g: int | None, counts: Counter, by_doc: Counter | None) -> pa.RecordBatch:  # noqa: E741
+        n = len(counts)
+        columns = [
+            pa.array(np.full(n, l, np.int64)),
+            pa.nulls(n, pa.int64()) if g is None else pa.array(np.full(n, g, np.int64)),
+            pa.array(list(counts), pa.binary()).cast(pa.string()),
+            pa.array(np.fromiter(counts.values(), np.int64, n)),
+            pa.nulls(n, pa.int64()) if by_doc is None else pa.array(np.fromiter(map(by_doc.__getitem__, counts), np.int64, n)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["l", "g", "term", "n", "docs"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, str], Counter] = {}
-        in_docs: dict[tuple[str, str], Counter] = {}
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in seen.items():
-                by_doc = in_docs[lang, source]
-                columns = [
-                    pa.array([lang] * len(counts), pa.string()),
-                    pa.array([source] * len(counts), pa.string()),
-                    pa.array(list(counts), pa.binary()).cast(pa.string()),
-                    pa.array(counts.values(), pa.int64()),
-                    pa.array([by_doc[term] for term in counts], pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
-            seen.clear()
-            in_docs.clear()
+        by_group: dict[tuple[int, int], Counter] = {}
+        by_lang: dict[int, tuple[Counter, Counter]] = {}
+
+        def all_rows() -> Iterator[pa.RecordBatch]:
+            for (l, g), counts in by_group.items():  # noqa: E741
+                yield rows(l, g, counts, None)
+            for l, (counts, by_doc) in by_lang.items():  # noqa: E741
+                yield rows(l, None, counts, by_doc)
+            by_group.clear()
+            by_lang.clear()
 
         number = 0
         for part in chunks(batches):
-            for lang, source, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for l, g, text in zip(*(c.to_pylist() for c in part.columns), strict=True):  # noqa: E741
                 terms = TERM.findall(text.lower())
                 if not terms:
                     continue
-                counts, by_doc = seen.setdefault((lang, source), Counter()), in_docs.setdefault((lang, source), Counter())
+                counts = by_group.setdefault((l, g), Counter())
+                all_counts, by_doc = by_lang.setdefault(l, (Counter(), Counter()))
                 number -= len(counts)
                 counts.update(terms)
-                by_doc.update(set(terms))
                 number += len(counts)
+                all_counts.update(terms)
+                by_doc.update(set(terms))
             if number > held:
-                yield from rows()
+                yield from all_rows()
                 number = 0
-        yield from rows()
+        yield from all_rows()
 
-    return docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    return docs.select("l", "g", F.col("text").cast("binary")).mapInArrow(count, "l long, g long, term string, n long, docs long")
 
 
 def _share(count: Column | str, size: str, scale: int) -> Column:
@@ -103,24 +113,26 @@ def groups_of(docs: DataFrame) -> tuple[DataFrame, int]:
         seed += 1
 
 
-def vocabulary(counts: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
-    """``l, t, s, term, c`` of the kept terms, and ``counts`` with ``s``, a term's number within its digest.
+def vocabulary(found: DataFrame, stored: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame]:
+    """``l, t, s, term, c`` of the kept terms, and ``l, g, t, s, n`` of all groups; ``s`` is a term's number in its digest.
 
-    ``s`` is 0 but for digests of several terms.
+    ``stored`` has the rows of ``term_counts`` with digests ``t``, and terms by language only; ``found``, which is read
+    only where digests stand for several terms, has all terms. ``s`` is 0 but for such digests.
     """
-    by_digest = counts.groupBy("l", "t").agg(F.sum("docs").alias("docs"), F.sum("n").alias("c"), F.min("term").alias("low"), F.max("term").alias("high"))
-    likely = settle(by_digest.filter(F.col("docs") >= least_docs), "audit-terms")
+    by_digest = stored.filter("g IS NULL").groupBy("l", "t").agg(F.sum("docs").alias("docs"), F.sum("n").alias("c"), F.min("term").alias("low"), F.max("term").alias("high"))
+    likely = settle(by_digest.filter(F.col("docs") >= least_docs).drop("docs"), "audit-terms")
     whole = likely.filter("low = high").select("l", "t", F.lit(0).alias("s"), F.col("low").alias("term"), "c")
     shared = likely.filter("low <> high").select("l", "t")
+    counts = stored.filter("g IS NOT NULL").select("l", "g", "t", F.lit(0).alias("s"), "n")
     if not shared.take(1):
-        return whole, counts.withColumn("s", F.lit(0))
-    by_term = counts.join(shared, ["l", "t"]).groupBy("l", "t", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("c"))
+        return whole, counts
+    apart = settle(found.join(shared, ["l", "t"]), "audit-shared-digests")
+    by_term = apart.filter("g IS NULL").groupBy("l", "t", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("c"))
     number = F.row_number().over(Window.partitionBy("l", "t").orderBy("term"))
     split = settle(by_term.withColumn("s", number).filter(F.col("docs") >= least_docs).select("l", "t", "s", "term", "c"), "audit-split-terms")
     # Rows of a shared digest that is no kept term get no number and so find no kept term.
-    apart = counts.join(shared, ["l", "t"], "left_anti").withColumn("s", F.lit(0))
-    numbered = counts.join(split.select("l", "t", "term", "s"), ["l", "t", "term"]).select(*apart.columns)
-    return whole.unionByName(split), apart.unionByName(numbered)
+    numbered = apart.filter("g IS NOT NULL").join(split.select("l", "t", "term", "s"), ["l", "t", "term"]).select(*counts.columns)
+    return whole.unionByName(split), counts.join(shared, ["l", "t"], "left_anti").select(*counts.columns).unionByName(numbered)
 
 
 def _corrections(table: pa.Table) -> pa.Table:
@@ -202,10 +214,12 @@ def source_divergence(
     rows = rows.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).alias("text"))
     groups, seed = groups_of(rows)
     digest = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "term"), 64 - digest_bits) if digest_bits < 64 else F.xxhash64(F.lit(seed), "term")
-    found = term_counts(rows).select(F.xxhash64(F.lit(seed), "lang").alias("l"), F.xxhash64(F.lit(seed), "lang", "source").alias("g"), digest.alias("t"), "term", "n", "docs")
-    terms, numbered = vocabulary(settle(found, "audit-counts"), least_docs)
+    keyed = rows.select(F.xxhash64(F.lit(seed), "lang").alias("l"), F.xxhash64(F.lit(seed), "lang", "source").alias("g"), "text")
+    found = term_counts(keyed).withColumn("t", digest)
+    stored = settle(found.withColumn("term", F.when(F.col("g").isNull(), F.col("term"))), "audit-counts")
+    terms, numbered = vocabulary(found, stored, least_docs)
     kept = terms.select("l", "t", "s", "c")
-    counts = settle(numbered.select("l", "g", "t", "s", "n").join(kept, ["l", "t", "s"]).groupBy("l", "g", "t", "s", "c").agg(F.sum("n").alias("n")), "audit-kept-counts")
+    counts = settle(numbered.join(kept, ["l", "t", "s"]).groupBy("l", "g", "t", "s", "c").agg(F.sum("n").alias("n")), "audit-kept-counts")
     totals = counts.groupBy("g").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("l").agg(F.sum("c").alias("lang_total"), F.count("*").alias("v"))
     known = groups.join(totals, "g", "left").join(langs, "l", "left").na.fill(0, ["total", "lang_total", "v"])
