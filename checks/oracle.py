@@ -814,6 +814,37 @@ SIGMA = "inc + 0.8e0 * sero + comp + part - (0.8e0 * sero * comp + 0.8e0 * sero
 VAR = "se * se * 0.64e0 * (1 + comp * comp + part * part)"
 view("sigma", f"SELECT week, fips, least({SIGMA}, 1) + 0 * inc AS mean_sigma, sqrt({VAR}) AS se_sigma FROM sigma_inputs", "sigma_inputs")
 check("immunity_share", f"SELECT week, fips, {r6('mean_sigma', 'se_sigma')} FROM sigma", "sigma")
+view(
+    "county_draws",
+    f"""SELECT week, fips, mean, ((mean + 0.5e0 / (n + 1)) - (mean - 1e0 / (n + 1))) / 3.92e0 AS se FROM (
+    SELECT {week('date')} AS week, fips, avg(CASE WHEN status = 'F' THEN 1e0 ELSE 0e0 END) AS mean, count(*) AS n FROM (
+    SELECT c_nationkey AS fips, o_orderdate AS date, o_orderstatus AS status FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1, 2) WHERE n % 5 <> 0""",
+)
+# Both series are carried forward for themselves; then the state decides. The second source stays unknown before its first value.
+view(
+    "prevalence_series",
+    f"""SELECT week, fips, state, inc, comp, part, {down('s_mean')} AS s_mean, {down('s_se')} AS s_se, {down('m_mean')} AS m_mean, {down('m_se')} AS m_se FROM (
+    SELECT week, fips, state, {div('cases', 'pop')} AS inc, comp, part - comp AS part, p_immune AS s_mean, p_immune * (1 - p_immune) AS s_se, mean AS m_mean, se AS m_se
+    FROM incidence LEFT JOIN (SELECT fips, pop FROM population) USING (fips) LEFT JOIN (SELECT fips, state FROM geo) USING (fips) LEFT JOIN coverage USING (week, fips)
+    LEFT JOIN (SELECT week, fips, p_immune FROM post) USING (week, fips) LEFT JOIN county_draws USING (week, fips))""",
+    "incidence",
+    "population",
+    "geo",
+    "coverage",
+    "post",
+    "county_draws",
+)
+view(
+    "prevalence_taken",
+    """SELECT week, fips, inc, coalesce(comp, 0) AS comp, coalesce(part, 0) AS part,
+    CASE WHEN model THEN m_mean WHEN state = 'EUROPE' THEN NULL ELSE coalesce(s_mean, 0) END AS sero,
+    CASE WHEN model THEN m_se WHEN state <> 'EUROPE' THEN s_se END AS se,
+    CASE WHEN model THEN 'model' WHEN state <> 'EUROPE' AND s_mean IS NOT NULL THEN 'survey' END AS source
+    FROM (SELECT *, m_mean IS NOT NULL AND (state = 'EUROPE' OR (state = 'ASIA' AND week <= DATE '1995-06-18')) AS model FROM prevalence_series)""",
+    "prevalence_series",
+)
+check("prevalence_sources", f"SELECT week, fips, {r6('sero AS mean_sero', 'se AS se_sero')}, source FROM prevalence_taken", "prevalence_taken")
+check("immunity_two_sources", f"SELECT week, fips, {r6(f'least({SIGMA}, 1) + 0 * inc + 0 * sero AS mean_sigma', f'sqrt({VAR}) AS se_sigma')} FROM prevalence_taken", "prevalence_taken")
 view(
     "sigma_mixed",
     f"""SELECT week, fips, inc, comp * coalesce(ec, 0.9e0) AS comp, part * coalesce(ep, 0.66e0) AS part, sero, se FROM (

@@ -25,6 +25,7 @@ def immunity(
     apply_effectiveness: bool = False,
     cap: str = "one",
     units: dict | None = None,
+    resolved: bool = False,
 ) -> DataFrame:
     """Immune share from infections and vaccination, taken as independent -> week, fips, mean_sigma, se_sigma.
 
@@ -32,6 +33,8 @@ def immunity(
     complete, partial; ``sero``: week, fips, p_immune[, se_sero]. A place keeps its last
     seroprevalence; coverage and seroprevalence that never were known count as zero, unknown
     incidence leaves the result unknown. Jointly reported units pass their value to each county.
+    With ``resolved``, ``sero`` comes from ``resolve_prevalence``: week, fips, mean_sero, se_sero, carried forward already,
+    and a place without a value stays unknown.
     Coverage is used as reported unless ``apply_effectiveness`` is set. Values above one become one,
     or missing with ``cap='null'``.
     """
@@ -40,12 +43,16 @@ def immunity(
     extra = [c for c in ("se_incidence", "state") if c in incidence.columns]
     panel = incidence.select("week", "fips", "mean_incidence", *extra)
     panel = natural_join(panel, coverage.select("week", "fips", "complete", "partial"), ["week", "fips"])
-    known = sero.select("week", "fips", F.col("p_immune").alias("mean_sero"), *[c for c in sero.columns if c == "se_sero"])
-    panel = natural_join(panel, known, ["week", "fips"])
-    if "se_sero" not in panel.columns:
-        panel = panel.withColumn("se_sero", bernoulli_spread(F.col("mean_sero")))
-    panel = fill_down(panel, ["mean_sero", "se_sero"], ["fips"], ["week"])
-    panel = panel.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("complete", "partial", "mean_sero")})
+    if resolved:
+        panel = natural_join(panel, sero.select("week", "fips", "mean_sero", "se_sero"), ["week", "fips"])
+    else:
+        known = sero.select("week", "fips", F.col("p_immune").alias("mean_sero"), *[c for c in sero.columns if c == "se_sero"])
+        panel = natural_join(panel, known, ["week", "fips"])
+        if "se_sero" not in panel.columns:
+            panel = panel.withColumn("se_sero", bernoulli_spread(F.col("mean_sero")))
+        panel = fill_down(panel, ["mean_sero", "se_sero"], ["fips"], ["week"])
+    zero = ("complete", "partial") if resolved else ("complete", "partial", "mean_sero")
+    panel = panel.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in zero})
     if apply_effectiveness:
         if effectiveness is None:
             raise ValueError("apply_effectiveness needs the table of vaccine effectiveness")

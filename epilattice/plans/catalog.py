@@ -22,6 +22,7 @@ from ..operators import (
     joins,
     mobility,
     panel,
+    prevalence,
     quantiles,
     renewal,
     reproduction,
@@ -709,6 +710,36 @@ def immunity_effective(v: Views):
     return immunity.immunity(cases, coverage, sero, effect, apply_effectiveness=True, cap="null", units={21: 7, 22: 7})
 
 
+def prevalence_by_state(v: Views):
+    """One state on the second source alone, one on it until a week and on the survey after, the rest on the survey."""
+    cases = incidence.weekly_incidence(v.cases_daily(), population=v.population(), geo=v.geo(), per_capita=True)
+    survey = serology.poststratify(v.cases_daily(), v.geo(), v.sero_fit(), v.population())
+    second = prevalence.interval_prevalence(v.county_draws(), variable="pred_county_cumulative_incidence")
+    until = F.lit(datetime.date(1995, 6, 18))
+    open_end = F.lit(None).cast("date")
+    rules = [("EUROPE", "model", 1, open_end), ("ASIA", "model", 1, until), ("ASIA", "survey", 2, open_end)]
+    row = lambda state, source, place, end: F.struct(F.lit(state).alias("state"), F.lit(source).alias("source"), F.lit(place).alias("place"), open_end.alias("since"), end.alias("until"))
+    precedence = v.spark.range(1).select(F.inline(F.array(*[row(*r) for r in rules])))
+    sources = {"survey": prevalence.survey_prevalence(survey), "model": second}
+    return cases, prevalence.resolve_prevalence(cases.select("week", "fips", "state"), sources, precedence, "survey", ("survey",))
+
+
+@query
+def prevalence_sources(v: Views):
+    """Which source each place takes in each week, with its value and error."""
+    return prevalence_by_state(v)[1]
+
+
+@query
+def immunity_two_sources(v: Views):
+    """Immune share where states differ in their source of seroprevalence."""
+    cases, sero = prevalence_by_state(v)
+    coverage = vaccination.partial_only(vaccination.vaccination_coverage(v.vax_long())).select(
+        "week", "fips", F.col("Complete").alias("complete"), F.col("Partial").alias("partial")
+    )
+    return immunity.immunity(cases, coverage, sero, resolved=True)
+
+
 @query
 def sigma_breakdown(v: Views):
     cases = incidence.weekly_incidence(v.cases_daily(), population=v.population(), per_capita=True)

@@ -251,6 +251,19 @@ class Views:
             .agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("mean_pred"))
         )
 
+    @once
+    def county_draws(self) -> DataFrame:
+        """Share of closed reports per place and week with an uneven interval, standing in for a model of each place.
+
+        Weeks with a multiple of five reports are missing.
+        """
+        weekly = self.reports("o_orderstatus").groupBy(week_of(F.col("date")).alias("week"), "fips")
+        shares = weekly.agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
+        return shares.filter("n % 5 <> 0").select(
+            F.lit("pred_county_cumulative_incidence").alias("variable"), "week", "fips", "mean",
+            (F.col("mean") - 1.0 / (F.col("n") + 1)).alias("2.5%"), (F.col("mean") + 0.5 / (F.col("n") + 1)).alias("97.5%"),
+        )
+
     @once
     def draws(self) -> DataFrame:
         """Model draws: one indexed variable for each element of the vectors, with one value per vector."""
