@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime
 
+import numpy as np
+
 from epilattice.functions.places import TERRITORIES
 from epilattice.operators.renewal import serial_interval
 from epilattice.operators.variants import EFFECTIVENESS, TRANSMISSIBILITY
@@ -778,6 +780,20 @@ check(
     CAST(trunc((rate * 100) * pop / 100) AS BIGINT) AS mean_sero_int FROM prepared WHERE n IS NOT NULL AND rate IS NOT NULL AND state <> 'ASIA'""",
     "prepared",
 )
+check(
+    "serosurvey_few_rounds",
+    f"""SELECT * FROM (WITH short AS (
+        SELECT state, t, CASE WHEN here THEN mean_sero END AS mean_sero, CASE WHEN here THEN success END AS success, CASE WHEN here THEN n END AS n
+        FROM (SELECT *, t % 4 = 0 AND mean_sero IS NOT NULL AND t <= 4 * (2 + 2 * list_position(['AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'], state)) AS here FROM prepared)
+    ), sized AS (
+        SELECT state, CAST(count(mean_sero) AS INTEGER) AS rounds, CAST(CASE WHEN count(mean_sero) > 10 THEN 5 ELSE greatest(count(mean_sero) - 3, 1) END AS INTEGER) AS size FROM short GROUP BY 1
+    ), shares AS (
+        SELECT state, count(*) AS fitted_rounds, sum(success) / CAST(sum(n) AS DOUBLE) AS share FROM short WHERE success IS NOT NULL AND n > 0 GROUP BY 1
+    )
+    SELECT state, rounds, size, fitted_rounds, {r6('share', 'share AS mean_fit', '0 AS constant', 'CASE WHEN size >= 2 THEN 0 END AS line', 'CASE WHEN size >= 3 THEN 0 END AS parabola')}
+    FROM sized LEFT JOIN shares USING (state))""",
+    "prepared",
+)
 
 
 def poststratified(dropped: str) -> str:
@@ -1191,3 +1207,35 @@ check(
     round(regr_intercept("Rt", "Ri") + 3.71e-10, 8) AS intercept, round(regr_r2("Rt", "Ri") + 3.71e-10, 8) AS r2 FROM estimates GROUP BY 1""",
     "estimates",
 )
+
+# A smooth of equal weights on a full calendar is one matrix for all places
+
+
+def smoother(steps: int, knots: int, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The matrix from values to fits, that of the fit's variance for a unit of noise, and its trace.
+
+    The basis comes from truncated powers: third differences of cubes, not from the recursion that the library uses.
+    """
+    t = np.arange(1.0, steps + 1)
+    h = (steps - 1) / (knots - 3)
+    basis = np.stack([sum(c * np.maximum((t - 1) / h - (j - 3 + k), 0) ** 3 for k, c in enumerate((1, -4, 6, -4, 1))) / 6 for j in range(knots)], axis=1)
+    gram = basis.T @ basis
+    d = np.diff(np.eye(knots), n=2, axis=0)
+    inverse = np.linalg.inv(gram + penalty * np.trace(gram) / knots * d.T @ d)
+    return basis @ inverse @ basis.T, np.einsum("ij,jk,ik->i", basis, inverse, basis), float(np.trace(inverse @ gram))
+
+
+SMOOTHER, UNIT_VARIANCE, FREEDOM = smoother(80, 12, 0.5)
+check(
+    "spline_fixed_penalty",
+    f"""SELECT * FROM (WITH dense AS (
+        SELECT fips, t, coalesce(y, 0) AS y FROM (SELECT fips, t FROM geo, range(1, 81) AS r(t)) LEFT JOIN (
+        SELECT fips, 12 * (year(date) - 1995) + month(date) AS t, CAST(count(*) AS DOUBLE) AS y FROM reports GROUP BY 1, 2) USING (fips, t)
+    ), matrix AS ({values([(i + 1, j + 1, float(SMOOTHER[i, j])) for i in range(80) for j in range(80)], 'i, j, s')}
+    ), unit AS ({values([(i + 1, float(x)) for i, x in enumerate(UNIT_VARIANCE)], 'i, u')}
+    ), fitted AS (SELECT fips, i, sum(CAST(s AS DOUBLE) * y) AS fit FROM dense JOIN matrix ON j = t GROUP BY 1, 2
+    ), noise AS (SELECT fips, sum(y * y) - 2 * sum(y * fit) + sum(fit * fit) AS rss FROM fitted JOIN dense USING (fips) WHERE i = t GROUP BY 1)
+    SELECT fips, CAST(i AS INTEGER) AS t, {r6('round(fit, 5) AS fit', f'round(sqrt(CAST(u AS DOUBLE) * rss / (80 - {FREEDOM!r})), 5) AS se_fit')} FROM fitted JOIN unit USING (i) JOIN noise USING (fips))""",
+    "geo",
+    "reports",
+)

@@ -51,9 +51,18 @@ def serosurvey_prepare(serosurvey: DataFrame) -> DataFrame:
     )
 
 
-def serosurvey_smooth(prepared: DataFrame, k: int = 5, penalty: float | None = None) -> DataFrame:
+def basis_sizes(prepared: DataFrame, k: int = 5, few: int = 10) -> DataFrame:
+    """Basis functions per state -> state, rounds, size: ``k``, but up to ``few`` rounds three fewer than there are rounds.
+
+    A round counts where its estimated number of infections is known. At least one function stays, the constant.
+    """
+    rounds = prepared.groupBy("state").agg(F.count("mean_sero").cast("int").alias("rounds"))
+    return rounds.withColumn("size", F.when(F.col("rounds") > few, F.lit(k)).otherwise(F.greatest(F.col("rounds") - 3, F.lit(1))))
+
+
+def serosurvey_smooth(prepared: DataFrame, k: int = 5, penalty: float | None = None, few: int = 10) -> DataFrame:
     """Smooth seroprevalence for every week on the grid -> state, week, mean_pred."""
-    fitted = binomial_smooth(prepared, "state", "t", "success", "n", k, penalty)
+    fitted = binomial_smooth(prepared, "state", "t", "success", "n", k, penalty, basis_sizes(prepared, k, few).drop("rounds"))
     weeks = prepared.select("t", "week").distinct()
     return natural_join(fitted, weeks, ["t"], "inner").select("state", "week", F.col("fit").alias("mean_pred"))
 

@@ -1,8 +1,10 @@
 """Penalised spline smoothing of many series at once.
 
-Rows are first summed per entity and time step, so an entity is at most as long as the calendar and
-becomes one row with arrays. Only the small solve of that row runs in Python. The amount of smoothing
-is a fixed penalty or the best of a small grid; a likelihood-based choice would differ slightly.
+A row touches four neighbouring basis functions, so the normal equations of a Gaussian smooth are built-in sums per series
+and knot interval, and the fit at a step is four products again. In between, one row per series carries a banded system;
+a task solves the systems of a whole batch of series, for all penalties, by one banded Cholesky factorisation over arrays.
+The binomial smooth reweights its systems in the same way, with one row of counts per series. The amount of smoothing is a
+fixed penalty or the best of a small grid; a likelihood-based choice would differ slightly.
 """
 
 from __future__ import annotations
@@ -10,8 +12,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import attach, natural_join
@@ -20,118 +22,238 @@ from .panel import distinct_values
 PENALTIES = tuple(10.0**k for k in range(-3, 7))
 # Reweighting ends when no fitted logit moves by more than this; that many steps without it are an error.
 IRLS_MOVE, IRLS_STEPS = 1e-8, 2000
+# Basis functions on one interval, and so the width of a band.
+BAND = 4
+# Numbers that the arrays of one batch of systems may hold.
+BATCH_CELLS = 4_000_000
 
 
-def cubic_basis(x: np.ndarray, low: float, high: float, size: int) -> np.ndarray:
-    """Values of ``size`` cubic B-splines with evenly spaced knots over [low, high]."""
-    step = max(high - low, 1e-9) / (size - 3)
+def spline_basis(x: np.ndarray, low: float, high: float, size: int) -> np.ndarray:
+    """Values of ``size`` B-splines with evenly spaced knots over [low, high].
+
+    They are cubic; fewer than four are a constant, two straight lines or three parabolas.
+    """
+    degree = min(3, size - 1)
+    step = max(high - low, 1e-9) / (size - degree)
     u = (np.asarray(x, dtype=float) - low) / step
-    cell = np.clip(np.floor(u), 0, size - 4).astype(int)
+    cell = np.clip(np.floor(u), 0, size - degree - 1).astype(int)
     s = u - cell
-    local = np.stack(
-        [(1 - s) ** 3, 3 * s**3 - 6 * s**2 + 4, -3 * s**3 + 3 * s**2 + 3 * s + 1, s**3], axis=1
-    ) / 6
+    local = [np.ones_like(s)]
+    for d in range(1, degree + 1):
+        # the recursion over degrees; function k of degree d begins d - k intervals before this one
+        local = [
+            ((s + d - k) / d * local[k - 1] if k else 0) + ((k + 1 - s) / d * local[k] if k < d else 0) for k in range(d + 1)
+        ]
     out = np.zeros((len(u), size))
-    rows = np.arange(len(u))
-    for k in range(4):
-        out[rows, cell + k] = local[:, k]
+    for k, values in enumerate(local):
+        out[np.arange(len(u)), cell + k] = values
     return out
 
 
+def cubic_basis(x: np.ndarray, low: float, high: float, size: int) -> np.ndarray:
+    return spline_basis(x, low, high, max(size, BAND))
+
+
 def roughness(size: int, ridge: float = 0.0) -> np.ndarray:
-    d = np.diff(np.eye(size), n=2, axis=0)
+    """Squares of second differences of the coefficients; none for fewer than three."""
+    d = np.diff(np.eye(size), n=2, axis=0) if size > 2 else np.zeros((0, size))
     return d.T @ d + ridge * np.eye(size)
 
 
-def _solve(gram: np.ndarray, right: np.ndarray, penalty: np.ndarray):
-    inverse = np.linalg.pinv(gram + penalty, hermitian=True)
-    return inverse @ right, inverse
-
-
-def gaussian_fit(basis, w, wy, wyy, n, penalties, ridge):
-    """Coefficients and their covariance, for the penalty with the lowest cross-validation score."""
-    gram, right = basis.T @ (w[:, None] * basis), basis.T @ wy
-    scale = np.trace(gram) / len(gram) or 1.0
-    rough = roughness(basis.shape[1], ridge)
-    best = None
-    for value in penalties:
-        beta, inverse = _solve(gram, right, value * scale * rough)
-        edf = float(np.trace(inverse @ gram))
-        rss = max(float(wyy.sum() - 2 * beta @ right + beta @ gram @ beta), 0.0)
-        free = max(n - edf, 1e-9)
-        score = n * rss / free**2
-        if best is None or score < best[0]:
-            best = (score, beta, inverse * (rss / free))
-    return best[1], best[2]
-
-
-def binomial_fit(basis, success, n, penalties):
-    """Coefficients on the logit scale by weighted least squares, repeated until the fit stands still."""
-    rough = roughness(basis.shape[1])
-    best = None
-    for value in penalties:
-        beta = np.zeros(basis.shape[1])
-        eta = np.log((success + 0.5) / (n - success + 0.5))
-        for _ in range(IRLS_STEPS):
-            mu = np.clip(1 / (1 + np.exp(-eta)), 1e-9, 1 - 1e-9)
-            weight = n * mu * (1 - mu)
-            target = eta + (success / n - mu) / (mu * (1 - mu))
-            gram = basis.T @ (weight[:, None] * basis)
-            beta, inverse = _solve(gram, basis.T @ (weight * target), value * rough)
-            before, eta = eta, np.clip(basis @ beta, -30, 30)
-            if np.abs(eta - before).max() < IRLS_MOVE:
-                break
-        else:
-            raise RuntimeError(f"the binomial smooth did not settle in {IRLS_STEPS} steps")
-        mu = np.clip(1 / (1 + np.exp(-eta)), 1e-12, 1 - 1e-12)
-        share = success / n
-        with np.errstate(divide="ignore", invalid="ignore"):
-            hit = np.where(share > 0, share * np.log(share / mu), 0.0)
-            miss = np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - mu)), 0.0)
-        deviance = 2 * float((n * (hit + miss)).sum())
-        score = (deviance + 2 * float(np.trace(inverse @ gram))) / len(n)
-        if best is None or score < best[0]:
-            best = (score, beta)
-    return best[1]
-
-
-def _series(df: DataFrame, key: str, x: str, y: str, weight: str | None) -> DataFrame:
-    """One row per entity: sums per time step, as arrays ordered by time."""
+def bands(matrix: np.ndarray) -> np.ndarray:
+    """``[k, j]`` = element (j + k, j) of a symmetric matrix with ``BAND`` diagonals."""
+    size = len(matrix)
+    out = np.zeros((BAND, size))
+    for k in range(min(BAND, size)):
+        out[k, : size - k] = np.diagonal(matrix, -k)
+    return out
+
+
+def banded_cholesky(a: np.ndarray) -> np.ndarray:
+    """Cholesky factors of symmetric banded matrices ``a[..., k, j]``, all of them side by side."""
+    size, lower = a.shape[-1], np.zeros_like(a)
+    for j in range(size):
+        for k in range(min(BAND, size - j)):
+            value = a[..., k, j].copy()
+            for m in range(1, min(BAND - k, j + 1)):
+                value -= lower[..., m + k, j - m] * lower[..., m, j - m]
+            lower[..., k, j] = np.sqrt(np.maximum(value, 1e-300)) if k == 0 else value / lower[..., 0, j]
+    return lower
+
+
+def banded_solve(lower: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solutions for right sides ``right[..., j, r]``, given ``banded_cholesky``'s factors."""
+    size, x = lower.shape[-1], np.array(right, dtype=float)
+    for j in range(size):
+        for m in range(1, min(BAND, j + 1)):
+            x[..., j, :] -= lower[..., m, j - m, None] * x[..., j - m, :]
+        x[..., j, :] /= lower[..., 0, j, None]
+    for j in reversed(range(size)):
+        for m in range(1, min(BAND, size - j)):
+            x[..., j, :] -= lower[..., m, j, None] * x[..., j + m, :]
+        x[..., j, :] /= lower[..., 0, j, None]
+    return x
+
+
+def banded_product(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Symmetric banded matrices times vectors ``x[..., j]``."""
+    size = a.shape[-1]
+    out = a[..., 0, :] * x
+    for k in range(1, min(BAND, size)):
+        out[..., k:] += a[..., k, : size - k] * x[..., : size - k]
+        out[..., : size - k] += a[..., k, : size - k] * x[..., k:]
+    return out
+
+
+def _inverse(lower: np.ndarray) -> np.ndarray:
+    size = lower.shape[-1]
+    return banded_solve(lower, np.broadcast_to(np.eye(size), (*lower.shape[:-2], size, size)))
+
+
+def _banded_trace(inverse: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """Trace of ``inverse`` times a symmetric banded matrix."""
+    total = np.einsum("...jj,...j->...", inverse, a[..., 0, :])
+    for k in range(1, min(BAND, a.shape[-1])):
+        total += 2 * np.einsum("...j,...j->...", np.diagonal(inverse, -k, -2, -1), a[..., k, : a.shape[-1] - k])
+    return total
+
+
+def gaussian_fits(gram, right, wyy, n, penalties, ridge):
+    """Coefficients and banded covariances, for each system's penalty with the lowest cross-validation score.
+
+    ``gram``: series by band by coefficient, ``right``: series by coefficient, ``wyy`` and ``n``: series.
+    """
+    size = gram.shape[-1]
+    scale = gram[:, 0].sum(1) / size
+    scale = np.where(scale > 0, scale, 1.0)
+    values = np.asarray(penalties)[None, :, None, None]
+    # The last summand decides only what neither data nor penalty do.
+    faint = np.zeros((BAND, size))
+    faint[0] = 1.0
+    systems = gram[:, None] + scale[:, None, None, None] * (values * bands(roughness(size, ridge)) + (1e-11 + 1e-14 * values) * faint)
+    lower = banded_cholesky(systems)
+    beta = banded_solve(lower, np.broadcast_to(right[:, None, :, None], (*lower.shape[:2], size, 1)))[..., 0]
+    inverse = _inverse(lower)
+    edf = _banded_trace(inverse, np.broadcast_to(gram[:, None], systems.shape))
+    fitted = (beta * banded_product(np.broadcast_to(gram[:, None], systems.shape), beta)).sum(-1)
+    rss = np.maximum(wyy[:, None] - 2 * (beta * right[:, None]).sum(-1) + fitted, 0.0)
+    free = np.maximum(n[:, None] - edf, 1e-9)
+    best = np.argmin(n[:, None] * rss / free**2, axis=1)
+    rows = np.arange(len(gram))
+    inverse = inverse[rows, best] * (rss / free)[rows, best][:, None, None]
+    covariance = np.zeros_like(gram)
+    for k in range(min(BAND, size)):
+        covariance[:, k, : size - k] = np.diagonal(inverse, -k, -2, -1)
+    return beta[rows, best], covariance
+
+
+def binomial_fits(basis, success, n, penalties):
+    """Coefficients on the logit scale by weighted least squares, repeated until no fit moves.
+
+    ``basis``: series by step by coefficient, where a series may leave columns empty; ``success`` and ``n``: series by step,
+    0 where nothing was observed. Systems that stand still are left out of further steps.
+    """
+    series, steps, size = basis.shape
+    used = np.abs(basis).sum(1) > 0  # columns of a series
+    rough = np.zeros((series, BAND, size))
+    for i, columns in enumerate(used.sum(1)):
+        rough[i, :, :columns] = bands(roughness(int(columns)))
+    products = np.stack([np.pad(basis[..., k:] * basis[..., : size - k], ((0, 0), (0, 0), (0, k))) for k in range(min(BAND, size))], axis=1)
+    which, value = (x.ravel() for x in np.meshgrid(np.arange(series), np.asarray(penalties), indexing="ij"))
+    seen = n > 0
+    share = np.where(seen, success / np.where(seen, n, 1), 0.0)
+    eta = np.log((success + 0.5) / (n - success + 0.5))[which]
+    beta, edf = np.zeros((len(which), size)), np.zeros(len(which))
+    moving = np.arange(len(which))
+    for _ in range(IRLS_STEPS):
+        at = which[moving]
+        mu = np.clip(1 / (1 + np.exp(-eta[moving])), 1e-9, 1 - 1e-9)
+        weight = n[at] * mu * (1 - mu)
+        right = np.einsum("mt,mtk->mk", weight * eta[moving] + success[at] - n[at] * mu, basis[at])
+        gram = np.zeros((len(moving), BAND, size))
+        for k in range(products.shape[1]):
+            gram[:, k] = np.einsum("mt,mtk->mk", weight, products[at, k])
+        system = gram + value[moving, None, None] * rough[at]
+        system[:, 0] += np.where(used[at], 1e-12 * (1 + system[:, 0].max(1, keepdims=True)), 1.0)
+        lower = banded_cholesky(system)
+        beta[moving] = banded_solve(lower, right[..., None])[..., 0]
+        after = np.clip(np.einsum("mtk,mk->mt", basis[at], beta[moving]), -30, 30)
+        still = np.where(seen[at], np.abs(after - eta[moving]), 0.0).max(1) < IRLS_MOVE
+        eta[moving] = after
+        if still.any():
+            edf[moving[still]] = _banded_trace(_inverse(lower[still]), gram[still])
+            moving = moving[~still]
+        if not len(moving):
+            break
+    else:
+        raise RuntimeError(f"the binomial smooth did not settle in {IRLS_STEPS} steps")
+    mu = np.clip(1 / (1 + np.exp(-eta)), 1e-12, 1 - 1e-12)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        hit = np.where(share[which] > 0, share[which] * np.log(share[which] / mu), 0.0)
+        miss = np.where(share[which] < 1, (1 - share[which]) * np.log((1 - share[which]) / (1 - mu)), 0.0)
+    deviance = 2 * (n[which] * (hit + miss)).sum(1)
+    score = ((deviance + 2 * edf) / seen.sum(1)[which]).reshape(series, -1)
+    best = np.argmin(score, axis=1)
+    return beta.reshape(series, -1, size)[np.arange(series), best]
+
+
+def _local(x: Column, low: Column, high: Column, size: int) -> tuple[Column, list[Column]]:
+    """The interval of a value and its four cubic basis functions there."""
+    u = (x - low) / (F.greatest(high - low, F.lit(1e-9)) / F.lit(float(size - 3)))
+    cell = F.least(F.greatest(F.floor(u), F.lit(0)), F.lit(size - BAND)).cast("int")
+    s = u - cell
+    rest = 1 - s
+    values = [rest * rest * rest, 3 * s * s * s - 6 * s * s + 4, 3 * rest * rest * rest - 6 * rest * rest + 4, s * s * s]
+    return cell, [v / 6 for v in values]
+
+
+def _normal_equations(df: DataFrame, key: str, x: str, y: str, weight: str | None, grid: Column, size: int) -> DataFrame:
+    """One row per series: ``cells`` with the sums over the rows of each knot interval."""
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), w.alias("w")
-    )
-    steps = rows.groupBy(key, "x").agg(
-        F.sum("w").alias("w"),
-        F.sum(F.col("w") * F.col("y")).alias("wy"),
-        F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    data = F.array_sort(F.collect_list(F.struct("x", "w", "wy", "wyy", "n")))
-    return steps.groupBy(key).agg(data.alias("data")).select(
-        key, *[F.col(f"data.{c}").alias(c) for c in ("x", "w", "wy", "wyy")], F.aggregate("data.n", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("n")
+        key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), w.alias("w"), grid.alias("grid")
     )
+    cell, local = _local(F.col("x"), F.get("grid", F.lit(0)), F.element_at("grid", -1), size)
+    rows = rows.select(key, "y", "w", cell.alias("cell"), *[b.alias(f"b{a}") for a, b in enumerate(local)])
+    squares = [F.sum(F.col("w") * F.col(f"b{a}") * F.col(f"b{b}")).alias(f"g{a}{b}") for a in range(BAND) for b in range(a, BAND)]
+    rights = [F.sum(F.col("w") * F.col("y") * F.col(f"b{a}")).alias(f"r{a}") for a in range(BAND)]
+    sums = rows.groupBy(key, "cell").agg(*squares, *rights, F.sum(F.col("w") * F.col("y") * F.col("y")).alias("wyy"), F.count(F.lit(1)).alias("n"))
+    return sums.groupBy(key).agg(F.collect_list(F.struct(*[c for c in sums.columns if c != key])).alias("cells"))
+
 
+def _flat(column: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Row numbers and fields of the structs in a column of lists."""
+    items = column.flatten()
+    rows = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return rows, {f.name: items.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(items.type)}
 
-def _with_grid(series: DataFrame, df: DataFrame, x: str) -> DataFrame:
-    """Add the time steps of the whole table, at which every entity is predicted."""
-    return series.withColumn("grid", distinct_values(df, x).cast("array<double>"))
 
+def _lists(values: np.ndarray) -> pa.Array:
+    return pa.FixedSizeListArray.from_arrays(pa.array(values.ravel()), values.shape[1]).cast(pa.list_(pa.float64()))
 
-def _predicted(series: DataFrame, key: str, x: str, x_type: str, solve) -> DataFrame:
-    key_type = series.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fits = [solve(row) for row in batch.itertuples(index=False)]
-            yield pd.DataFrame(
-                {key: batch[key], "grid": batch["grid"], "fit": [f for f, _ in fits], "se_fit": [s for _, s in fits]}
-            )
+def _solved(equations: DataFrame, key: str, size: int, penalties: tuple[float, ...], ridge: float) -> DataFrame:
+    """``key, beta, spread``: coefficients and the bands of their covariance, band after band."""
+    key_type = equations.schema[key].dataType.simpleString()
+    at_once = max(1, BATCH_CELLS // (len(penalties) * size * size))
 
-    schema = f"`{key}` {key_type}, grid array<double>, fit array<double>, se_fit array<double>"
-    fitted = series.mapInPandas(run, schema)
-    rows = fitted.select(key, F.inline(F.arrays_zip("grid", "fit", "se_fit")))
-    return rows.select(key, F.col("grid").cast(x_type).alias(x), "fit", "se_fit")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                rows, sums = _flat(batch.column("cells"))
+                gram, right = np.zeros((batch.num_rows, BAND, size)), np.zeros((batch.num_rows, size))
+                wyy, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                for a in range(BAND):
+                    np.add.at(right, (rows, sums["cell"] + a), sums[f"r{a}"])
+                    for b in range(a, BAND):
+                        np.add.at(gram, (rows, b - a, sums["cell"] + a), sums[f"g{a}{b}"])
+                np.add.at(wyy, rows, sums["wyy"])
+                np.add.at(n, rows, sums["n"])
+                beta, covariance = gaussian_fits(gram, right, wyy, n, penalties, ridge)
+                yield pa.RecordBatch.from_arrays([batch.column(key), _lists(beta), _lists(covariance.reshape(len(beta), -1))], names=[key, "beta", "spread"])
+
+    return equations.select(key, "cells").mapInArrow(run, f"`{key}` {key_type}, beta array<double>, spread array<double>")
 
 
 def spline_smooth(
@@ -146,42 +268,62 @@ def spline_smooth(
 ) -> DataFrame:
     """Smooth series per entity, at every time step of the table -> key, x, fit, se_fit."""
     penalties = PENALTIES if penalty is None else (penalty,)
-    size = max(knots, 4)
-
-    def solve(row):
-        grid = np.asarray(row.grid)
-        low, high = grid.min(), grid.max()
-        beta, covariance = gaussian_fit(
-            cubic_basis(np.asarray(row.x), low, high, size),
-            np.asarray(row.w), np.asarray(row.wy), np.asarray(row.wyy), row.n, penalties, ridge,
-        )
-        basis = cubic_basis(grid, low, high, size)
-        spread = np.einsum("ij,jk,ik->i", basis, covariance, basis)
-        return basis @ beta, np.sqrt(np.maximum(spread, 0))
-
-    series = _with_grid(_series(df, key, x, y, weight), df, x)
-    return _predicted(series, key, x, df.schema[x].dataType.simpleString(), solve)
+    size = max(knots, BAND)
+    grid = distinct_values(df, x).cast("array<double>")
+    solved = _solved(_normal_equations(df, key, x, y, weight, grid, size), key, size, penalties, ridge)
+    steps = solved.withColumn("grid", grid).select(key, "beta", "spread", F.get("grid", F.lit(0)).alias("low"), F.element_at("grid", -1).alias("high"), F.explode("grid").alias("at"))
+    cell, local = _local(F.col("at"), F.col("low"), F.col("high"), size)
+    steps = steps.select(key, "beta", "spread", "at", cell.alias("cell"), *[b.alias(f"b{a}") for a, b in enumerate(local)])
+    fit, variance = F.lit(0.0), F.lit(0.0)
+    for a in range(BAND):
+        fit = fit + F.col(f"b{a}") * F.get("beta", F.col("cell") + a)
+        for b in range(a, BAND):
+            term = F.col(f"b{a}") * F.col(f"b{b}") * F.get("spread", F.lit((b - a) * size) + F.col("cell") + a)
+            variance = variance + (term if a == b else 2 * term)
+    x_type = df.schema[x].dataType.simpleString()
+    return steps.select(key, F.col("at").cast(x_type).alias(x), fit.alias("fit"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("se_fit"))
 
 
 def binomial_smooth(
-    df: DataFrame, key: str, x: str, success: str, n: str, knots: int = 5, penalty: float | None = None
+    df: DataFrame, key: str, x: str, success: str, n: str, knots: int = 5, penalty: float | None = None, sizes: DataFrame | None = None
 ) -> DataFrame:
-    """Smooth share of successes per entity on the logit scale -> key, x, fit."""
+    """Smooth share of successes per entity on the logit scale -> key, x, fit.
+
+    ``sizes`` (key, size) gives entities a number of basis functions of their own, 1 or more; the others have ``knots``, at
+    least four.
+    """
     penalties = PENALTIES if penalty is None else (penalty,)
-    size = max(knots, 4)
-
-    def solve(row):
-        grid = np.asarray(row.grid)
-        low, high = grid.min(), grid.max()
-        beta = binomial_fit(
-            cubic_basis(np.asarray(row.x), low, high, size), np.asarray(row.wy), np.asarray(row.w), penalties
-        )
-        fit = 1 / (1 + np.exp(-(cubic_basis(grid, low, high, size) @ beta)))
-        return fit, np.full(len(grid), np.nan)
-
-    share = df.filter(F.col(n) > 0).withColumn("__share", F.col(success) / F.col(n))
-    series = _with_grid(_series(share, key, x, "__share", n), df, x)
-    return _predicted(series, key, x, df.schema[x].dataType.simpleString(), solve).drop("se_fit")
+    known = df.filter(F.col(x).isNotNull() & F.col(success).isNotNull() & (F.col(n) > 0))
+    steps = known.groupBy(key, F.col(x).cast("double").alias("x")).agg(F.sum(F.col(success).cast("double")).alias("success"), F.sum(F.col(n).cast("double")).alias("n"))
+    series = steps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("x", "success", "n"))).alias("steps"))
+    series = series.withColumn("size", F.lit(None).cast("int")) if sizes is None else natural_join(series, sizes.select(key, F.col("size").cast("int")), [key])
+    series = series.withColumn("size", F.greatest(F.coalesce("size", F.lit(max(knots, BAND))), F.lit(1))).withColumn("grid", distinct_values(df, x).cast("array<double>"))
+    key_type = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            if not whole.num_rows:
+                continue
+            grid = whole.column("grid").slice(0, 1).flatten().to_numpy()
+            most = int(max(whole.column("size").to_numpy().max(), 1))
+            at_once = max(1, BATCH_CELLS // (len(penalties) * len(grid) * most * BAND))
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                rows, found = _flat(batch.column("steps"))
+                size = batch.column("size").to_numpy()
+                basis = np.zeros((batch.num_rows, len(grid), most))
+                for k in np.unique(size):
+                    basis[size == k, :, :k] = spline_basis(grid, grid[0], grid[-1], int(k))
+                counts = np.zeros((2, batch.num_rows, len(grid)))
+                place = np.searchsorted(grid, found["x"])
+                counts[0, rows, place], counts[1, rows, place] = found["success"], found["n"]
+                beta = binomial_fits(basis, counts[0], counts[1], penalties)
+                fit = 1 / (1 + np.exp(-np.einsum("stk,sk->st", basis, beta)))
+                yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("grid"), _lists(fit)], names=[key, "grid", "fit"])
+
+    fitted = series.select(key, "steps", "size", "grid").mapInArrow(run, f"`{key}` {key_type}, grid array<double>, fit array<double>")
+    rows = fitted.select(key, F.inline(F.arrays_zip("grid", "fit")))
+    return rows.select(key, F.col("grid").cast(df.schema[x].dataType.simpleString()).alias(x), "fit")
 
 
 def smooth_observed(df: DataFrame, key: str, x: str, y: str, **options) -> DataFrame:

@@ -681,6 +681,39 @@ def serosurvey_smooth(v: Views):
     return rounded(serology.serosurvey_smooth(serology.serosurvey_prepare(v.serosurvey())), 4)
 
 
+def _short_surveys(v: Views) -> DataFrame:
+    """The survey where states have 4, 6, 8, 10 and 12 known rounds, by name; the other rounds have no estimate."""
+    prepared = serology.serosurvey_prepare(v.serosurvey())
+    order = F.array_position(F.array(*[F.lit(x) for x in ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")]), F.col("state"))
+    known = F.col("t") <= 4 * F.col("mean_round")
+    kept = prepared.withColumn("mean_round", (2 + 2 * order).cast("int"))
+    # every fourth round up to the state's number, so that the curve is asked far beyond its data too
+    here = known & (F.col("t") % 4 == 0) & F.col("mean_sero").isNotNull()
+    return kept.withColumns({c: F.when(here, F.col(c)) for c in ("mean_sero", "success", "n")}).drop("mean_round")
+
+
+@query
+def serosurvey_few_rounds(v: Views):
+    """Basis size per state, and how far the fit is from its score equations; the constant fit beside the plain share.
+
+    A curve of one to seven functions without penalty solves one equation per function: over the rounds, the function's
+    values times what is left of the successes sum to zero. Only the functions that a size has in common with polynomials
+    are asked here: the constant, from two functions on the line, from three on the parabola.
+    """
+    short = _short_surveys(v)
+    fitted = serology.serosurvey_smooth(short, penalty=0.0)
+    rows = joins.natural_join(short, fitted, ["state", "week"]).filter(F.col("success").isNotNull() & (F.col("n") > 0))
+    left, u = F.col("success") - F.col("n") * F.col("mean_pred"), F.col("t") / 80.0
+    share = F.sum("success") / F.sum("n")
+    sums = rows.groupBy("state").agg(
+        F.sum(left).alias("s0"), F.sum(left * u).alias("s1"), F.sum(left * u * u).alias("s2"), share.alias("share"),
+        F.count(F.lit(1)).alias("fitted_rounds"), (F.sum(F.col("n") * F.col("mean_pred")) / F.sum("n")).alias("mean_fit"),
+    )
+    sized = joins.natural_join(serology.basis_sizes(short), sums, ["state"])
+    score = lambda column, least: F.round(F.when(F.col("size") >= least, F.abs(column)), 6)
+    return sized.select("state", "rounds", "size", "fitted_rounds", "share", "mean_fit", score(F.col("s0"), 1).alias("constant"), score(F.col("s1"), 2).alias("line"), score(F.col("s2"), 3).alias("parabola"))
+
+
 @query
 def poststratify(v: Views):
     return serology.poststratify(v.cases_daily(), v.geo(), v.sero_fit(), v.population(), dropped=(4,))
@@ -888,6 +921,21 @@ def indoor_outdoor_dwell(v: Views):
 # Smoothing
 
 
+def _monthly(v: Views) -> DataFrame:
+    """Reports per place and month of 1995 to 2001, none where there are none."""
+    month = (12 * (F.year("date") - 1995) + F.month("date")).cast("int")
+    places_ = v.geo().select("fips", "state").withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(80))))
+    counts = v.reports().groupBy("fips", month.alias("t")).agg(F.count(F.lit(1)).cast("double").alias("y"))
+    return joins.natural_join(places_, counts, ["fips", "t"]).withColumn("y", F.coalesce("y", F.lit(0.0)))
+
+
+@query
+def spline_fixed_penalty(v: Views):
+    """Smooth monthly reports of every place under a given penalty."""
+    fitted = smoothing.spline_smooth(_monthly(v), "fips", "t", "y", knots=12, penalty=0.5)
+    return fitted.withColumns({c: F.round(c, 5) for c in ("fit", "se_fit")})
+
+
 @query
 def spline_smooth(v: Views):
     indexed = panel.time_index(v.weekly_means(), "week", "t")

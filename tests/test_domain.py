@@ -306,6 +306,64 @@ def test_binomial_smooth(table):
     assert max(abs(r.fit - x) for r, x in zip(got, p)) < 0.02
 
 
+@pytest.mark.parametrize("size", range(1, 10))
+def test_basis_of_every_size(size):
+    x = np.linspace(2, 9, 50)
+    b = smoothing.spline_basis(x, 2, 9, size)
+    assert b.shape == (50, size) and np.allclose(b.sum(1), 1) and (b >= -1e-12).all()
+    for power in range(min(size, 4)):
+        beta = np.linalg.lstsq(b, x**power, rcond=None)[0]
+        assert np.allclose(b @ beta, x**power)
+
+
+def test_banded_solve_equals_dense_solve():
+    rng = np.random.default_rng(5)
+    full = np.stack([b.T @ b + 0.1 * np.eye(7) for b in (smoothing.spline_basis(rng.random(30), 0, 1, 7) for _ in range(6))]).reshape(2, 3, 7, 7)
+    a = np.stack([smoothing.bands(m) for m in full.reshape(6, 7, 7)]).reshape(2, 3, smoothing.BAND, 7)
+    right, lower = rng.normal(size=(2, 3, 7, 2)), smoothing.banded_cholesky(a)
+    assert np.allclose(smoothing.banded_solve(lower, right), np.linalg.solve(full, right))
+    assert np.allclose(smoothing.banded_product(a, right[..., 0]), (full @ right)[..., 0])
+
+
+def test_series_of_one_batch_do_not_touch(table, monkeypatch):
+    """Alone, together, or in slices of a batch: the same fits, also for a series with a single value."""
+    rng = np.random.default_rng(6)
+    rows = [(k, t, float(rng.normal())) for k in range(7) for t in range(1, 25) if k < 6 or t == 3]
+    whole = {(r.k, r.t): (r.fit, r.se_fit) for r in smoothing.spline_smooth(table(rows, "k int, t int, y double"), "k", "t", "y").collect()}
+    monkeypatch.setattr(smoothing, "BATCH_CELLS", 1)
+    sliced = {(r.k, r.t): (r.fit, r.se_fit) for r in smoothing.spline_smooth(table(rows, "k int, t int, y double"), "k", "t", "y").collect()}
+    one = [(k, t, y) for k, t, y in rows if k == 2]
+    alone = {(r.k, r.t): (r.fit, r.se_fit) for r in smoothing.spline_smooth(table(one, "k int, t int, y double"), "k", "t", "y").collect()}
+    assert len(whole) == 7 * 24 and np.allclose([whole[key] for key in sorted(whole)], [sliced[key] for key in sorted(whole)])
+    assert np.allclose([whole[key] for key in sorted(alone)], [alone[key] for key in sorted(alone)])
+    assert all(np.isfinite(whole[6, t][0]) for t in range(1, 25))
+
+
+def test_binomial_smooth_with_sizes_of_its_own(table):
+    """Without penalty the score equations hold: what is left of the successes is orthogonal to the basis."""
+    rng, sizes = np.random.default_rng(7), {"A": 1, "B": 2, "C": 3, "D": 5, "E": 7}
+    rows = [(k, t, int(rng.binomial(200, 0.2 + 0.01 * t)), 200) for k in sizes for t in range(1, 31) if (t + len(k)) % 3]
+    df = table(rows, "k string, t int, s int, n int")
+    got = smoothing.binomial_smooth(df, "k", "t", "s", "n", penalty=0.0, sizes=table(list(sizes.items()), "k string, size int")).collect()
+    fit = {(r.k, r.t): r.fit for r in got}
+    seen = np.array(sorted({r[1] for r in rows}), float)
+    assert len(got) == 5 * len(seen)
+    for k, size in sizes.items():
+        mine = [(t, s, n) for key, t, s, n in rows if key == k]
+        left = np.array([s - n * fit[k, t] for t, s, n in mine])
+        assert np.abs(smoothing.spline_basis(np.array([t for t, _, _ in mine], float), seen.min(), seen.max(), size).T @ left).max() < 1e-6
+
+
+def test_few_rounds_take_fewer_functions(table, day):
+    rows = [(s, day("2021-01-03") + datetime.timedelta(weeks=t), t, 5.0 if t <= r else None, 20 + t if t <= r else None, 100 if t <= r else None) for s, r in (("A", 2), ("B", 4), ("C", 7), ("D", 10), ("E", 11)) for t in range(1, 13)]
+    df = table(rows, "state string, week date, t int, mean_sero double, success int, n int")
+    sizes = {r.state: (r.rounds, r["size"]) for r in serology.basis_sizes(df).collect()}
+    assert sizes == {"A": (2, 1), "B": (4, 1), "C": (7, 4), "D": (10, 7), "E": (11, 5)}
+    fit = serology.serosurvey_smooth(df, penalty=0.0)
+    assert fit.count() == 5 * 12
+    assert {round(r.mean_pred, 9) for r in fit.filter("state = 'B'").collect()} == {round((21 + 22 + 23 + 24) / 400, 9)}
+
+
 def test_panel_smooth_is_dense(table):
     data = [("A", k, t, 5.0 + k + 0.1 * t, 10.0) for k in (1, 2) for t in range(1, 31) if not (k == 2 and t % 5 == 0)]
     df = table(data, "state string, fips int, t int, y double, w double")

@@ -15,7 +15,7 @@ QUICK = [
     "allowed_origins", "bias_ratios", "cases_at_both_ends", "clean_edges", "coupling_by_week", "coverage_lagged",
     "date_functions", "dense_within_states", "draw_summaries", "full_join_null_keys", "granger_tests", "headerless_scan",
     "immunity_share", "immunity_two_sources", "import_risk", "incidence_per_capita", "neighbor_impute", "neighbor_pool", "parquet_week_range",
-    "poststratify", "prevalence_sources", "renewal_rt", "residuals_scaled", "strict_and_skip", "text_functions", "transmissibility", "utf16_regions",
+    "poststratify", "prevalence_sources", "renewal_rt", "residuals_scaled", "serosurvey_few_rounds", "spline_fixed_penalty", "strict_and_skip", "text_functions", "transmissibility", "utf16_regions",
     "vaccination_coverage", "vaccine_effectiveness", "weekly_incidence",
 ]
 
