@@ -234,6 +234,23 @@ check(
     "sparse_edges",
     "calendar",
 )
+SQL["asof_partitions"] = SQL["asof_edges"]
+check(
+    "fallback_partitions",
+    f"""SELECT c.week, {EDGE}, round(p + 3.71e-10, 8) AS prop_population FROM (
+    SELECT week, CASE WHEN week IN (SELECT week FROM sparse_edges) THEN week ELSE DATE '1996-01-07' END AS source FROM calendar WHERE year(week) = 1997) c
+    JOIN sparse_edges e ON e.week = c.source""",
+    "sparse_edges",
+    "calendar",
+)
+check(
+    "upserted_versions",
+    f"""SELECT {EDGE}, week, round(avg(p) + 3.71e-10, 8) AS prop_population FROM (
+    SELECT o, d, week, p FROM weekly_edges WHERE week < DATE '1999-01-01'
+    UNION ALL SELECT o, d, week, p * 0.5e0 FROM weekly_edges WHERE week >= DATE '1998-01-01'
+    UNION ALL SELECT o, d, week, p * 3e0 FROM weekly_edges WHERE year(week) = 1996) GROUP BY o, d, week""",
+    "weekly_edges",
+)
 check(
     "union_of_shapes",
     """SELECT c_nationkey AS fips, round(c_acctbal + 3.71e-10, 8) AS balance, c_mktsegment AS segment FROM customer

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import places
@@ -56,24 +56,34 @@ def unfitted(contact: DataFrame, geo: DataFrame) -> DataFrame:
     return natural_join(listed, fitted, ["fips"], "anti")
 
 
+def asof_source(available: Column, column: str = "week") -> Column:
+    """The last of the available weeks up to this one."""
+    return F.array_max(F.filter(available, lambda w: w <= F.col(column)))
+
+
+def fallback_source(available: Column, fallback, column: str = "week") -> Column:
+    """This week if it is available, else a fixed one."""
+    return F.when(F.array_contains(available, F.col(column)), F.col(column)).otherwise(F.lit(fallback).cast("date"))
+
+
 def asof_partition(weeks: DataFrame, edges: DataFrame, column: str = "week") -> DataFrame:
-    """Edges for every wanted week; a week without edges takes those of the last week that has some."""
-    available = distinct_values(edges, column)
-    wanted = weeks.select(F.col(column)).distinct().withColumn("__have", available)
-    source = F.array_max(F.filter("__have", lambda w: w <= F.col(column)))
-    return _from_source(wanted.withColumn("__source", source), edges, column)
+    """Edges for every wanted week; a week without edges takes those of the last week that has some.
+
+    For edges that are any table. ``sources.partitions.read_asof`` does it for edges stored by week, without reading rows to
+    learn which weeks there are.
+    """
+    wanted = weeks.select(F.col(column)).distinct().withColumn("__have", distinct_values(edges, column))
+    return copied_to_weeks(wanted.withColumn("__source", asof_source(F.col("__have"), column)), edges, column)
 
 
 def fixed_fallback(weeks: DataFrame, edges: DataFrame, fallback, column: str = "week") -> DataFrame:
     """Edges for every wanted week; a week without edges takes those of one fixed week."""
-    available = distinct_values(edges, column)
-    wanted = weeks.select(F.col(column)).distinct().withColumn("__have", available)
-    source = F.when(F.array_contains("__have", F.col(column)), F.col(column)).otherwise(F.lit(fallback).cast("date"))
-    return _from_source(wanted.withColumn("__source", source), edges, column)
+    wanted = weeks.select(F.col(column)).distinct().withColumn("__have", distinct_values(edges, column))
+    return copied_to_weeks(wanted.withColumn("__source", fallback_source(F.col("__have"), fallback, column)), edges, column)
 
 
-def _from_source(wanted: DataFrame, edges: DataFrame, column: str) -> DataFrame:
-    """Weeks that share a source travel together, so each edge is read once and then copied."""
+def copied_to_weeks(wanted: DataFrame, edges: DataFrame, column: str = "week") -> DataFrame:
+    """Weeks that share a ``__source`` travel together, so each edge is read once and then copied."""
     plan = wanted.filter(F.col("__source").isNotNull()).groupBy("__source").agg(F.collect_set(column).alias("__to"))
     plan = plan.withColumnRenamed("__source", column)
     placed = attach(edges, plan, [column], "inner")

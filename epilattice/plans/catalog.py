@@ -34,7 +34,7 @@ from ..operators import (
     venues,
 )
 from ..session import configure, scratch_path
-from ..sources import readers, sinks
+from ..sources import partitions, readers, sinks
 from . import flagship
 from .views import Views
 
@@ -149,6 +149,20 @@ def week_number_slices(v: Views):
     return v.spark.read.parquet(path)
 
 
+@query
+def upserted_versions(v: Views):
+    """Two revisions in a row as versions that share the folders of untouched weeks."""
+    edges = v.weekly_edges()
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in edges.dtypes)
+    first, second, third = (scratch_path(v.spark, name) for name in ("first", "second", "third"))
+    partitions.write_version(edges.filter(F.col("week") < F.lit("1999-01-01").cast("date")), first)
+    late = edges.filter(F.col("week") >= F.lit("1998-01-01").cast("date"))
+    partitions.upsert_version(v.spark, first, late.withColumn("prop_population", F.col("prop_population") * 0.5), second, schema)
+    year = edges.filter(F.year("week") == 1996).withColumn("prop_population", F.col("prop_population") * 3)
+    partitions.upsert_version(v.spark, second, year, third, schema)
+    return partitions.read_version(v.spark, third, schema)
+
+
 @query
 def upserted_edges(v: Views):
     path = scratch_path(v.spark, "version")
@@ -175,6 +189,25 @@ def fallback_edges(v: Views):
     return coupling.fixed_fallback(v.weekly_means().select("week"), _sparse_edges(v), "1996-01-07")
 
 
+def _stored_by_week(v: Views) -> str:
+    path = scratch_path(v.spark, "edges-by-week")
+    sinks.write_by_week(_sparse_edges(v), path)
+    return path
+
+
+@query
+def asof_partitions(v: Views):
+    """As ``asof_edges``, from folders by week."""
+    return partitions.read_asof(v.spark, v.weekly_means().select("week"), _stored_by_week(v))
+
+
+@query
+def fallback_partitions(v: Views):
+    """As ``fallback_edges``, from folders by week; only weeks of 1997 are wanted."""
+    wanted = v.weekly_means().select("week").filter(F.year("week") == 1997)
+    return partitions.read_with_fallback(v.spark, wanted, _stored_by_week(v), "1996-01-07")
+
+
 @query
 def union_of_shapes(v: Views):
     customer = v.table("customer").select(
