@@ -251,6 +251,13 @@ check(
     UNION ALL SELECT o, d, week, p * 3e0 FROM weekly_edges WHERE year(week) = 1996) GROUP BY o, d, week""",
     "weekly_edges",
 )
+check(
+    "directory_union",
+    """SELECT c_nationkey AS fips, round(c_acctbal + 3.71e-10, 8) AS balance, c_mktsegment AS segment, NULL AS name, NULL AS state FROM customer
+    UNION ALL SELECT s_nationkey, round(s_acctbal + 3.71e-10, 8), NULL, NULL, NULL FROM supplier
+    UNION ALL SELECT fips, NULL, NULL, name, state FROM geo""",
+    "geo",
+)
 check(
     "union_of_shapes",
     """SELECT c_nationkey AS fips, round(c_acctbal + 3.71e-10, 8) AS balance, c_mktsegment AS segment FROM customer

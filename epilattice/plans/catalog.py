@@ -208,6 +208,17 @@ def fallback_partitions(v: Views):
     return partitions.read_with_fallback(v.spark, wanted, _stored_by_week(v), "1996-01-07")
 
 
+@query
+def directory_union(v: Views):
+    """Files of three shapes in one folder, matched by the names in their first lines."""
+    path = scratch_path(v.spark, "shapes")
+    customer = v.table("customer").select(F.col("c_nationkey").alias("fips"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    sinks.write_csv(customer.repartition(4, "segment"), f"{path}/a")
+    sinks.write_csv(v.table("supplier").select(F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("fips")).repartition(3, "fips"), f"{path}/b")
+    sinks.write_csv(v.geo().select("name", "fips", "state"), f"{path}/c")
+    return readers.read_union(v.spark, f"{path}/*", {"fips": "i", "balance": "d"})
+
+
 @query
 def union_of_shapes(v: Views):
     customer = v.table("customer").select(

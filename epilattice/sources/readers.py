@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,9 +76,32 @@ def read_regions(spark: SparkSession, path: str, types: str | None = None) -> Da
     return with_file_key(raw, "Region", r"Region(\d+)\.csv").withColumn("Region", F.concat(F.lit("Region "), "Region"))
 
 
-def read_union(spark: SparkSession, paths: list[str], types: str | None = None, **options) -> DataFrame:
-    """Files whose columns differ, matched by name. Files of one shape need one ``read_csv`` of a glob."""
-    return stack(*[read_csv(spark, p, types, **options) for p in paths])
+def files_by_header(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """First lines and the files that begin with them, from one pass over the first blocks of all files.
+
+    The driver sees each different first line and the names of the files, as it does when it lists them.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.filter("at = 0").withColumn("row", F.monotonically_increasing_id())
+    firsts = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    shapes = firsts.groupBy("header").agg(F.array_sort(F.collect_list("file")).alias("files"))
+    return {row.header: [unquote(f) for f in row.files] for row in shapes.orderBy("header").toLocalIterator()}
+
+
+def read_union(spark: SparkSession, path: str | list[str], types: dict[str, str] | None = None, sep: str = ",", clean_names: bool = False) -> DataFrame:
+    """All files below a path, also where their columns differ, matched by name; one scan for each different header.
+
+    ``types`` has a letter per column name, as in ``read_csv``; other columns are text. Files without a first line have no
+    rows; columns that a file lacks are missing.
+    """
+    frames = []
+    for header, files in files_by_header(spark, path).items():
+        names = next(csv.reader([header.lstrip("\ufeff").rstrip("\r")], delimiter=sep))
+        letters = "".join((types or {}).get(name, "c") for name in names)
+        frames.append(read_csv(spark, files, letters, names, sep, clean_names=clean_names))
+    if not frames:
+        raise ValueError(f"no file with a header in {path}")
+    return stack(*frames)
 
 
 def read_weekly_files(spark: SparkSession, path: str, types: str | None = None, **options) -> DataFrame:
@@ -90,11 +116,6 @@ def read_partitions(spark: SparkSession, path: str, start=None, end=None, axis:
     return within_range(spark.read.parquet(path), axis, start, end)
 
 
-def inline(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """A small fixed table."""
-    return spark.createDataFrame(rows, schema)
-
-
 def dated_by_week_number(edges: DataFrame, value: str = "prop_of_origin_visits_to_dest") -> DataFrame:
     """Edges keyed by (year, week number) to edges keyed by the nearest Sunday."""
     kept = [F.col(c) for c in edges.columns if c not in ("week", "year", value)]
