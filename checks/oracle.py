@@ -1235,20 +1235,34 @@ check(
 # A smooth of equal weights on a full calendar is one matrix for all places
 
 
-def smoother(steps: int, knots: int, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
-    """The matrix from values to fits, that of the fit's variance for a unit of noise, and its trace.
+def spline_values(steps: int, knots: int) -> np.ndarray:
+    """The cubic basis by truncated powers: fourth differences of cubes, not the recursion that the library uses."""
+    t, h = np.arange(1.0, steps + 1), (steps - 1) / (knots - 3)
+    return np.stack([sum(c * np.maximum((t - 1) / h - (j - 3 + k), 0) ** 3 for k, c in enumerate((1, -4, 6, -4, 1))) / 6 for j in range(knots)], axis=1)
+
+
+def rough(gram: np.ndarray, penalty: float, ridge: float = 0.0) -> np.ndarray:
+    d = np.diff(np.eye(len(gram)), n=2, axis=0)
+    return penalty * np.trace(gram) / len(gram) * (d.T @ d + ridge * np.eye(len(gram)))
+
 
-    The basis comes from truncated powers: third differences of cubes, not from the recursion that the library uses.
-    """
-    t = np.arange(1.0, steps + 1)
-    h = (steps - 1) / (knots - 3)
-    basis = np.stack([sum(c * np.maximum((t - 1) / h - (j - 3 + k), 0) ** 3 for k, c in enumerate((1, -4, 6, -4, 1))) / 6 for j in range(knots)], axis=1)
+def smoother(steps: int, knots: int, penalty: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """The matrix from values to fits, that of the fit's variance for a unit of noise, and its trace."""
+    basis = spline_values(steps, knots)
     gram = basis.T @ basis
-    d = np.diff(np.eye(knots), n=2, axis=0)
-    inverse = np.linalg.inv(gram + penalty * np.trace(gram) / knots * d.T @ d)
+    inverse = np.linalg.inv(gram + rough(gram, penalty))
     return basis @ inverse @ basis.T, np.einsum("ij,jk,ik->i", basis, inverse, basis), float(np.trace(inverse @ gram))
 
 
+def joint_smoother(steps: int, members: int, wide: int, narrow: int, ridge: float, group_penalty: float, entity_penalty: float):
+    """Matrices from the sum over a group's members to its trend, and from what the trend leaves to a deviation."""
+    trend, own = spline_values(steps, wide), spline_values(steps, narrow)
+    gram, own_gram, cross = trend.T @ trend, own.T @ own, trend.T @ own
+    own_inverse = np.linalg.inv(own_gram + rough(own_gram, entity_penalty, ridge))
+    whole = members * (gram - cross @ own_inverse @ cross.T) + rough(members * gram, group_penalty)
+    return trend @ np.linalg.solve(whole, trend.T - cross @ own_inverse @ own.T), own @ own_inverse @ own.T
+
+
 SMOOTHER, UNIT_VARIANCE, FREEDOM = smoother(80, 12, 0.5)
 check(
     "spline_fixed_penalty",
@@ -1263,3 +1277,22 @@ check(
     "geo",
     "reports",
 )
+
+QUARTERS = 27
+TRENDS = {n: joint_smoother(QUARTERS, n, 10, 6, 0.5, 0.3, 0.8) for n in (4, 5)} | {1: (smoother(QUARTERS, 8, 0.3)[0], np.zeros((QUARTERS, QUARTERS)))}
+check(
+    "panel_fixed_penalty",
+    f"""SELECT * FROM (WITH dense AS (
+        SELECT CASE WHEN fips = 3 THEN 'ALONE' ELSE state END AS state, fips, t, coalesce(y, 0) AS y FROM (SELECT fips, state, t FROM geo, range(1, 28) AS r(t)) LEFT JOIN (
+        SELECT fips, (12 * (year(date) - 1995) + month(date) - 1) // 3 + 1 AS t, CAST(count(*) AS DOUBLE) AS y FROM reports WHERE date < DATE '2001-09-01' GROUP BY 1, 2) USING (fips, t)
+    ), matrix AS ({values([(n, i + 1, j + 1, float(f[i, j]), float(h[i, j])) for n, (f, h) in TRENDS.items() for i in range(QUARTERS) for j in range(QUARTERS)], 'members, i, j, f, h')}
+    ), groups AS (SELECT state, count(DISTINCT fips) AS members FROM dense GROUP BY 1
+    ), sums AS (SELECT state, t, sum(y) AS y FROM dense GROUP BY 1, 2
+    ), trend AS (SELECT state, i, sum(CAST(f AS DOUBLE) * y) AS fit FROM sums JOIN groups USING (state) JOIN matrix m ON m.members = groups.members AND j = t GROUP BY 1, 2
+    ), own AS (
+        SELECT d.state, d.fips, m.i, sum(CAST(h AS DOUBLE) * (d.y - r.fit)) AS fit FROM dense d JOIN trend r ON r.state = d.state AND r.i = d.t
+        JOIN groups g ON g.state = d.state JOIN matrix m ON m.members = g.members AND m.j = d.t GROUP BY 1, 2, 3)
+    SELECT own.state, fips, CAST(own.i AS INTEGER) AS t, {r6('round(own.fit + trend.fit, 5) AS fit')} FROM own JOIN trend ON trend.state = own.state AND trend.i = own.i)""",
+    "geo",
+    "reports",
+)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .joins import attach, natural_join
 from .panel import distinct_values
 
@@ -119,9 +120,9 @@ def _banded_trace(inverse: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def gaussian_fits(gram, right, wyy, n, penalties, ridge):
-    """Coefficients and banded covariances, for each system's penalty with the lowest cross-validation score.
+    """Coefficients, banded covariances and the penalty, for each system's penalty with the lowest cross-validation score.
 
-    ``gram``: series by band by coefficient, ``right``: series by coefficient, ``wyy`` and ``n``: series.
+    Penalties are given in units of a system's mean diagonal and returned as they weigh. ``gram``: series by band by coefficient, ``right``: series by coefficient, ``wyy`` and ``n``: series.
     """
     size = gram.shape[-1]
     scale = gram[:, 0].sum(1) / size
@@ -144,7 +145,7 @@ def gaussian_fits(gram, right, wyy, n, penalties, ridge):
     covariance = np.zeros_like(gram)
     for k in range(min(BAND, size)):
         covariance[:, k, : size - k] = np.diagonal(inverse, -k, -2, -1)
-    return beta[rows, best], covariance
+    return beta[rows, best], covariance, scale * np.asarray(penalties)[best]
 
 
 def binomial_fits(basis, success, n, penalties):
@@ -233,7 +234,7 @@ def _lists(values: np.ndarray) -> pa.Array:
 
 
 def _solved(equations: DataFrame, key: str, size: int, penalties: tuple[float, ...], ridge: float) -> DataFrame:
-    """``key, beta, spread``: coefficients and the bands of their covariance, band after band."""
+    """``key, beta, spread, penalty``: coefficients, the bands of their covariance, band after band, and the chosen penalty."""
     key_type = equations.schema[key].dataType.simpleString()
     at_once = max(1, BATCH_CELLS // (len(penalties) * size * size))
 
@@ -250,10 +251,22 @@ def _solved(equations: DataFrame, key: str, size: int, penalties: tuple[float, .
                         np.add.at(gram, (rows, b - a, sums["cell"] + a), sums[f"g{a}{b}"])
                 np.add.at(wyy, rows, sums["wyy"])
                 np.add.at(n, rows, sums["n"])
-                beta, covariance = gaussian_fits(gram, right, wyy, n, penalties, ridge)
-                yield pa.RecordBatch.from_arrays([batch.column(key), _lists(beta), _lists(covariance.reshape(len(beta), -1))], names=[key, "beta", "spread"])
+                beta, covariance, chosen = gaussian_fits(gram, right, wyy, n, penalties, ridge)
+                columns = [batch.column(key), _lists(beta), _lists(covariance.reshape(len(beta), -1)), pa.array(chosen)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "beta", "spread", "penalty"])
 
-    return equations.select(key, "cells").mapInArrow(run, f"`{key}` {key_type}, beta array<double>, spread array<double>")
+    return equations.select(key, "cells").mapInArrow(run, f"`{key}` {key_type}, beta array<double>, spread array<double>, penalty double")
+
+
+def _evaluated(cell: Column, local: list[Column], beta: str, spread: str, size: int) -> tuple[Column, Column]:
+    """Fit and variance where four basis functions of a curve meet."""
+    fit, variance = F.lit(0.0), F.lit(0.0)
+    for a in range(BAND):
+        fit = fit + local[a] * F.get(beta, cell + a)
+        for b in range(a, BAND):
+            term = local[a] * local[b] * F.get(spread, F.lit((b - a) * size) + cell + a)
+            variance = variance + (term if a == b else 2 * term)
+    return fit, F.greatest(variance, F.lit(0.0))
 
 
 def spline_smooth(
@@ -274,14 +287,8 @@ def spline_smooth(
     steps = solved.withColumn("grid", grid).select(key, "beta", "spread", F.get("grid", F.lit(0)).alias("low"), F.element_at("grid", -1).alias("high"), F.explode("grid").alias("at"))
     cell, local = _local(F.col("at"), F.col("low"), F.col("high"), size)
     steps = steps.select(key, "beta", "spread", "at", cell.alias("cell"), *[b.alias(f"b{a}") for a, b in enumerate(local)])
-    fit, variance = F.lit(0.0), F.lit(0.0)
-    for a in range(BAND):
-        fit = fit + F.col(f"b{a}") * F.get("beta", F.col("cell") + a)
-        for b in range(a, BAND):
-            term = F.col(f"b{a}") * F.col(f"b{b}") * F.get("spread", F.lit((b - a) * size) + F.col("cell") + a)
-            variance = variance + (term if a == b else 2 * term)
-    x_type = df.schema[x].dataType.simpleString()
-    return steps.select(key, F.col("at").cast(x_type).alias(x), fit.alias("fit"), F.sqrt(F.greatest(variance, F.lit(0.0))).alias("se_fit"))
+    fit, variance = _evaluated(F.col("cell"), [F.col(f"b{a}") for a in range(BAND)], "beta", "spread", size)
+    return steps.select(key, F.col("at").cast(df.schema[x].dataType).alias(x), fit.alias("fit"), F.sqrt(variance).alias("se_fit"))
 
 
 def binomial_smooth(
@@ -332,6 +339,64 @@ def smooth_observed(df: DataFrame, key: str, x: str, y: str, **options) -> DataF
     return attach(known, spline_smooth(known, key, x, y, **options), [key, x])
 
 
+def _joint_equations(known: DataFrame, group: str, entity: str, x: str, y: str, weight: str, grid: Column, wide: int, narrow: int) -> DataFrame:
+    """One row per entity: the sums of the trend's basis, of its own one, and of both together, by pair of intervals."""
+    at, low, high = F.col("x"), F.get("grid", F.lit(0)), F.element_at("grid", -1)
+    rows = known.select(group, entity, at_double(x).alias("x"), at_double(y).alias("y"), at_double(weight).alias("w"), grid.alias("grid"))
+    trend_cell, trend = _local(at, low, high, wide)
+    own_cell, own = _local(at, low, high, narrow)
+    rows = rows.select(group, entity, "y", "w", trend_cell.alias("cell"), own_cell.alias("own"), *[b.alias(f"b{a}") for a, b in enumerate(trend)], *[d.alias(f"d{a}") for a, d in enumerate(own)])
+    product = lambda a, b: F.sum(F.col("w") * F.col(a) * F.col(b))
+    pairs = [(a, b) for a in range(BAND) for b in range(a, BAND)]
+    sums = rows.groupBy(group, entity, "cell", "own").agg(
+        *[product(f"b{a}", f"b{b}").alias(f"g{a}{b}") for a, b in pairs],
+        *[product(f"d{a}", f"d{b}").alias(f"h{a}{b}") for a, b in pairs],
+        *[product(f"b{a}", f"d{b}").alias(f"c{a}{b}") for a in range(BAND) for b in range(BAND)],
+        *[product(f"b{a}", "y").alias(f"r{a}") for a in range(BAND)],
+        *[product(f"d{a}", "y").alias(f"s{a}") for a in range(BAND)],
+        product("y", "y").alias("wyy"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return sums.groupBy(group, entity).agg(F.collect_list(F.struct(*[c for c in sums.columns if c not in (group, entity)])).alias("cells"))
+
+
+def at_double(column: str) -> Column:
+    return F.col(column).cast("double")
+
+
+def _own_systems(batch: pa.RecordBatch, wide: int, narrow: int, penalties: tuple[float, ...], ridge: float):
+    """Arrays of a batch of entities, and the factors of their own systems at the penalty that suits what the trend leaves."""
+    rows, sums = _flat(batch.column("cells"))
+    count = batch.num_rows
+    gram, own, cross = np.zeros((count, BAND, wide)), np.zeros((count, BAND, narrow)), np.zeros((count, wide, narrow))
+    right, own_right, wyy, n = np.zeros((count, wide)), np.zeros((count, narrow)), np.zeros(count), np.zeros(count)
+    for a in range(BAND):
+        np.add.at(right, (rows, sums["cell"] + a), sums[f"r{a}"])
+        np.add.at(own_right, (rows, sums["own"] + a), sums[f"s{a}"])
+        for b in range(BAND):
+            np.add.at(cross, (rows, sums["cell"] + a, sums["own"] + b), sums[f"c{a}{b}"])
+            if b >= a:
+                np.add.at(gram, (rows, b - a, sums["cell"] + a), sums[f"g{a}{b}"])
+                np.add.at(own, (rows, b - a, sums["own"] + a), sums[f"h{a}{b}"])
+    np.add.at(wyy, rows, sums["wyy"])
+    np.add.at(n, rows, sums["n"])
+    trend = np.stack(batch.column("beta").to_numpy(zero_copy_only=False))
+    left = own_right - np.einsum("ewk,ew->ek", cross, trend)
+    left_square = wyy - 2 * (trend * right).sum(1) + (trend * banded_product(gram, trend)).sum(1)
+    _, covariance, penalty = gaussian_fits(own, left, left_square, n, penalties, ridge)
+    faint = 1e-11 * np.maximum(own[:, 0].mean(1), 1e-300)
+    system = own + penalty[:, None, None] * bands(roughness(narrow, ridge))
+    system[:, 0] += faint[:, None]
+    return gram, cross, right, own_right, covariance, banded_cholesky(system)
+
+
+def _slices(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    size = max(1, BATCH_CELLS // cells)
+    for batch in batches:
+        for start in range(0, batch.num_rows, size):
+            yield batch.slice(start, size)
+
+
 def panel_smooth(
     panel: DataFrame,
     group: str,
@@ -342,23 +407,93 @@ def panel_smooth(
     group_knots: int = 30,
     entity_knots: int = 15,
     ridge: float = 1.0,
+    alone_knots: int = 20,
+    group_penalty: float | None = None,
+    entity_penalty: float | None = None,
 ) -> DataFrame:
     """Sample-weighted trend of the group plus the entity's shrunken deviation -> group, entity, x, fit, se_fit.
 
+    Both are fitted together: the weighted squares of what is left, the roughness of the trend, and the roughness and size
+    of every deviation have their least sum. Penalties that are not given are those of the trend alone and of each
+    deviation from it. An entity alone in its group has a smooth of ``alone_knots`` of its own and no trend beside it; the
+    number of entities does not matter otherwise. The standard error takes trend and deviation as independent.
+
     Dense: an entity gets a value for every time step of its group, also where it was not observed.
     """
     known = panel.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(weight).isNotNull())
-    trend = spline_smooth(known, group, x, y, group_knots, weight=weight)
-    trend = trend.select(group, x, F.col("fit").alias("__trend"), F.col("se_fit").alias("__trend_se"))
-    with_trend = attach(known, trend, [group, x])
-    apart = with_trend.withColumn("__apart", F.col(y) - F.col("__trend"))
-    own = spline_smooth(apart, entity, x, "__apart", entity_knots, weight=weight, ridge=ridge)
     members = known.select(group, entity).distinct()
+    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("__members"))
+    alone = attach(known, sizes.filter("__members = 1").drop("__members"), [group], "inner")
+    single = spline_smooth(alone, group, x, y, alone_knots, group_penalty, weight)
     steps = known.groupBy(group).agg(F.collect_set(x).alias(x))
-    grid = natural_join(members, steps, [group], "inner").withColumn(x, F.explode(x))
-    grid = natural_join(natural_join(grid, trend, [group, x]), own, [entity, x])
-    return grid.select(
-        group, entity, x,
-        (F.col("__trend") + F.coalesce("fit", F.lit(0.0))).alias("fit"),
-        F.sqrt(F.pow("__trend_se", F.lit(2)) + F.pow(F.coalesce("se_fit", F.lit(0.0)), F.lit(2))).alias("se_fit"),
-    )
+    lonely = attach(members, sizes.filter("__members = 1").drop("__members"), [group], "inner")
+    lonely = natural_join(natural_join(lonely, steps, [group], "inner").withColumn(x, F.explode(x)), single, [group, x])
+
+    wide, narrow = max(group_knots, BAND), max(entity_knots, BAND)
+    grid = distinct_values(known, x).cast("array<double>")
+    many = attach(known, sizes.filter("__members > 1").drop("__members"), [group], "inner")
+    equations = settle(_joint_equations(many, group, entity, x, y, weight, grid, wide, narrow), "panel-equations")
+    cells = equations.select(group, F.inline("cells"))
+    names = [c for c in cells.columns if c[0] in "gr" and c[1:].isdigit()] + ["wyy", "n"]
+    by_group = cells.groupBy(group, "cell").agg(*[F.sum(c).alias(c) for c in names])
+    by_group = by_group.groupBy(group).agg(F.collect_list(F.struct("cell", *names)).alias("cells"))
+    trend = settle(_solved(by_group, group, wide, PENALTIES if group_penalty is None else (group_penalty,), 0.0), "panel-trend")
+    penalties = PENALTIES if entity_penalty is None else (entity_penalty,)
+    group_type = panel.schema[group].dataType.simpleString()
+    entity_type = panel.schema[entity].dataType.simpleString()
+    volume = len(penalties) * narrow * narrow + wide * (wide + narrow)
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What the entities of a batch leave of their group's system once their own curves are solved for."""
+        for batch in _slices(batches, volume):
+            gram, cross, right, own_right, _, lower = _own_systems(batch, wide, narrow, penalties, ridge)
+            solved = banded_solve(lower, np.concatenate([cross.transpose(0, 2, 1), own_right[..., None]], axis=2))
+            matrix = -np.einsum("ewk,ekv->ewv", cross, solved[..., :-1])
+            for k in range(min(BAND, wide)):
+                j = np.arange(wide - k)
+                matrix[:, j + k, j] += gram[:, k, : wide - k]
+                if k:
+                    matrix[:, j, j + k] += gram[:, k, : wide - k]
+            vector = right - np.einsum("ewk,ek->ew", cross, solved[..., -1])
+            flat = np.concatenate([matrix.reshape(len(matrix), -1), vector], axis=1)
+            codes = batch.column(group).dictionary_encode()
+            places = codes.indices.to_numpy(zero_copy_only=False)
+            sums = np.zeros((len(codes.dictionary), flat.shape[1]))
+            np.add.at(sums, places, flat)
+            yield pa.RecordBatch.from_arrays([codes.dictionary, _lists(sums)], names=[group, "sums"])
+
+    def joint_trend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, wide * wide):
+            sums = np.stack([np.asarray(v) for v in batch.column("sums").to_pylist()])
+            matrix, vector = sums[:, :-wide].reshape(-1, wide, wide), sums[:, -wide:]
+            scale = np.maximum(np.einsum("gjj->g", matrix) / wide, 1e-300)
+            matrix = matrix + batch.column("penalty").to_numpy()[:, None, None] * roughness(wide) + 1e-11 * scale[:, None, None] * np.eye(wide)
+            yield pa.RecordBatch.from_arrays([batch.column(group), _lists(np.linalg.solve(matrix, vector[..., None])[..., 0])], names=[group, "joint"])
+
+    def deviations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, volume):
+            _, cross, _, own_right, covariance, lower = _own_systems(batch, wide, narrow, penalties, ridge)
+            joint = np.stack(batch.column("joint").to_numpy(zero_copy_only=False))
+            own = banded_solve(lower, (own_right - np.einsum("ewk,ew->ek", cross, joint))[..., None])[..., 0]
+            columns = [batch.column(group), batch.column(entity), batch.column("joint"), batch.column("spread"), _lists(own), _lists(covariance.reshape(len(own), -1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[group, entity, "joint", "spread", "own", "own_spread"])
+
+    with_trend = natural_join(equations, trend, [group], "inner")
+    parts = with_trend.select(group, "cells", "beta").mapInArrow(reduced, f"`{group}` {group_type}, sums array<double>")
+    sums = parts.select(group, F.posexplode("sums").alias("at", "value")).groupBy(group, "at").agg(F.sum("value").alias("value"))
+    sums = sums.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda v: v["value"]).alias("sums"))
+    joint = natural_join(sums, trend.select(group, "penalty"), [group], "inner").mapInArrow(joint_trend, f"`{group}` {group_type}, joint array<double>")
+    curves = natural_join(with_trend, joint, [group], "inner").select(group, entity, "cells", "beta", "spread", "joint")
+    curves = curves.mapInArrow(deviations, f"`{group}` {group_type}, `{entity}` {entity_type}, joint array<double>, spread array<double>, own array<double>, own_spread array<double>")
+    rows = natural_join(curves, steps, [group], "inner").withColumn("grid", grid).withColumn(x, F.explode(x))
+    low, high = F.get("grid", F.lit(0)), F.element_at("grid", -1)
+    trend_cell, trend_local = _local(at_double(x), low, high, wide)
+    own_cell, own_local = _local(at_double(x), low, high, narrow)
+    rows = rows.select(
+        group, entity, x, "joint", "spread", "own", "own_spread", trend_cell.alias("__cell"), own_cell.alias("__own_cell"),
+        *[b.alias(f"__b{a}") for a, b in enumerate(trend_local)], *[d.alias(f"__d{a}") for a, d in enumerate(own_local)],
+    )
+    fit, variance = _evaluated(F.col("__cell"), [F.col(f"__b{a}") for a in range(BAND)], "joint", "spread", wide)
+    own_fit, own_variance = _evaluated(F.col("__own_cell"), [F.col(f"__d{a}") for a in range(BAND)], "own", "own_spread", narrow)
+    dense = rows.select(group, entity, x, (fit + own_fit).alias("fit"), F.sqrt(variance + own_variance).alias("se_fit"))
+    return dense.unionByName(lonely.select(dense.columns))

@@ -986,6 +986,16 @@ def spline_smooth(v: Views):
     return rounded(smoothing.smooth_observed(indexed.select("fips", "t", "n_contact"), "fips", "t", "n_contact"), 4)
 
 
+@query
+def panel_fixed_penalty(v: Views):
+    """Quarterly reports as trend and deviations under given penalties; place 3 is a group of its own."""
+    quarter = ((F.col("t") - 1) / 3 + 1).cast("int")
+    group = F.when(F.col("fips") == 3, F.lit("ALONE")).otherwise(F.col("state"))
+    rows = _monthly(v).groupBy(group.alias("state"), "fips", quarter.alias("t")).agg(F.sum("y").alias("y")).withColumn("w", F.lit(1.0))
+    fitted = smoothing.panel_smooth(rows, "state", "fips", "t", "y", "w", 10, 6, 0.5, 8, group_penalty=0.3, entity_penalty=0.8)
+    return fitted.select("state", "fips", "t", F.round("fit", 5).alias("fit"))
+
+
 @query
 def panel_smooth(v: Views):
     indexed = panel.time_index(v.weekly_means(), "week", "t")

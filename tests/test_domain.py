@@ -373,6 +373,52 @@ def test_panel_smooth_is_dense(table):
     assert worst < 0.15
 
 
+def dense_panel(rows, group_knots, entity_knots, ridge, group_penalty, entity_penalty):
+    """The joint problem of one group as a dense matrix: fits by (entity, step), and the least sum."""
+    entities, t = sorted({r[1] for r in rows}), np.array([r[2] for r in rows], float)
+    y, w = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
+    steps = np.array(sorted({r[2] for r in rows}), float)
+    trend = lambda at: smoothing.spline_basis(at, steps.min(), steps.max(), group_knots)
+    own = lambda at: smoothing.spline_basis(at, steps.min(), steps.max(), entity_knots)
+    size = group_knots + len(entities) * entity_knots
+    design, penalty = np.zeros((len(rows), size)), np.zeros((size, size))
+    design[:, :group_knots] = trend(t)
+    gram = trend(t).T @ (w[:, None] * trend(t))
+    penalty[:group_knots, :group_knots] = group_penalty * np.trace(gram) / group_knots * smoothing.roughness(group_knots)
+    for e, name in enumerate(entities):
+        mine, at = np.array([r[1] == name for r in rows]), slice(group_knots + e * entity_knots, group_knots + (e + 1) * entity_knots)
+        design[mine, at] = own(t[mine])
+        gram = own(t[mine]).T @ (w[mine, None] * own(t[mine]))
+        penalty[at, at] = entity_penalty * np.trace(gram) / entity_knots * smoothing.roughness(entity_knots, ridge)
+    beta = np.linalg.solve(design.T @ (w[:, None] * design) + penalty, design.T @ (w * y))
+    least = float((w * (y - design @ beta) ** 2).sum() + beta @ penalty @ beta)
+    fits = {(name, int(step)): float(trend(np.array([step]))[0] @ beta[:group_knots] + own(np.array([step]))[0] @ beta[group_knots + e * entity_knots :][:entity_knots]) for e, name in enumerate(entities) for step in steps}
+    return fits, least
+
+
+@pytest.mark.parametrize("counts", [{"A": 1, "B": 3, "C": 12}])
+def test_panel_smooth_solves_trend_and_deviations_together(table, monkeypatch, counts):
+    """One entity alone, up to ten, and more than ten; entities with gaps; batches of one row."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, n in counts.items():
+        for k in range(n):
+            rows += [(g, f"{g}{k}", t, float(3 + np.sin(t / 5) + 0.3 * k + 0.2 * rng.normal()), float(rng.integers(1, 30))) for t in range(1, 31) if (t + k) % 7 or t in (1, 30)]
+    df = table(rows, "state string, fips string, t int, y double, w double")
+    given = {"group_knots": 9, "entity_knots": 6, "ridge": 0.5, "group_penalty": 0.3, "entity_penalty": 0.8}
+    found = smoothing.panel_smooth(df, "state", "fips", "t", "y", "w", alone_knots=8, **given)
+    monkeypatch.setattr(smoothing, "BATCH_CELLS", 1)
+    sliced = smoothing.panel_smooth(df, "state", "fips", "t", "y", "w", alone_knots=8, **given)
+    got = {(r.state, r.fips, r.t): r.fit for r in found.collect()}
+    assert np.allclose([got[key] for key in sorted(got)], [r.fit for r in sliced.orderBy("state", "fips", "t").collect()])
+    for g in ("B", "C"):
+        fits, _ = dense_panel([r for r in rows if r[0] == g], 9, 6, 0.5, 0.3, 0.8)
+        mine = {(f, t): fit for (s, f, t), fit in got.items() if s == g}
+        assert mine.keys() == fits.keys() and np.allclose([mine[key] for key in fits], list(fits.values()), atol=1e-7)
+    alone = smoothing.spline_smooth(df.filter("state = 'A'"), "fips", "t", "y", 8, 0.3, "w")
+    assert np.allclose([got["A", "A0", r.t] for r in alone.collect()], [r.fit for r in alone.collect()])
+
+
 def test_serosurvey(table):
     names = list(serology.SURVEY_COLUMNS)
     data = [("S", "Jul 1 - Jul 14, 2020", 10.0, 5.0, 6.0, 4.0, 50, 900), ("S", "Aug 1 - Aug 14, 2020", 666.0, 5.0, 6.0, 4.0, 50, None)]

@@ -13,10 +13,10 @@ FOLDER = "/root/testdata/sf0.001"
 # The rest differs only in the operators put on top; ALL_QUERIES=1 runs everything.
 QUICK = [
     "allowed_origins", "bias_ratios", "cases_at_both_ends", "clean_edges", "coupling_by_week", "coverage_lagged",
-    "date_functions", "dense_within_states", "draw_summaries", "full_join_null_keys", "granger_tests", "headerless_scan",
-    "immunity_share", "immunity_two_sources", "import_risk", "incidence_per_capita", "neighbor_impute", "neighbor_pool", "parquet_week_range",
+    "asof_partitions", "date_functions", "dense_within_states", "directory_union", "draw_summaries", "full_join_null_keys", "granger_tests", "headerless_scan",
+    "immunity_share", "immunity_two_sources", "import_risk", "incidence_per_capita", "neighbor_impute", "neighbor_pool", "panel_fixed_penalty", "parquet_week_range",
     "poststratify", "prevalence_sources", "renewal_rt", "residuals_scaled", "serosurvey_few_rounds", "spline_fixed_penalty", "strict_and_skip", "text_functions", "transmissibility", "utf16_regions",
-    "vaccination_coverage", "vaccine_effectiveness", "weekly_incidence",
+    "upserted_versions", "vaccination_coverage", "vaccine_effectiveness", "weekly_incidence",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the sample tables")
