@@ -1140,6 +1140,15 @@ view(
 )
 check("import_risk", risk("r_full", 2), "r_full", "incidence")
 
+view("risk_of_chain", risk("r_full", 2).replace("round(own + imported / cases_j + 3.71e-10, 8)", "own + imported / cases_j"), "r_full", "incidence")
+check(
+    "chain_bias",
+    f"""SELECT fips, {r6('round(ri, 6) AS "R_risk"', 'round(rt, 6) AS "Rt"', 'round(rt / nullif(ri, 0), 6) AS bg')} FROM (
+    SELECT fips, avg("Ri") AS ri, avg("Rt") AS rt FROM (SELECT j AS fips, week, "Ri" FROM risk_of_chain) FULL JOIN rt USING (fips, week) WHERE cases > 1 GROUP BY 1)""",
+    "risk_of_chain",
+    "rt",
+)
+
 # Diagnostics
 
 check(

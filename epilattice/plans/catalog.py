@@ -853,6 +853,12 @@ def import_risk(v: Views):
     return flagship.risk_chain(v)
 
 
+@query
+def chain_bias(v: Views):
+    """All chains with their stages written and read back: mean Rt over the mean of the modelled risk."""
+    return flagship.run_chains(v)["bg"].select("fips", *[F.round(c, 6).alias(c) for c in ("R_risk", "Rt", "bg")])
+
+
 @query
 def import_risk_of_shares(v: Views):
     return reproduction.import_risk(_r_ij(v), incidence.weekly_incidence(v.cases_daily()), 0)
