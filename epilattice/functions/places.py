@@ -18,9 +18,6 @@ MERGED = {2282: 2998, 2105: 2998, 2060: 2997, 2164: 2997}
 # State of units that a county list does not name.
 UNIT_STATE = {2158: "AK", 2998: "AK", 2997: "AK", 46102: "SD"}
 
-# Population of the merged units.
-UNIT_POPULATION = {2998: 579 + 2148, 2997: 836 + 1592}
-
 # Territories that are left out.
 TERRITORIES = [
     60010, 69100, 69110, 69120, 72001, 72007, 72009, 72011, 72013,

@@ -33,10 +33,6 @@ EFFECTIVENESS = {
     "partial": {"alpha": 1.0, "delta": 0.33, "other": 1.0, "omicron": 0.0},
     "complete": {"alpha": 1.0, "delta": 1.0, "other": 0.9, "omicron": 0.01},
 }
-EARLIER_EFFECTIVENESS = {
-    "partial": {"alpha": 0.5, "delta": 0.33, "other": 0.6},
-    "complete": {"alpha": 0.9, "delta": 0.9, "other": 0.9},
-}
 
 # State names that stand for no state.
 NOT_A_STATE = ["", "nan", "Southwest"]
