@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio
+from ..session import settle
 from .joins import attach, natural_join, with_group_stats
 
 
@@ -24,8 +25,10 @@ def complete(
 ) -> DataFrame:
     """Dense panel: every entity gets a row for every value of a bounded axis that occurs.
 
-    With ``within`` the axis values are those of the entity's own group.
+    The table is stored first, so what it comes from is read once for its rows, its entities and its axis. With ``within``
+    the axis values are those of the entity's own group.
     """
+    df = settle(df, "panel")
     if within:
         axes = df.groupBy(*within).agg(F.collect_set(axis).alias(axis))
         entities = df.select(*dict.fromkeys([*within, *entity])).distinct()
@@ -35,11 +38,20 @@ def complete(
     return natural_join(grid.withColumn(axis, F.explode(axis)), df, [*entity, axis])
 
 
+def calendar_of(df: DataFrame, column: str, name: str = "t") -> DataFrame:
+    """The values of a bounded axis in order -> column, name (1, 2, ...)."""
+    values = df.agg(F.array_sort(F.collect_set(column)).alias(column))
+    return values.select(F.posexplode(column).alias(name, column)).select(column, (F.col(name) + 1).cast("int").alias(name))
+
+
 def time_index(df: DataFrame, column: str, name: str = "t", calendar: DataFrame | None = None) -> DataFrame:
-    """1-based rank of a date among the distinct dates, without a window over the whole table."""
-    dates = distinct_values(df if calendar is None else calendar, column)
-    position = F.array_position(dates, F.col(column)).cast("int")
-    return df.withColumn(name, position)
+    """Number the values of a bounded axis 1, 2, ... in order; a missing value has no number.
+
+    The numbers are those of ``calendar``'s values, or of the table's own, which is then stored and read twice.
+    """
+    if calendar is None:
+        df = calendar = settle(df, "indexed")
+    return natural_join(df, calendar_of(calendar, column, name), [column]).select(*df.columns, name)
 
 
 def _ordered(by: list[str], order: list[str]):

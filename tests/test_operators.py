@@ -133,3 +133,19 @@ def test_partitions_prune(spark, table, day):
 def test_settled_table_keeps_its_rows(table):
     df = table([(1, 2.0), (None, None)], "k int, x double")
     assert rows(settle(df, "t")) == rows(df)
+
+
+def test_a_dense_panel_reads_its_source_once(spark, tmp_path, day):
+    """Rows, places and calendar come from the stored panel; the plan no longer names the reports."""
+    from epilattice.operators.incidence import weekly_incidence
+    from epilattice.operators.panel import time_index
+
+    path = str(tmp_path / "cases")
+    spark.createDataFrame([(day("2021-01-03"), 1, 5), (day("2021-01-12"), 1, 9), (day("2021-01-12"), 2, 4), (day("2021-01-13"), 2, 6)], "date date, fips int, cases long").write.parquet(path)
+    weekly = weekly_incidence(spark.read.parquet(path))
+    assert weekly.inputFiles() and not any(path in f for f in weekly.inputFiles())
+    assert sorted(tuple(r) for r in weekly.select("fips", "week", "cases").collect()) == [
+        (1, day("2021-01-03"), 0), (1, day("2021-01-10"), 4), (2, day("2021-01-03"), 0), (2, day("2021-01-10"), 2)
+    ]
+    raw = spark.createDataFrame([("b", 7), ("a", 3), ("b", 3), ("c", None)], "k string, x int")
+    assert sorted((r.k, r.x or 0, r.t or 0) for r in time_index(raw, "x").collect()) == [("a", 3, 1), ("b", 3, 1), ("b", 7, 2), ("c", 0, 0)]
