@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -15,24 +15,28 @@ def if_else(condition: Column, yes: Column, no: Column) -> Column:
     return F.when(condition.isNull(), F.lit(None)).when(condition, yes).otherwise(no)
 
 
-def _complete_group(*inputs: Column) -> Column:
+def _over(x: Column, window: WindowSpec | None) -> Column:
+    return x if window is None else x.over(window)
+
+
+def _complete_group(*inputs: Column, over: WindowSpec | None = None) -> Column:
     missing = inputs[0].isNull()
     for x in inputs[1:]:
         missing = missing | x.isNull()
-    return F.count_if(missing) == 0
+    return _over(F.count_if(missing), over) == 0
 
 
-def strict_sum(x: Column) -> Column:
-    """NULL as soon as the group holds one NULL."""
-    return F.when(_complete_group(x), F.sum(x))
+def strict_sum(x: Column, over: WindowSpec | None = None) -> Column:
+    """NULL as soon as the group, or the window's partition, holds one NULL."""
+    return F.when(_complete_group(x, over=over), _over(F.sum(x), over))
 
 
-def strict_mean(x: Column) -> Column:
-    return F.when(_complete_group(x), F.avg(x))
+def strict_mean(x: Column, over: WindowSpec | None = None) -> Column:
+    return F.when(_complete_group(x, over=over), _over(F.avg(x), over))
 
 
-def strict_sd(x: Column) -> Column:
-    return F.when(_complete_group(x), F.stddev_samp(x))
+def strict_sd(x: Column, over: WindowSpec | None = None) -> Column:
+    return F.when(_complete_group(x, over=over), _over(F.stddev_samp(x), over))
 
 
 def skip_sum(x: Column, zero=0) -> Column:

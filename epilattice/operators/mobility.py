@@ -5,14 +5,14 @@ Columns: origin_county_fips, destination_county_fips, date or week, and a measur
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import places
 from ..functions.dates import month_of, week_of, weeks_between
 from ..functions.nulls import if_else, in_set, ratio, strict_mean, strict_sd, strict_sum
 from ..functions.stats import share_over, standardised
-from .joins import attach, keep_members, natural_join, with_group_stats, with_scalars
+from .joins import attach, natural_join, with_group_stats, with_scalars
 from .panel import keep_large_groups, rolling_mean
 
 ORIGIN = "origin_county_fips"
@@ -23,11 +23,11 @@ PAIR = [ORIGIN, DEST]
 def allow_list(edges: DataFrame, geo: DataFrame, drop=places.CITY_CODES, always=(2158, 46102)) -> DataFrame:
     """Origins that the county list names, without the listed city codes -> fips.
 
-    The county list is the left side, so Spark knows how small the result is and can broadcast it
-    without a hint.
+    The county list is the left side and the added codes are literals, so Spark knows how small the result is and can
+    broadcast it without a hint.
     """
     named = geo.filter(F.col("name").isNotNull()).select("fips")
-    extra = edges.sparkSession.createDataFrame([(c,) for c in always], "fips int")
+    extra = edges.sparkSession.range(1).select(F.explode(F.array(*[F.lit(c) for c in always])).alias("fips"))
     candidates = named.unionByName(extra).distinct().filter(~in_set(F.col("fips"), drop))
     seen = edges.select(F.col(ORIGIN).alias("fips")).distinct()
     return natural_join(candidates, seen, ["fips"], "semi")
@@ -50,6 +50,11 @@ def clean_edges(
     to that bound. A pair without spread has no z-score: under 'strict' its value is missing and so
     is the origin's weekly total, which drops the whole origin-week; 'skip' keeps the share as is.
     Rows stay daily; equal rows of a week collapse when ``dedupe`` is set.
+
+    Edge rows are dealt twice: by pair, where a window holds the days of one pair, and by origin and week, where it holds
+    the destinations of seven days. A heavy origin is thus spread over its pairs, then over its weeks; no statistic
+    returns by a join, and equal rows already lie together. ``allowed`` is a list of places, which Spark broadcasts as
+    long as its size allows.
     """
     if null_policy not in ("strict", "skip"):
         raise ValueError("null_policy is 'strict' or 'skip'")
@@ -59,28 +64,28 @@ def clean_edges(
         rows = rows.filter(F.col("week") > F.lit(after).cast("date"))
     if allowed is not None:
         for endpoint in PAIR:
-            rows = keep_members(rows, endpoint, allowed)
-    rows = rows.select(
+            rows = natural_join(rows, allowed.toDF(endpoint), [endpoint], "semi")
+    of_pair = Window.partitionBy(*PAIR)
+    scored = rows.select(
         *PAIR,
         "week",
         F.col("origin_total_num_visits").alias("total"),
         ratio(F.col("num_visits"), F.col("origin_total_num_visits")).alias("p"),
+    ).select(
+        "*",
+        F.count(F.lit(1)).over(of_pair).alias("n"),
+        strict_mean(F.col("p"), of_pair).alias("mean"),
+        strict_sd(F.col("p"), of_pair).alias("sd"),
     )
-    pairs = (
-        rows.groupBy(*PAIR)
-        .agg(F.count(F.lit(1)).alias("n"), strict_mean(F.col("p")).alias("mean"), strict_sd(F.col("p")).alias("sd"))
-        .filter(F.col("n") > min_obs)
-        .drop("n")
-    )
-    scored = attach(rows, pairs, PAIR, "inner")
+    scored = scored.filter(F.col("n") > min_obs)
     z = standardised(F.col("p"), F.col("mean"), F.col("sd"))
     low, high = F.col("mean") - z_cap * F.col("sd"), F.col("mean") + z_cap * F.col("sd")
     bounded = if_else(z > z_cap, high, if_else(z < -z_cap, low, F.col("p")))
     if null_policy == "skip":
         bounded = F.coalesce(bounded, F.col("p"))
     valued = scored.select(*PAIR, "week", (bounded * F.col("total")).alias("value"))
-    shared = with_group_stats(valued, [ORIGIN, "week"], total=strict_sum(F.col("value")))
-    cleaned = shared.select(*PAIR, "week", ratio(F.col("value"), F.col("total")).alias("prop_population"))
+    total = strict_sum(F.col("value"), Window.partitionBy(ORIGIN, "week"))
+    cleaned = valued.select(*PAIR, "week", ratio(F.col("value"), total).alias("prop_population"))
     cleaned = cleaned.filter(F.col("prop_population") > min_prop)
     return cleaned.distinct() if dedupe else cleaned
 

@@ -1,6 +1,7 @@
 """Domain operators on hand-made rows, one per special case."""
 
 import datetime
+import re
 
 import numpy as np
 import pytest
@@ -79,6 +80,22 @@ def test_clean_edges_filters(table):
     assert mobility.clean_edges(table(data, EDGE), allowed, min_obs=2).select("destination_county_fips").distinct().collect()[0][0] == 2
 
 
+def test_clean_edges_deals_rows_twice(table):
+    """By pair and by origin and week; neither the statistics nor the removal of repeats deals rows again."""
+    df = table(daily_edges((1, 2), [20, 30, 40, 50]), EDGE)
+    assert len(re.findall(r"Exchange hashpartitioning", mobility.clean_edges(df)._jdf.queryExecution().executedPlan().toString())) == 2
+
+
+def test_clean_edges_repeats(table):
+    """Equal rows of a week count in the statistics and collapse at the end only."""
+    data = daily_edges((1, 2), [20, 30, 40, 50]) * 2 + daily_edges((1, 3), [10.5, 12, 14, 18])
+    kept = mobility.clean_edges(table(data, EDGE), dedupe=False)
+    assert kept.count() == 12 and mobility.clean_edges(table(data, EDGE)).count() == 8
+    sums = kept.groupBy("week").agg(F.sum("prop_population").alias("s")).collect()
+    assert all(abs(r.s - 1) < 1e-12 for r in sums)
+    assert mobility.clean_edges(table([], EDGE)).count() == 0
+
+
 def test_winsorised(table):
     visits = [20.0 + k % 3 for k in range(30)] + [95.0]
     p = np.array(visits) / 100
