@@ -19,9 +19,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epilattice.llm.rows import as_texts, chunks, pick, unwrap, wrap
+from epilattice.session import settle
 
 #: Labelled rows per language that the machines are fitted on, and the dimensions of the hashed n-grams.
 ROWS_PER_LANGUAGE, BITS = 300, 13
+#: How many times as many ids as are wanted pass the cut on their hashes.
+CUT = 4
 ORDERS = (1, 2, 3)
 #: Signs of a text that are turned into n-grams at once; pieces overlap, so no n-gram is lost between them.
 PIECE = 1 << 18
@@ -65,22 +68,44 @@ def profile(text: str, bits: int = BITS) -> np.ndarray | None:
     return np.sqrt(counts / counts.sum()).astype(np.float32)
 
 
+class Profiles:
+    """Rows of ``profile`` as places and values that are not zero; made dense only for the pair that is being fitted."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        self.rows, self.width = rows, width
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, wanted: np.ndarray) -> Profiles:
+        return Profiles([self.rows[i] for i in np.flatnonzero(wanted)], self.width)
+
+    def dense(self) -> np.ndarray:
+        x = np.zeros((len(self.rows), self.width), dtype=np.float32)
+        for i, (at, values) in enumerate(self.rows):
+            x[i, at] = values
+        return x
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 50.0, steps: int = 200) -> tuple[np.ndarray, float]:
     """Weights and offset of a linear machine with squared hinge loss; ``y`` is 1 or -1, both sides count the same.
 
-    Accelerated gradient steps on the whole sample, with the step size from the largest curvature.
+    Accelerated gradient steps on the whole sample, with the step size from the largest curvature. Single precision, and
+    the offset is kept apart, so ``x`` is not copied.
     """
-    z = np.column_stack([x, np.ones(len(x), dtype=np.float32)])  # single precision throughout: one copy on the driver
     y = y.astype(np.float32)
     weight = (np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * c).astype(np.float32)
-    curvature = np.float32(1.0 + 2.0 * float(weight.sum()) * float(np.einsum("ij,ij->i", z, z).max()))
-    w = v = np.zeros(z.shape[1], dtype=np.float32)
+    curvature = np.float32(1.0 + 2.0 * float(weight.sum()) * (1.0 + float(np.einsum("ij,ij->i", x, x).max())))
+    w = v = np.zeros(x.shape[1], dtype=np.float32)
+    b = u = np.float32(0)
     for k in range(steps):
-        slack = np.maximum(np.float32(0), np.float32(1) - y * (z @ v))
-        gradient = v - np.float32(2) * ((weight * y * slack) @ z)
-        after = v - gradient / curvature
-        w, v = after, after + np.float32(k / (k + 3.0)) * (after - w)
-    return w[:-1].astype(np.float32), float(w[-1])
+        pull = weight * y * np.maximum(np.float32(0), np.float32(1) - y * (x @ v + u))
+        w_after = v - (v - np.float32(2) * (pull @ x)) / curvature
+        b_after = u - (u - np.float32(2) * pull.sum()) / curvature
+        on = np.float32(k / (k + 3.0))
+        w, v = w_after, w_after + on * (w_after - w)
+        b, u = b_after, b_after + on * (b_after - b)
+    return w, float(b)
 
 
 @dataclass(frozen=True)
@@ -92,13 +117,13 @@ class Machines:
     offsets: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, names: np.ndarray) -> Machines:
+    def fit(cls, x: Profiles, names: np.ndarray) -> Machines:
         members = tuple(sorted(set(names)))
         fitted = []
         for a, b in combinations(members, 2):
             own = (names == a) | (names == b)
-            fitted.append(fit_svm(x[own], np.where(names[own] == a, 1.0, -1.0)))
-        weights = np.stack([w for w, _ in fitted]) if fitted else np.zeros((0, x.shape[1]), np.float32)
+            fitted.append(fit_svm(x[own].dense(), np.where(names[own] == a, 1.0, -1.0)))
+        weights = np.stack([w for w, _ in fitted]) if fitted else np.zeros((0, x.width), np.float32)
         return cls(members, weights, np.array([b for _, b in fitted]))
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
@@ -123,7 +148,7 @@ class LanguageModel:
     bits: int = BITS
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: np.ndarray, bits: int = BITS) -> LanguageModel:
+    def fit(cls, x: Profiles, langs: np.ndarray, bits: int = BITS) -> LanguageModel:
         if not len(x):
             return cls(bits=bits)
         family = np.array([FAMILY_OF.get(lang, f"only {lang}") for lang in langs])
@@ -145,17 +170,25 @@ def held_out() -> Column:
 
 
 def learning_rows(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """``lang, text``: at most so many labelled rows of each language, those whose ids have the smallest hashes.
+    """``lang, text``: at most so many labelled rows of each language, by the smallest hashes of id, then of text.
 
-    The choice looks at ids and labels only, and each task passes on no more rows than are wanted. The chosen ids, so many
-    for each language at most, go to the texts, which are not shuffled.
+    Rows are counted first. A cut on the hash then leaves about four times as many ids as are wanted, so what is ranked
+    does not grow with the table; the least hash of a language stays in any case. The choice looks at ids and labels only; the
+    chosen ids, stored, are joined to the texts, and rows that share an id are ranked again, so their number is bounded too.
     """
     rows = pick(docs, doc_id="doc_id", lang="lang", text="text")
     open_rows = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out()
+    h = F.xxhash64("doc_id")
+    ids = rows.filter(open_rows).select("doc_id", "lang", h.alias("h"))
+    counts = settle(ids.groupBy("lang").agg(F.count("*").alias("n"), F.min("h").alias("least")), "language-counts")
+    share = F.least(F.lit(1.0), F.lit(float(CUT * rows_per_language)) / F.col("n"))
+    low = F.col("h").cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
+    close = ids.join(counts, "lang").filter(low | (F.col("h") == F.col("least"))).select("doc_id", "lang", "h").distinct()
     order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    ids = rows.filter(open_rows).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("k", F.row_number().over(order))
-    chosen = ids.filter(F.col("k") <= rows_per_language).select("doc_id", "lang").distinct()
-    return rows.filter("text IS NOT NULL").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    chosen = settle(close.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows_per_language).drop("k"), "language-ids")
+    again = Window.partitionBy("lang").orderBy("h", "doc_id", F.xxhash64("text"), "text")
+    found = rows.filter("text IS NOT NULL").join(chosen, ["doc_id", "lang"]).withColumn("k", F.row_number().over(again))
+    return found.filter(F.col("k") <= rows_per_language).select("lang", "text")
 
 
 def fit_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, bits: int = BITS) -> LanguageModel:
@@ -176,10 +209,8 @@ def fit_languages(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, b
 
     found = learning_rows(docs, rows_per_language).mapInArrow(profiles, "lang string, at binary, x binary").toPandas()
     found = found.sort_values(["lang", "at", "x"], ignore_index=True)
-    x = np.zeros((len(found), 1 << bits), dtype=np.float32)
-    for i, (at, values) in enumerate(zip(found["at"], found["x"], strict=True)):
-        x[i, np.frombuffer(at, "<u4")] = np.frombuffer(values, "<f4")
-    return LanguageModel.fit(x, found["lang"].to_numpy(dtype=object), bits)
+    rows = [(np.frombuffer(at, "<u4"), np.frombuffer(values, "<f4")) for at, values in zip(found["at"], found["x"], strict=True)]
+    return LanguageModel.fit(Profiles(rows, 1 << bits), found["lang"].to_numpy(dtype=object), bits)
 
 
 def with_language(rows: DataFrame, model: LanguageModel) -> DataFrame:

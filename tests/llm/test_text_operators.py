@@ -97,6 +97,26 @@ def test_languages_of_awkward_rows(awkward, nothing):
     assert language.LanguageModel().predict("abc") == ("und", 0.0)
 
 
+def test_learning_rows_are_bounded(spark):
+    """The smallest hashes of each language, also where one id holds most rows; equal to a plain sort."""
+    rows = [(i, "en", f"text {i}") for i in range(3000)] + [(5000, "fr", f"mot {i}") for i in range(400)] + [(i, "de", None) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = [tuple(r) for r in language.learning_rows(docs, 20).collect()]
+    plain = docs.filter("lang = 'en'").filter(~language.held_out()).selectExpr("text", "xxhash64(doc_id) AS h").orderBy("h").limit(20).collect()
+    assert {t for lang, t in got if lang == "en"} == {r.text for r in plain}
+    assert sum(lang == "fr" for lang, _ in got) == 20 and not any(lang == "de" for lang, _ in got)
+
+
+def test_machines_of_sparse_profiles():
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 40)).astype(np.float32) * (rng.random((60, 40)) < 0.3)
+    y = np.where(x[:, :20].sum(1) > x[:, 20:].sum(1), 1.0, -1.0)
+    sparse = language.Profiles([(np.flatnonzero(r), r[np.flatnonzero(r)]) for r in x], 40)
+    assert np.array_equal(sparse[y > 0].dense(), x[y > 0])
+    w, b = language.fit_svm(sparse.dense(), y, steps=400)
+    assert np.mean(np.sign(x @ w + b) == y) > 0.95
+
+
 def brute_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
