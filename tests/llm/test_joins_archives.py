@@ -244,3 +244,43 @@ def test_stages_keep_the_columns(spark, awkward, small):
         assert docs.columns == awkward.columns and docs.count() > 0
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, awkward.limit(0), small).count() == 0
+
+
+def test_a_pair_comes_from_its_first_common_list(spark, monkeypatch):
+    """Four sets of one size under the same five shingles: 12 rows of lists a pivot could join, one row for each pair."""
+    rows = [(token, 0, bytes([sig]), 100, token, bytes([sig]), None, None) for token in range(5) for sig in range(4)]
+    lists = spark.createDataFrame(rows, "token long, block int, sig binary, n long, pos int, label binary, ref binary, far double")
+    monkeypatch.setattr(type(lists), "distinct", lambda df: df)  # rows as the join makes them
+    pairs = shingle_join.candidates(shingle_join.with_earlier(lists), 64, 1, 90)[0]
+    got = sorted((bytes(r.a), bytes(r.b)) for r in pairs.collect())
+    want = sorted({(bytes([x]), bytes([y])) for x in range(4) for y in range(x + 1, 4)})
+    assert sorted(set(got)) == want and len(got) <= 2 * len(want)  # a pair of two pivots comes from each of them
+
+
+def test_few_sets_are_stored_again(spark, monkeypatch):
+    """The index is not stored before its filter, bit maps of listed sets only; a component of two sets has known links."""
+    rng, stored, made = random.Random(3), {}, []
+    rows = [(k, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(120))) for k in range(40)]
+    rows += [(100 + k, f"{rows[k][1]} end") for k in range(3)] + [(200, rows[0][1])]
+    settle, needed = shingle_join.settle, shingle_join.needed_sets
+
+    def settled(df, name):
+        table = settle(df, name)
+        stored.setdefault(name, []).append(table.count())
+        return table
+
+    def sets(docs, wanted, size):
+        made.append(wanted.count())
+        return needed(docs, wanted, size)
+
+    monkeypatch.setattr(shingle_join, "settle", settled)
+    monkeypatch.setattr(shingle_join, "needed_sets", sets)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in shingle_join.shingle_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "shingle-index" not in stored and stored["shingle-nodes"][0] == 6 and made == [6]
+    assert [got[k] for k in (0, 1, 2, 3, 100, 101, 200)] == [(0, 2), (1, 1), (2, 1), (3, 0), (0, 2), (1, 1), (0, 2)]
+
+
+@pytest.mark.parametrize("top", [1, 255, 256, 70_000])
+def test_cells_are_packed_without_loss(top):
+    cells = np.arange(0, top + 1, max(1, top // 50), dtype="<u4")
+    assert (shingle_join.unpacked_cells(shingle_join.packed_cells(cells)) == cells).all()
