@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epilattice.llm.rows import as_texts, chunks, pick, unwrap, wrap
@@ -254,15 +254,21 @@ def word_numbers(block: list[Passage]) -> dict[str, int]:
 
 def latent_space(texts: DataFrame, block: list[Passage], numbers: dict[str, int]) -> Space:
     """Weights from all documents (``ids`` of their words), and the randomised SVD of the block's rows."""
-    spark = texts.sparkSession
     seen, n_docs = document_frequency(texts.select("ids"), len(numbers), id_type(numbers))
     ids = [sorted({numbers[w] for w in p.words}) for p in block]
     weight = word_weights(seen, n_docs, ids)
-    rows = spark.createDataFrame([(i, [float(weight[k]) for k in i]) for i in ids], "ids array<int>, values array<double>")
+    rows = passage_rows(texts.sparkSession, ids, weight)
     vectors, _ = randomised_svd(rows.repartition(max(1, len(block) // 128)), len(numbers), RANK)
     return placed_in(block, numbers, ids, weight, vectors)
 
 
+def passage_rows(spark: SparkSession, ids: list[list[int]], weight: np.ndarray) -> DataFrame:
+    """``ids, values`` of each passage's words. As an Arrow table: rows of a Python list would be read by Python workers
+    of a second kind, which then stay beside those of the other stages."""
+    columns = [pa.array(ids, pa.list_(pa.int32())), pa.array([weight[i] for i in ids], pa.list_(pa.float64()))]
+    return spark.createDataFrame(pa.table(columns, names=["ids", "values"]))
+
+
 def word_weights(seen: np.ndarray, n_docs: int, ids: list[list[int]]) -> np.ndarray:
     """How rare each word is, less a quarter of the largest such weight.
 

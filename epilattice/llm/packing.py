@@ -7,15 +7,13 @@ rows are packed once each (``copy`` tells equal doc_ids apart); an empty table g
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epilattice.llm.rows import chunks, hashed
+from epilattice.llm.rows import hashed
 from epilattice.llm.tokens import id_kind, token_ids
 from epilattice.session import settle
 
@@ -72,22 +70,24 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, i
 
 
 def cut(tokens: DataFrame, kind: str, capacity: int) -> DataFrame:
-    """``doc_id, copy, piece, start, length, ids``: only documents over the capacity are cut."""
+    """``doc_id, copy, piece, start, length, ids``: only documents over the capacity are cut.
+
+    Built-in functions only: a second Python node beside the encoding would take every task a second worker, which
+    then stays with a tokenizer and a store of words of its own.
+    """
     size = int(kind[2])
-    width = size * capacity
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            rows = [
-                (doc_id, copy, at // width, at // size, len(ids[at : at + width]) // size, ids[at : at + width])
-                for doc_id, copy, ids in zip(*(c.to_pylist() for c in part.columns), strict=True)
-                for at in range(0, len(ids), width)
-            ]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "copy", "piece", "start", "length", "ids"])
-
-    return tokens.select("doc_id", "copy", "ids").mapInArrow(pieces, "doc_id long, copy long, piece int, start long, length long, ids binary")
+    width, n = size * capacity, F.length("ids")
+
+    def piece(k):
+        start = k * capacity
+        return F.struct(
+            k.cast("int").alias("piece"),
+            start.alias("start"),
+            F.least(F.lit(capacity), F.floor(n / size) - start).cast("long").alias("length"),
+            F.substring("ids", (k * width + 1).cast("int"), F.lit(width)).alias("ids"),
+        )
+
+    return tokens.filter(n > 0).select("doc_id", "copy", F.inline(F.transform(F.sequence(F.lit(0).cast("long"), F.ceil(n / width) - 1), piece)))
 
 
 PLACED = "doc_id long, copy long, piece int, length long, part int, bin long, settled boolean, gap long"

@@ -188,6 +188,13 @@ def test_no_passage_is_lost_beyond_the_rank(spark):
     assert {(i, i) for i, _ in items} <= {(r.doc_id, r.item_id) for r in found.select("doc_id", "item_id").collect()}
 
 
+def test_passage_rows_need_no_python_worker(spark):
+    rows = decontaminate.passage_rows(spark, [[0, 2], [1]], np.array([0.5, 1.0, 2.0]))
+    assert rows.dtypes == [("ids", "array<int>"), ("values", "array<double>")]
+    assert "LocalRelation" in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.ids, r["values"]) for r in rows.collect()] == [([0, 2], [0.5, 2.0]), ([1], [1.0])]
+
+
 def test_common_subsequence_equals_the_table():
     rng = random.Random(3)
     for _ in range(200):

@@ -165,6 +165,24 @@ def test_packing_of_awkward_rows(awkward, plain):
     check_packing(rows, expected_ids([(i, t) for i, t, _ in DOCS], plain, 0))
 
 
+def test_encoding_and_cutting_take_one_python_worker(awkward):
+    """Two workers for each task kept twice the memory in an executor, on to the stages of the pipeline after them."""
+    kind = tokens.id_kind(PATH, 0)
+    pieces = packing.cut(tokens.token_ids(awkward, PATH, 0, kind).selectExpr("*", "doc_id AS copy"), kind, 2048)
+    assert pieces._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_cut_equals_slices(spark):
+    sizes = [1, 2, 3, 4, 5, 8, 9]
+    for kind in ("<u2", "<u4"):
+        ids = [np.arange(n, dtype=kind).tobytes() for n in sizes]
+        table = spark.createDataFrame([(n, 7, x) for n, x in zip(sizes, ids, strict=True)] + [(0, 7, b"")], "doc_id long, copy long, ids binary")
+        got = packing.cut(table, kind, 4)
+        assert got.dtypes == [("doc_id", "bigint"), ("copy", "bigint"), ("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids", "binary")]
+        want = [(n, 7, k, 4 * k, min(4, n - 4 * k), np.arange(n, dtype=kind)[4 * k : 4 * k + 4].tobytes()) for n in sizes for k in range(-(-n // 4))]
+        assert sorted((*r[:5], bytes(r[5])) for r in got.collect()) == want
+
+
 def test_query_op4_is_close_to_its_bound(spark, small, documents, plain):
     want = expected_ids([(r.doc_id, r.text) for r in documents.collect()], plain, 0)
     n = check_packing(op4_best_fit(spark, small).collect(), want)
