@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from epilattice.llm.rows import as_texts, chunks, pick, unwrap, wrap
+from epilattice.llm.rows import as_texts, chunks, pick, position, unwrap, wrap
 from epilattice.session import settle
 
 #: Labelled rows per language that the machines are fitted on, and the dimensions of the hashed n-grams.
@@ -238,15 +238,17 @@ def identify(docs: DataFrame, model: LanguageModel | None = None) -> DataFrame:
 def in_known_language(docs: DataFrame, model: LanguageModel | None = None, least_score: float = 0.0) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with all their columns.
 
-    Documents without a letter go; a ``least_score`` above 0 also drops those that no language fits clearly.
+    Documents without a letter go; a ``least_score`` above 0 also drops those that no language fits clearly. The text is
+    read from the row itself, so tasks and their workers hold it once.
     """
     model = model or fit_languages(docs)
+    at = position(docs, "text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches):
-            said = [known.value.predict(text) for text in as_texts(part.column(1))]
+            said = [known.value.predict(text) for text in as_texts(part.column(0).field(at))]
             yield pa.RecordBatch.from_arrays([part.column(0)], names=["row"]).filter(pa.array([lang != "und" and score >= least_score for lang, score in said], pa.bool_()))
 
     known = docs.sparkSession.sparkContext.broadcast(model)
-    rows = wrap(docs, text="text")
-    return unwrap(rows.mapInArrow(keep, rows.select("row").schema), docs)
+    rows = wrap(docs)
+    return unwrap(rows.mapInArrow(keep, rows.schema), docs)

@@ -97,6 +97,18 @@ def test_languages_of_awkward_rows(awkward, nothing):
     assert language.LanguageModel().predict("abc") == ("und", 0.0)
 
 
+def test_language_filter_sends_each_text_once(spark):
+    texts = [None if i % 7 == 0 else "12 34" if i % 5 == 0 else f"words {i}" for i in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    sample = language.Profiles([(np.array([k], "<u4"), np.array([1.0], "<f4")) for k in (1, 1, 2, 2)], 1 << language.BITS)
+    model = language.LanguageModel.fit(sample, np.array(["en", "en", "fr", "fr"], dtype=object))
+    kept = language.in_known_language(docs, model)
+    assert sorted(map(tuple, kept.collect())) == [(i, t) for i, t in enumerate(texts) if t and "w" in t]
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    sent = plan[plan.index("MapInArrow") :].split("\n")[1]
+    assert " AS row#" in sent and sent.count(" AS ") == 1
+
+
 def test_learning_rows_are_bounded(spark):
     """The smallest hashes of each language, also where one id holds most rows; equal to a plain sort."""
     rows = [(i, "en", f"text {i}") for i in range(3000)] + [(5000, "fr", f"mot {i}") for i in range(400)] + [(i, "de", None) for i in range(50)]
