@@ -15,10 +15,9 @@ SEMANTICS = {
 
 # These only steer the physical plan. Broadcasts are left to Spark's own size checks (at planning
 # time and again by AQE on measured shuffle sizes); nothing in the library forces one. The limit is
-# raised to what an executor of a few GB holds easily, so that place lists and place-by-week panels
-# do not make it necessary to shuffle an edge table.
+# the session's: a query may collect several tables of that size on the driver at once, as rows and
+# as hash tables, so only who knows the driver's memory can raise it.
 EXECUTION = {
-    "spark.sql.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
