@@ -33,7 +33,7 @@ from ..operators import (
     variants,
     venues,
 )
-from ..session import configure, scratch_path
+from ..session import configure, scratch_path, settle
 from ..sources import partitions, readers, sinks
 from . import flagship
 from .views import Views
@@ -850,7 +850,7 @@ def total_reproduction(v: Views):
 
 @query
 def import_risk(v: Views):
-    return flagship.risk_chain(v)
+    return flagship.risk_chain(v, stage=settle)
 
 
 @query

@@ -1,7 +1,7 @@
 """The three chains of the pipeline, from raw tables to risk, immunity and validation.
 
-Each function is lazy. ``run_chains`` writes every stage to the shared folder instead and reads it
-back, as a production run would.
+Each function is lazy unless it is given a ``stage`` that writes to the shared folder and reads back, as ``run_chains`` and
+the query ``import_risk`` do: the whole chain in one plan has thousands of nodes, which the driver holds at once.
 """
 
 from __future__ import annotations
@@ -38,11 +38,10 @@ def cleaned_edges(v: Views, stage=_lazy) -> DataFrame:
     return clean_edges(edges, allow_list(edges, v.geo()))
 
 
-def contacts(v: Views) -> DataFrame:
+def contacts(v: Views, stage=_lazy) -> DataFrame:
     """Contact rate per place and week, scaled by the indoor ratio."""
-    ratio = indoor_outdoor_ratio(
-        poi_prepare(v.poi_visits()), v.geo_neighbors(), v.geo(), min_indoor=1, min_outdoor=1, min_maximum=1
-    )
+    poi = stage(poi_prepare(v.poi_visits()), "poi")
+    ratio = indoor_outdoor_ratio(poi, v.geo_neighbors(), v.geo(), min_indoor=1, min_outdoor=1, min_maximum=1)
     return contact_rate(ratio.select(F.col("date").alias("week"), "fips", "r"), v.contact_fit())
 
 
@@ -66,7 +65,7 @@ def risk_chain(v: Views, contact: DataFrame | None = None, stage=_lazy) -> DataF
     Contact rates are scaled by the indoor ratio unless they are given; each week takes the edges of the last week that
     has some.
     """
-    rates = stage(contacts(v) if contact is None else contact, "contact")
+    rates = stage(contacts(v, stage) if contact is None else contact, "contact")
     incidence = stage(weekly_incidence(v.cases_daily()), "incidence")
     edges = stage(asof_partition(incidence.select("week"), stage(cleaned_edges(v, stage), "edges")), "edges-by-week")
     coupled = stage(coupling(edges, rates, v.household()), "coupling")

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from epilattice.plans.catalog import QUERIES
-from epilattice.plans.views import SCHEMAS
+from epilattice.plans import flagship
+from epilattice.plans.catalog import QUERIES, rounded
+from epilattice.plans.views import SCHEMAS, Views
 from epilattice.session import configure
 
 LIMIT = "spark.sql.autoBroadcastJoinThreshold"
@@ -17,14 +18,16 @@ def folder(spark, tmp_path_factory):
     """Orders that take more than LEAST bytes with their place and day, two lines each, and small other tables."""
     path = tmp_path_factory.mktemp("tables")
     k = F.col("id")
-    day = F.date_add(F.lit("1996-01-01").cast("date"), (k % 200).cast("int")).cast("timestamp_ntz")
+    some = lambda seed, n: F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(n))
+    day = lambda key: F.date_add(F.lit("1996-01-01").cast("date"), (key % 200).cast("int")).cast("timestamp_ntz")
+    flag = F.element_at(F.array(*map(F.lit, "RNA")), some(5, 3).cast("int") + 1)
     values = {
         "region": (5, [k, F.concat(F.lit("R"), k)]),
         "nation": (25, [k, F.concat(F.lit("N"), k), k % 5]),
         "customer": (500, [k, F.lit("c"), k % 25, k * 7.0, F.lit("m")]),
         "supplier": (50, [k, F.lit("s"), k % 25, k * 1.0]),
-        "orders": (ORDERS, [k, k * 31 % 500, F.lit("F"), (F.xxhash64(k) % 1000000) / 7, day, F.concat(k % 5 + 1, F.lit("-X"))]),
-        "lineitem": (2 * ORDERS, [k % ORDERS, k, k * 17 % 50, k % 7 + 1, k % 50 + 1.0, k * 1.0, k % 10 / 100, F.lit(0.0), F.lit("R"), F.lit("O"), day]),
+        "orders": (ORDERS, [k, some(1, 500), F.lit("F"), some(2, 400000) * 1.0, day(k), F.concat(some(3, 5) + 1, F.lit("-X"))]),
+        "lineitem": (2 * ORDERS, [k % ORDERS, k, some(4, 50), some(6, 7) + 1, some(7, 50) + 1.0, k * 1.0, some(8, 11) / 100, F.lit(0.0), flag, F.lit("O"), day(k % ORDERS)]),
     }
     for name, (rows, columns) in values.items():
         fields = [x.rsplit(" ", 1) for x in SCHEMAS[name].split(", ")]
@@ -71,3 +74,11 @@ def test_no_broadcast_beyond_the_limit(spark, folder, low_limit, name):
     """The orders are beyond the limit; other tables are small or go as rows per place and week."""
     sent = broadcasts(QUERIES[name](spark, folder))
     assert sent and max(sent) < ORDERS
+
+
+def test_import_risk_plans_one_stage_at_a_time(spark, folder):
+    """The plan in one piece had thousands of nodes, all held by the driver; the rows are the same."""
+    df = QUERIES["import_risk"](spark, folder)
+    got = sorted(map(tuple, df.collect()))
+    assert sum(1 for _ in nodes(df._jdf.queryExecution().executedPlan())) < 100
+    assert got and got == sorted(map(tuple, rounded(flagship.risk_chain(Views(spark, folder))).collect()))
