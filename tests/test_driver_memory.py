@@ -69,7 +69,7 @@ def test_the_limit_of_the_session_stands(spark, low_limit):
     assert configure(spark).conf.get(LIMIT) == str(low_limit)
 
 
-@pytest.mark.parametrize("name", ["import_risk_of_shares", "import_risk_variance", "total_reproduction"])
+@pytest.mark.parametrize("name", ["import_risk_of_shares", "import_risk_variance", "total_reproduction", "z_estimates"])
 def test_no_broadcast_beyond_the_limit(spark, folder, low_limit, name):
     """The orders are beyond the limit; other tables are small or go as rows per place and week."""
     sent = broadcasts(QUERIES[name](spark, folder))
