asof_partitions: sources are looked up once per week

Symptom: asof_partitions took 3177 CPU seconds per GB of input on sf0.1 (JVM 2606, GC 47), most of it in two stages that read line items and orders only to learn the wanted weeks.
Evidence: the optimizer drops the distinct step below collect_set and pushes the filter on the source down to the orders scan, so the scan of the list of weeks ran for every order and every joined line; on a copy of 20 times sf0.1 (event log) three such stages had 994 of 1048 CPU seconds of tasks.
Fix: the distinct wanted weeks are stored as a small table and the source is looked up on that; its known size also lets the stored rows be joined without a shuffle. read_with_fallback takes the same path.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 3021 -> 345 s, shuffle 1.14 -> 1.14 GB, spill 0.00 -> 0.00 GB, read 0.71 -> 0.71 GB, longest task 128 -> 9 s, most memory of a task 506 -> 506 MB; at 6 GB of input CPU 15852 -> 1103 s, shuffle 8.82 -> 8.82 GB, spill 0.22 -> 0.00 GB, read 5.11 -> 5.11 GB, longest task 403 -> 12 s, most memory of a task 537 -> 537 MB; with hot keys, at 1 GB of input CPU 2985 -> 352 s, shuffle 1.09 -> 1.09 GB, spill 0.00 -> 0.00 GB, read 0.70 -> 0.70 GB, longest task 160 -> 9 s, most memory of a task 506 -> 506 MB.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import places
 from ..functions.nulls import in_set, strict_sum
+from ..session import settle
 from .joins import attach, natural_join
 from .mobility import DEST, ORIGIN
 from .panel import distinct_values, fill_down
@@ -66,6 +67,15 @@ def fallback_source(available: Column, fallback, column: str = "week") -> Column
     return F.when(F.array_contains(available, F.col(column)), F.col(column)).otherwise(F.lit(fallback).cast("date"))
 
 
+def wanted_weeks(weeks: DataFrame, column: str = "week") -> DataFrame:
+    """The wanted weeks, each once. They are stored first, so a source is looked up once per week.
+
+    In one plan with the rows that the weeks come from, Spark leaves out the distinct step below a set of weeks and moves
+    filters on the source down to the scan, so the lookup would be made for each of these rows.
+    """
+    return settle(weeks.select(column).distinct(), "wanted-weeks")
+
+
 def asof_partition(weeks: DataFrame, edges: DataFrame, column: str = "week") -> DataFrame:
     """Edges for every wanted week; a week without edges takes those of the last week that has some.
 

@@ -11,7 +11,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.coupling import asof_source, copied_to_weeks, fallback_source
+from ..operators.coupling import asof_source, copied_to_weeks, fallback_source, wanted_weeks
 from ..operators.mobility import upsert_edges
 from .sinks import write_by_week
 
@@ -35,7 +35,7 @@ def _dates(weeks: list[datetime.date]) -> Column:
 
 def _by_source(weeks: DataFrame, rows: DataFrame, source: Column, axis: str) -> DataFrame:
     """Rows of the source weeks that are needed, copied to the weeks that take them."""
-    wanted = weeks.select(axis).distinct().withColumn("__source", source)
+    wanted = wanted_weeks(weeks, axis).withColumn("__source", source)
     needed = wanted.filter(F.col("__source").isNotNull()).agg(F.collect_set("__source").alias("weeks")).scalar()
     return copied_to_weeks(wanted, rows.filter(F.array_contains(needed, F.col(axis))), axis)
 

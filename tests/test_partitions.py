@@ -4,6 +4,7 @@ import datetime
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from epilattice.sources import partitions, sinks
 
@@ -74,3 +75,26 @@ def test_upsert_leaves_untouched_weeks_alone(spark, tmp_path):
     partitions.upsert_version(spark, second, edges(spark, ()), third, SCHEMA)
     assert sorted(map(tuple, partitions.version_weeks(spark, third).collect())) == sorted(where.items())
     assert partitions.read_version(spark, third, SCHEMA, []).collect() == []
+
+
+def read_at(spark, path, wanted, how):
+    return partitions.read_asof(spark, wanted, path, SCHEMA) if how == "asof" else partitions.read_with_fallback(spark, wanted, path, "2021-01-03", SCHEMA)
+
+
+@pytest.mark.parametrize("how", ["asof", "fallback"])
+def test_sources_are_looked_up_per_week_and_not_per_row(spark, stored, how):
+    """The rows that the wanted weeks come from are no part of the plan that looks up the sources."""
+    days = spark.range(1000).select(F.date_add(F.lit("2021-01-10").cast("date"), (7 * (F.col("id") % 3)).cast("int")).alias("week"))
+    found = read_at(spark, stored, days, how)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan
+    assert sorted(r.week for r in found.collect()) == sorted(2 * weeks(10, 17, 24))
+
+
+@pytest.mark.parametrize("how", ["asof", "fallback"])
+def test_missing_and_repeated_wanted_weeks(spark, stored, how):
+    """A missing week takes no rows, a repeated one takes them once."""
+    wanted = spark.createDataFrame([(None,), *((w,) for w in 2 * weeks(17, 24))], "week date")
+    got = sorted(tuple(r) for r in read_at(spark, stored, wanted, how).select(*ORDER).collect())
+    assert got == sorted((o, o + 1, float(o), w) for w in weeks(17, 24) for o in (1, 2))
+    assert read_at(spark, stored, wanted.filter("week is null"), how).collect() == []
