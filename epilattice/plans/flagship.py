@@ -67,7 +67,8 @@ def risk_chain(v: Views, contact: DataFrame | None = None, stage=_lazy) -> DataF
     """
     rates = stage(contacts(v, stage) if contact is None else contact, "contact")
     incidence = stage(weekly_incidence(v.cases_daily()), "incidence")
-    edges = stage(asof_partition(incidence.select("week"), stage(cleaned_edges(v, stage), "edges")), "edges-by-week")
+    edges = stage(cleaned_edges(v, stage), "edges")
+    edges = stage(asof_partition(incidence.select("week"), edges, store=stage is _lazy), "edges-by-week")
     coupled = stage(coupling(edges, rates, v.household()), "coupling")
     sigma = stage(immune_share(v, stage), "sigma")
     r_ij = stage(pair_reproduction(coupled, sigma, stage(multiplier(v), "multiplier"), v.geo()), "r_ij")

@@ -6,6 +6,7 @@ import pathlib
 import pytest
 from pyspark.sql import functions as F
 
+from epilattice.operators import coupling
 from epilattice.sources import partitions, sinks
 
 SCHEMA = "origin_county_fips int, destination_county_fips int, prop_population double, week date"
@@ -77,6 +78,31 @@ def test_upsert_leaves_untouched_weeks_alone(spark, tmp_path):
     assert partitions.read_version(spark, third, SCHEMA, []).collect() == []
 
 
+def at_weeks(wanted, rows, how):
+    return coupling.asof_partition(wanted, rows) if how == "asof" else coupling.fixed_fallback(wanted, rows, "2021-01-03")
+
+
+def test_asof_edges_are_made_once(spark):
+    """Neither the rows that the wanted weeks come from nor those that the edges come from are in the plan of the result."""
+    day = lambda modulus: F.date_add(F.lit("2021-01-10").cast("date"), (7 * (F.col("id") % modulus)).cast("int"))
+    rows = spark.range(6).select((F.col("id") + 1).cast("int").alias("origin_county_fips"), day(2).alias("week"))
+    found = at_weeks(spark.range(1000).select(day(3).alias("week")), rows, "asof")
+    assert "Range" not in found._jdf.queryExecution().optimizedPlan().toString()
+    expected = [(1, 10), (3, 10), (5, 10), (2, 17), (4, 17), (6, 17), (2, 24), (4, 24), (6, 24)]
+    assert sorted((r.origin_county_fips, r.week.day) for r in found.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("how", ["asof", "fallback"])
+def test_missing_weeks_and_repeated_rows_of_any_table(spark, how):
+    """Rows without a week go nowhere, equal rows are all kept, and a missing or repeated wanted week adds none."""
+    some = edges(spark, (3, 10, 24))
+    odd = some.unionByName(some).unionByName(some.limit(1).withColumn("week", F.lit(None).cast("date")))
+    wanted = spark.createDataFrame([(None,), *((w,) for w in 2 * weeks(17, 24))], "week date")
+    got = sorted(tuple(r) for r in at_weeks(wanted, odd, how).select(*ORDER).collect())
+    assert got == sorted(2 * [(o, o + 1, float(o), w) for w in weeks(17, 24) for o in (1, 2)])
+    assert at_weeks(wanted, odd.limit(0), how).collect() == []
+
+
 def read_at(spark, path, wanted, how):
     return partitions.read_asof(spark, wanted, path, SCHEMA) if how == "asof" else partitions.read_with_fallback(spark, wanted, path, "2021-01-03", SCHEMA)
 
