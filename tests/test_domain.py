@@ -176,6 +176,41 @@ def test_lineages(table):
     assert abs(variants.transmissibility_multiplier(known).first().beta_mult - (1.5 + 4.65 + 1) / 4) < 1e-12
 
 
+def test_genomes_are_read_once(spark):
+    """Totals that nobody uses do not bring back the records: they are no part of the plan once they are counted."""
+    state = F.element_at(F.array(F.lit("Ohio"), F.lit("nan"), F.lit("Utah")), (F.col("id") % 3 + 1).cast("int"))
+    name = F.element_at(F.array(F.lit("Alpha"), F.lit("Mu")), (F.col("id") % 2 + 1).cast("int"))
+    records = spark.range(12).select(
+        F.lit(SUNDAY).cast("date").alias("collection_date"), F.concat(F.lit("North America / USA / "), state).alias("location"),
+        F.concat(F.lit("VOC "), name, F.lit(" x")).alias("variant"), F.lit("B.1").alias("pango_lineage"),
+    )
+    collapsed = variants.collapse_lineages(variants.lineage_shares(records))
+    assert "Range" not in collapsed._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(collapsed.select("state", "lineage", "n", "n_total")) == [(s, x, 2, 4) for s in ("Ohio", "Utah") for x in ("alpha", "other")]
+
+
+def test_lineages_of_odd_records(table):
+    """Records without a state or with a name that stands for none are left out; missing and repeated values are counted."""
+    ohio = "North America / USA / Ohio"
+    g = table(
+        [
+            *2 * [(SUNDAY, ohio, None, "B.1")],
+            *2 * [(None, ohio, "VOC Alpha x", "BA.1")],
+            (SUNDAY, None, "VOC Alpha x", "B.1"),
+            (SUNDAY, "North America / USA / nan", "VOC Alpha x", "B.1"),
+            (SUNDAY, "North America / USA / ", "VOC Alpha x", "B.1"),
+            (SUNDAY, "North America / USA / Southwest", "VOC Alpha x", "B.1"),
+            (SUNDAY, f"{ohio} / Stark", "VOC Alpha x", "B.1"),
+        ],
+        "collection_date date, location string, variant string, pango_lineage string",
+    )
+    shares = variants.lineage_shares(g)
+    got = {(r.state, r.week, r.lineage, r.n, r.n_total) for r in shares.collect()}
+    assert got == {("Ohio", SUNDAY, None, 2, 3), ("Ohio", SUNDAY, "alpha", 1, 3), ("Ohio", None, "omicron", 2, 2)}
+    assert shares.count() == 3
+    assert variants.lineage_shares(g.limit(0)).collect() == []
+
+
 def test_immunity_of_nothing_is_zero(table):
     inc = table([(week(0), 1, 0.0), (week(0), 2998, 0.1), (week(1), 1, None)], "week date, fips int, mean_incidence double")
     cov = table([(week(0), 2, 0.1, 0.1)], "week date, fips int, complete double, partial double")
